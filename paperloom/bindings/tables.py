@@ -227,11 +227,13 @@ def _item_topics(spark: SparkSession) -> DataFrame:
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(topic, keyword): the words of each benchmark item, and every fifth pair of neighbours."""
+    """(topic, keyword): words of 5 or more letters of each benchmark item, and pairs of such neighbours."""
     items = _benchmark_words(spark, sf_dir).select("item_id", "w", F.posexplode("w").alias("i", "word"))
-    pair = F.when(F.col("i") % 5 == 0, F.concat_ws(" ", "word", F.get("w", F.col("i") + 1)))
-    both = items.select((F.col("item_id") % N_TOPICS).alias("ord"), F.explode(F.array("word", pair)).alias("keyword"))
-    return both.filter(F.length("keyword") >= 3).distinct().join(_item_topics(spark), "ord").select("topic", "keyword")
+    after = F.get("w", F.col("i") + 1)
+    pair = F.when(F.length(after) >= 5, F.concat_ws(" ", "word", after))
+    both = items.filter(F.length("word") >= 5).select(
+        (F.col("item_id") % N_TOPICS).alias("ord"), F.explode(F.array("word", pair)).alias("keyword"))
+    return both.filter(F.col("keyword").isNotNull()).distinct().join(_item_topics(spark), "ord").select("topic", "keyword")
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,9 +247,9 @@ DICTIONARY_SQL = TOPICS_SQL + """, words AS (
  SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, w
  FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)),
 keywords AS (SELECT DISTINCT topic, keyword FROM (
-  SELECT item_id, word AS keyword FROM words
-  UNION ALL SELECT item_id, CASE WHEN i < len(w) THEN word || ' ' || w[i + 1] ELSE word END FROM words
-   WHERE (i - 1) % 5 = 0) JOIN topics ON ord = item_id % 87 WHERE length(keyword) >= 3),
+  SELECT item_id, word AS keyword FROM words WHERE length(word) >= 5
+  UNION ALL SELECT item_id, word || ' ' || w[i + 1] FROM words WHERE length(word) >= 5 AND length(w[i + 1]) >= 5)
+ JOIN topics ON ord = item_id % 87),
 concepts AS (SELECT DISTINCT word AS concept, topic FROM words JOIN topics ON ord = item_id * 3 % 87 WHERE i <= 3)"""
 
 

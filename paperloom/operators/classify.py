@@ -1,15 +1,20 @@
 """Keyword tagging: matches, scores, bonuses and the best topics per text.
 
-Words of the dictionary are found with an equi-join, not by trying every word
-on every text. A text yields its distinct 4-character pieces, a dictionary word
-is filed under its first 4 characters, and only the words that meet a piece are
-tested on the text. Words of up to three letters are met by whole tokens. The dictionary side is broadcast after its size is
-checked; beyond that only ids and pieces are shuffled and the texts are joined
-back afterwards. Texts are dropped right after the test.
+Words of the dictionary are found with equi-joins, not by trying every word on
+every text. A text yields its distinct tokens; each dictionary word is filed
+under something one of its tokens must show: a whole token for whole words, the
+characters before an ending for inflected ones, the start of its longest run
+for words met anywhere. One-run words are decided on the token alone, longer
+ones are then looked up in the text. The dictionary side is broadcast after its
+size is checked, so texts are not shuffled; beyond that only ids and tokens are
+shuffled and the texts are joined back for the words met. Words need a letter
+or digit.
 
 Word boundaries are ASCII: a word character is a letter a-z, a digit or '_'.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +23,9 @@ from paperloom.functions.names import first_case
 from paperloom.operators.taxonomy import title_phrases
 from paperloom.plans.scale import broadcast_if_small, top_per_group
 
-PIECE = 4
+PIECE = 5
+PARTIAL_LENGTH = 5
+TAIL_PIECE, TAIL_MARK = 6, "^"
 MAX_BROADCAST_WORDS = 200_000
 
 # Clear synonyms; every inner list needs one hit.
@@ -41,40 +48,50 @@ CONCEPT_BONUS, MENTION_BONUS = 2.0, 5.0
 KEYWORD_THRESHOLD = 2.0
 
 
-def _pieces(text: Column) -> Column:
-    """Distinct 4-character pieces of a text and its distinct tokens of 1 to 3 characters."""
-    tokens = [F.regexp_extract_all(text, F.lit(rf"(?s)(?<![a-z0-9_])(?=({body})([^a-z0-9_]|$))"), F.lit(1))
-              for body in ("[a-z0-9_]{1,2}", ".{3}")]
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{PIECE}}}))"), F.lit(1))
-    return F.array_distinct(F.concat(pieces, *tokens))
+RUN = "[a-z0-9_]+"
+ENDINGS = ["s ", "ing", "ed", "'s"]
 
 
-def _bounded(text: Column, word: Column) -> Column:
-    """The word stands in the text between non-word characters or the text's ends."""
-    quoted = F.regexp_replace(word, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    return text.rlike(F.concat(F.lit("(^|[^a-z0-9_])"), quoted, F.lit("($|[^a-z0-9_])")))
+def tokens(text: Column) -> Column:
+    """Distinct runs of word characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
 
 
-def is_exact(text: Column, word: Column, in_brackets: bool = True) -> Column:
-    """Word boundaries on both sides, or one of the listed delimiters."""
-    starts_word, ends_word = word.rlike("^[a-z0-9_]"), word.rlike("[a-z0-9_]$")
+def forms(text: Column) -> Column:
+    """Distinct runs with the genitive or blank after them."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"{RUN}(?:'s| )?"), F.lit(0)))
+
+
+def is_one_run(word: Column) -> Column:
+    return word.rlike(f"^{RUN}$")
+
 
+def longest_run(word: Column) -> Column:
+    runs = F.regexp_extract_all(word, F.lit(RUN), F.lit(0))
+    return F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
+
+
+def last_run(word: Column) -> Column:
+    return F.regexp_extract(word, f"({RUN})$", 1)
+
+
+def is_exact(text: Column, word: Column, in_brackets: bool = True) -> Column:
+    """Non-word characters on both sides; a word with other edges needs one of the listed delimiters."""
     def around(before, after):
         return text.contains(F.concat(F.lit(before), word, F.lit(after)))
 
+    bounded = F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9_])\Q"), word, F.lit(r"\E(?![a-z0-9_])")))
     delimited = (around(" ", " ") | around(" ", ",") | around(" ", ".")
                  | text.startswith(F.concat(word, F.lit(" "))) | text.endswith(F.concat(F.lit(" "), word)))
     if in_brackets:
         delimited = delimited | around("(", ")")
-    return F.when(starts_word & ends_word, _bounded(text, word)).otherwise(delimited)
+    return text.contains(word) & F.when(word.rlike("(?s)^[a-z0-9_](.*[a-z0-9_])?$"), bounded).otherwise(delimited)
 
 
 def is_partial(text: Column, word: Column) -> Column:
-    """A word of 5 or more characters followed by a plural, tense or genitive ending."""
-    def followed(ending):
-        return text.contains(F.concat(word, F.lit(ending)))
-
-    return (F.length(word) > 4) & (followed("s ") | followed("ing") | followed("ed") | followed("'s"))
+    """The word is followed by a plural, tense or genitive ending."""
+    followed = [text.contains(F.concat(word, F.lit(e))) for e in ENDINGS]
+    return followed[0] | followed[1] | followed[2] | followed[3]
 
 
 def _related_words(text: Column) -> Column:
@@ -90,47 +107,96 @@ def _all(text: Column, groups: list[list[str]]) -> Column:
     return condition
 
 
-def meet_words(texts: DataFrame, words: DataFrame, test: Column,
-               max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
-    """(id, word, test): dictionary words contained in each text, with `test` over text and word.
+def _meet(texts: DataFrame, filed: DataFrame, places: Callable[[DataFrame], DataFrame], test: Column,
+          max_words: int) -> DataFrame:
+    """(id, word): filed words whose anchor is among a text's places and that pass `test`.
 
-    `texts` has id and text (lower case), `words` has distinct words. Words of up
-    to 3 characters are met only as whole tokens. Each (id, word) comes out once.
+    `places` adds the columns token and anchor to a table with text; a word may
+    come out once per token.
     """
-    filed = words.select("word", F.substring("word", 1, PIECE).alias("piece"))
-    dictionary, small = broadcast_if_small(filed, max_broadcast)
-    pieces = F.explode(_pieces(F.col("text"))).alias("piece")
-    if small:
-        met = texts.select("id", "text", pieces).join(dictionary, "piece")
-    else:
-        met = (texts.select("id", pieces).join(dictionary, "piece").select("id", "word")
-               .join(texts.select("id", "text"), "id"))
-    return met.filter(F.col("text").contains(F.col("word"))).select("id", "word", test.alias("test"))
+    dictionary, small = broadcast_if_small(filed, max_words)
+    rows = places(texts.select("id", "text"))
+    met = rows.join(dictionary, "anchor") if small else (
+        rows.drop("text").join(dictionary, "anchor").join(texts, "id"))
+    return met.filter(test).select("id", "word")
+
+
+def _token_rows(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("token", F.explode(tokens(F.col("text"))))
 
 
-def match_keywords(texts: DataFrame, keywords: DataFrame,
-                   max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
-    """(id, keyword, match): EXACT, PARTIAL or RELATED matches of each distinct keyword.
+def _pieces(token: Column, size: int, before: str = "") -> Column:
+    """Distinct pieces of a token, or those before a pattern."""
+    return F.array_distinct(F.regexp_extract_all(
+        token, F.lit(f"(?=({RUN[:-1]}{{{size}}}){before})"), F.lit(1)))
+
+
+def meet_exact(texts: DataFrame, words: DataFrame, in_brackets: bool = True,
+               max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+    """(id, word): dictionary words standing in the text as whole words, each once."""
+    text, word = F.col("text"), F.col("word")
+    return _meet(texts, words.select("word", longest_run(word).alias("anchor")),
+                 lambda t: _token_rows(t).withColumn("anchor", F.col("token")),
+                 (F.col("token") == word) | is_exact(text, word, in_brackets), max_words)
+
+
+def meet_partial(texts: DataFrame, words: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+    """(id, word): dictionary words of 5 or more characters followed by an ending.
+
+    One-run words are filed under their last 5 characters, others under the
+    first 6 of their last run with each ending (a token can only begin there).
+    """
+    text, word, token = F.col("text"), F.col("word"), F.col("token")
+    long = words.filter((F.length("word") >= PARTIAL_LENGTH) & (last_run(word) != ""))
+    one = long.filter(is_one_run(word)).select(
+        "word", F.lit("").alias("tail"), word.alias("needle"), F.right(word, F.lit(PARTIAL_LENGTH)).alias("anchor"))
+    more = long.filter(~is_one_run(word)).select(
+        "word", F.explode(F.array(*[F.lit(e) for e in ENDINGS])).alias("ending")).select(
+        "word", F.concat(last_run(word), F.col("ending")).alias("tail"), F.concat("word", "ending").alias("needle"))
+    filed = one.unionByName(more.withColumn("anchor", F.concat(F.lit(TAIL_MARK), F.substring("tail", 1, TAIL_PIECE))))
+    sizes = [r[0] for r in more.select(F.least(F.length("tail"), F.lit(TAIL_PIECE))).distinct().collect()]
+    endings = f"(?:{'|'.join(ENDINGS)})"
+
+    def places(rows):
+        inflected = rows.withColumn("token", F.explode(forms(text))).filter(token.rlike(endings))
+        heads = [F.array(*[F.concat(F.lit(TAIL_MARK), F.substring(token, 1, n)) for n in sizes])] if sizes else []
+        return inflected.withColumn("anchor", F.explode(F.array_distinct(F.concat(
+            _pieces(token, PARTIAL_LENGTH, endings), *heads))))
+
+    test = F.when(F.col("tail") == "", is_partial(token, F.col("needle"))).otherwise(
+        token.startswith(F.col("tail")) & text.contains(F.col("needle")))
+    return _meet(texts, filed, places, test, max_words)
+
+
+def meet_anywhere(texts: DataFrame, words: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+    """(id, word): dictionary words contained anywhere in the text."""
+    text, word, token = F.col("text"), F.col("word"), F.col("token")
+    filed = words.select("word", longest_run(word).alias("run"), is_one_run(word).alias("one_run")).withColumn(
+        "anchor", F.substring("run", 1, PIECE))
+    sizes = [r[0] for r in filed.select(F.length("anchor")).distinct().collect()]
+
+    def places(rows):
+        pieces = [_pieces(token, n) for n in sizes] or [F.expr("cast(array() as array<string>)")]
+        return _token_rows(rows).withColumn("anchor", F.explode(F.concat(*pieces)))
+
+    return _meet(texts, filed, places, token.contains(F.col("run")) & (F.col("one_run") | text.contains(word)), max_words)
+
+
+def match_keywords(texts: DataFrame, keywords: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+    """(id, keyword, match): EXACT, PARTIAL or RELATED, the first that holds, of each distinct keyword.
 
     `texts` has id and text; `keywords` has topic and keyword. Keywords under 3
     characters are skipped.
     """
     lowered = texts.select("id", F.lower("text").alias("text"))
     words = keywords.select(F.trim(F.lower("keyword")).alias("word")).filter(F.length("word") >= 3).distinct()
-    text, word = F.col("text"), F.col("word")
-    listed = F.coalesce(F.array_contains(_related_words(text), word), F.lit(False))
-    kind = (F.when(is_exact(text, word), "EXACT").when(is_partial(text, word), "PARTIAL")
-            .when(listed, "RELATED"))
-    contained = meet_words(lowered, words, kind, max_broadcast)
-    synonyms = lowered.select("id", "text", F.explode(_related_words(text)).alias("word")).filter(
-        ~text.contains(word)).select("id", "word")
-    related = synonyms.join(words, "word").select("id", "word", F.lit("RELATED").alias("test"))
-    return contained.filter(F.col("test").isNotNull()).unionByName(related).select(
-        "id", F.col("word").alias("keyword"), F.col("test").alias("match"))
-
-
-def is_calculation_topic(topic: Column) -> Column:
-    return contains_any(topic, CALCULATION_TOPICS)
+    exact = meet_exact(lowered, words, True, max_words).withColumn("kind", F.lit(0))
+    partial = meet_partial(lowered, words, max_words).withColumn("kind", F.lit(1))
+    related = lowered.select("id", F.explode(_related_words(F.col("text"))).alias("word")).join(words, "word").select(
+        "id", "word", F.lit(2).alias("kind"))
+    best = exact.unionByName(partial).unionByName(related).groupBy("id", "word").agg(F.min("kind").alias("kind"))
+    name = F.get(F.array(*[F.lit(m) for m in ("EXACT", "PARTIAL", "RELATED")]), F.col("kind"))
+    return best.select("id", F.col("word").alias("keyword"), name.alias("match"))
 
 
 def score_keywords(matches: DataFrame, keywords: DataFrame, flags: DataFrame) -> DataFrame:
@@ -156,28 +222,28 @@ def score_keywords(matches: DataFrame, keywords: DataFrame, flags: DataFrame) ->
     return sums.withColumn("base", weighed).join(flags, "id").select("id", "topic", "computational", score.alias("score"))
 
 
-def concept_bonus(texts: DataFrame, concepts: DataFrame,
-                  max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
+def is_calculation_topic(topic: Column) -> Column:
+    return contains_any(topic, CALCULATION_TOPICS)
+
+
+def concept_bonus(texts: DataFrame, concepts: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """(id, topic, bonus): 2 for each concept of the topic found in the text."""
     lowered = texts.select("id", F.lower("text").alias("text"))
     listed = concepts.select(F.lower("concept").alias("word"), "topic").distinct()
-    found = meet_words(lowered, listed.select("word").distinct(),
-                       is_exact(F.col("text"), F.col("word"), in_brackets=False), max_broadcast).filter("test")
+    found = meet_exact(lowered, listed.select("word").distinct(), False, max_words)
     return found.join(listed, "word").groupBy("id", "topic").agg((F.count("*") * CONCEPT_BONUS).alias("bonus"))
 
 
-def direct_mention_bonus(texts: DataFrame, topics: DataFrame,
-                         max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
+def direct_mention_bonus(texts: DataFrame, topics: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """(id, topic, bonus): 5 when the title or one of its parts stands anywhere in the text."""
     lowered = texts.select("id", F.lower("text").alias("text"))
-    phrases = title_phrases(topics)
-    found = meet_words(lowered, phrases.select(F.col("phrase").alias("word")).distinct(), F.lit(True), max_broadcast)
-    return found.join(phrases.withColumnRenamed("phrase", "word"), "word").select("id", "topic").distinct().withColumn(
-        "bonus", F.lit(MENTION_BONUS))
+    phrases = title_phrases(topics).withColumnRenamed("phrase", "word")
+    found = meet_anywhere(lowered, phrases.select("word").distinct(), max_words)
+    return found.join(phrases, "word").select("id", "topic").distinct().withColumn("bonus", F.lit(MENTION_BONUS))
 
 
 def top_topics_by_keywords(texts: DataFrame, keywords: DataFrame, concepts: DataFrame,
-                           max_broadcast: int = MAX_BROADCAST_WORDS, flags: DataFrame | None = None) -> DataFrame:
+                           max_words: int = MAX_BROADCAST_WORDS, flags: DataFrame | None = None) -> DataFrame:
     """(id, rank, topic, score): up to 3 topics scoring 2 or more (2 scoring 3 for calculations).
 
     Topics are those of the keyword table; ties go to the lower topic string.
@@ -185,10 +251,10 @@ def top_topics_by_keywords(texts: DataFrame, keywords: DataFrame, concepts: Data
     if flags is None:
         flags = texts.select("id", is_computational(F.col("text")).alias("computational"))
     topics = keywords.select("topic").distinct()
-    scored = score_keywords(match_keywords(texts, keywords, max_broadcast), keywords, flags).select("id", "topic", "score")
+    scored = score_keywords(match_keywords(texts, keywords, max_words), keywords, flags).select("id", "topic", "score")
     # A calculation topic gets its point without any keyword hit, so it can pass with a bonus alone.
-    extras = (concept_bonus(texts, concepts, max_broadcast).join(topics, "topic", "left_semi")
-              .unionByName(direct_mention_bonus(texts, topics, max_broadcast))
+    extras = (concept_bonus(texts, concepts, max_words).join(topics, "topic", "left_semi")
+              .unionByName(direct_mention_bonus(texts, topics, max_words))
               .select("id", "topic", F.col("bonus").alias("score")))
     summed = (scored.withColumn("hit", F.lit(True)).unionByName(extras.withColumn("hit", F.lit(False)))
               .groupBy("id", "topic").agg(F.sum("score").alias("score"), F.bool_or("hit").alias("hit"))

@@ -7,7 +7,7 @@ from paperloom.functions.features import (allows_economic_problem, contains_any,
                                           is_computational, max_topics)
 from paperloom.functions.names import first_case
 from paperloom.functions.text import mask_phrases
-from paperloom.operators.classify import (MAX_BROADCAST_WORDS, fallback_topic, top_topics_by_keywords)
+from paperloom.operators.classify import MAX_BROADCAST_WORDS, fallback_topic, top_topics_by_keywords
 from paperloom.operators.taxonomy import CODED
 from paperloom.plans.scale import broadcast_if_small
 
@@ -153,20 +153,20 @@ def is_reasonable_mention(text: Column, keyword: Column) -> Column:
     def around(before, after):
         return text.contains(F.concat(F.lit(before), keyword, F.lit(after)))
 
-    return (around(" ", " ") | text.startswith(F.concat(keyword, F.lit(" ")))
-            | text.endswith(F.concat(F.lit(" "), keyword)) | around(" ", ",") | around(" ", ".")
-            | around("(", ")") | ((F.length(keyword) > 5) & text.contains(keyword)))
+    delimited = (around(" ", " ") | text.startswith(F.concat(keyword, F.lit(" ")))
+                 | text.endswith(F.concat(F.lit(" "), keyword)) | around(" ", ",") | around(" ", ".") | around("(", ")"))
+    return text.contains(keyword) & ((F.length(keyword) > 5) | delimited)
 
 
 def score_relevance(pairs: DataFrame, topics: DataFrame, keywords: DataFrame,
-                    max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
+                    max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """pairs (id, text, topic, est_marks, ...) with `score`, the text dropped.
 
     Topic profiles ride along each pair by a broadcast join while the keyword
     table is small (else a plain join), so scoring is one pass over the pairs.
     """
     profiles = topic_profiles(topics, keywords)
-    if broadcast_if_small(keywords, max_broadcast)[1]:
+    if broadcast_if_small(keywords, max_words)[1]:
         profiles = F.broadcast(profiles)
     low, topic = F.lower("text"), F.col("topic")
     title = F.when(low.contains(F.lower("topic")), 10.0).otherwise(0.0)
@@ -209,7 +209,7 @@ def select_topics(scored: DataFrame) -> DataFrame:
 
 
 def validate_suggestions(texts: DataFrame, suggestions: DataFrame, topics: DataFrame, keywords: DataFrame,
-                         parity: bool = False, max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
+                         parity: bool = False, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """(id, valid, topics): topics chosen among each id's suggested labels.
 
     `texts` has id, text and computational. `valid` tells whether any label was
@@ -220,13 +220,13 @@ def validate_suggestions(texts: DataFrame, suggestions: DataFrame, topics: DataF
     pairs = asked.filter(F.col("candidates").isNotNull()).select(
         "id", "text", "computational", estimate_marks(F.col("text"), parity).alias("est_marks"),
         F.posexplode("candidates").alias("pos", "topic"))
-    chosen = select_topics(score_relevance(quality_filter(pairs), topics, keywords, max_broadcast))
+    chosen = select_topics(score_relevance(quality_filter(pairs), topics, keywords, max_words))
     return asked.select("id", F.col("candidates").isNotNull().alias("valid")).join(chosen, "id", "left")
 
 
 def assign_topics(questions: DataFrame, topics: DataFrame, keywords: DataFrame, concepts: DataFrame,
                   suggestions: DataFrame, parity: bool = False,
-                  max_broadcast: int = MAX_BROADCAST_WORDS) -> DataFrame:
+                  max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """(question_id, topics, method) of questions with a text and no topics yet.
 
     `suggestions` has question_id and labels. Suggested labels come first, then
@@ -240,12 +240,12 @@ def assign_topics(questions: DataFrame, topics: DataFrame, keywords: DataFrame,
     texts = untagged.select(F.col("question_id").alias("id"), masked.alias("text"),
                             is_computational(masked if parity else F.col("question_text")).alias("computational"))
     offered = suggestions.select(F.col("question_id").alias("id"), "labels")
-    judged = validate_suggestions(texts, offered, topics, keywords, parity, max_broadcast)
+    judged = validate_suggestions(texts, offered, topics, keywords, parity, max_words)
     settled = judged.filter(F.col("topics").isNotNull()).select("id", "topics")
     open_texts = texts.join(settled, "id", "left_anti")
     if parity:
         open_texts = open_texts.join(judged.filter("valid").select("id"), "id", "left_semi")
-    ranked = top_topics_by_keywords(open_texts, keywords, concepts, max_broadcast,
+    ranked = top_topics_by_keywords(open_texts, keywords, concepts, max_words,
                                     open_texts.select("id", "computational"))
     by_words = ranked.groupBy("id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda s: s["topic"]).alias("worded"))
