@@ -127,13 +127,20 @@ def links_by_section(spark, sf):
     return lk.links_by_section(t.site_pages(spark, sf), parent_tag="h4").select("page_id", "section", "parent", "text")
 
 
-@query("links_by_heading", """WITH p AS (SELECT page_id, split_part(html, '<h1', 1) AS nav, regexp_extract_all(html, '(?is)<a\\b') AS a,
-  regexp_extract_all(substr(html, strpos(html, '<h1')), '(?is)<a\\b[^>]*href') AS after_h1, html FROM pages)
- SELECT page_id, len(after_h1) AS links FROM p WHERE len(after_h1) > 0""")
+def _plain_sql(expr):
+    expr = f"regexp_replace({expr}, '<[^>]*>', '', 'g')"
+    for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
+        expr = f"replace({expr}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
+
+
+@query("links_by_title", f"""WITH p AS (SELECT page_id, {_name_sql(_plain_sql("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"))} AS section,
+  unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) AS href FROM pages) SELECT page_id, section, count(*) AS links FROM p
+ WHERE section <> '' GROUP BY ALL""")
 def _(spark, sf):
-    """Links after the page's own heading (the navigation before it has no section)."""
-    rows = lk.links_by_section(t.table(spark, sf, "pages"), ["h1"])
-    return rows.groupBy("page_id").agg(F.count("*").alias("links"))
+    """Links under the page title (all of them, as pages have no other header before their navigation)."""
+    rows = lk.links_by_section(t.table(spark, sf, "pages"), ["title"])
+    return rows.groupBy("page_id", "section").agg(F.count("*").alias("links"))
 
 
 @query("theme_from_url", f"""WITH {LINKS_SQL} SELECT page_id, pos, CASE WHEN regexp_matches(url, 'theme-\\d+')
@@ -167,7 +174,7 @@ def _scaled(power, unit):
 @query("human_bytes", f"""SELECT page_id, CASE WHEN {_SIZE} < 1024 THEN ({_SIZE}) || ' B' WHEN {_SIZE} < 1048576 THEN {_scaled(1, 'KB')}
  WHEN {_SIZE} < 1073741824 THEN {_scaled(2, 'MB')} ELSE {_scaled(3, 'GB')} END AS size FROM pages""")
 def _(spark, sf):
-    return t.table(spark, sf, "pages").select("page_id", lk.human_bytes(F.expr(_SIZE.lower().replace("bigint", "bigint"))).alias("size"))
+    return t.table(spark, sf, "pages").select("page_id", lk.human_bytes(F.expr(_SIZE)).alias("size"))
 
 
 @query("download_totals", """WITH t AS (SELECT 'Theme ' || (page_id % 4) AS theme, count(*) AS files, CAST(sum(length(html)) AS BIGINT) AS bytes

@@ -1,15 +1,16 @@
 """Suggested topic labels: parsing answers, normalising, filtering, scoring and the tagging cascade."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.features import (allows_economic_problem, contains_any, estimate_marks,
                                           is_computational, max_topics)
-from paperloom.functions.names import first_case
 from paperloom.functions.text import mask_phrases
 from paperloom.operators.classify import MAX_BROADCAST_WORDS, fallback_topic, top_topics_by_keywords
 from paperloom.operators.taxonomy import CODED
-from paperloom.plans.scale import broadcast_if_small
+from paperloom.plans.scale import broadcast_if_small, cut_lineage
 
 # Answer shape, lead-ins and limits.
 ANSWER_LINE = r"(?i)Question\s+(\d+)\s*:\s*([^\n\r]+)"
@@ -162,12 +163,10 @@ def score_relevance(pairs: DataFrame, topics: DataFrame, keywords: DataFrame,
                     max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """pairs (id, text, topic, est_marks, ...) with `score`, the text dropped.
 
-    Topic profiles ride along each pair by a broadcast join while the keyword
-    table is small (else a plain join), so scoring is one pass over the pairs.
+    Topic profiles join by broadcast while they are few (else by a plain join), so
+    scoring is one pass over the pairs.
     """
-    profiles = topic_profiles(topics, keywords)
-    if broadcast_if_small(keywords, max_words)[1]:
-        profiles = F.broadcast(profiles)
+    profiles = broadcast_if_small(topic_profiles(topics, keywords), max_words)[0]
     low, topic = F.lower("text"), F.col("topic")
     title = F.when(low.contains(F.lower("topic")), 10.0).otherwise(0.0)
     hits = F.size(F.filter("words", lambda w: F.col("low").contains(w)))
@@ -240,7 +239,8 @@ def assign_topics(questions: DataFrame, topics: DataFrame, keywords: DataFrame,
     texts = untagged.select(F.col("question_id").alias("id"), masked.alias("text"),
                             is_computational(masked if parity else F.col("question_text")).alias("computational"))
     offered = suggestions.select(F.col("question_id").alias("id"), "labels")
-    judged = validate_suggestions(texts, offered, topics, keywords, parity, max_words)
+    # Read by every later step, so it is stored once; it holds ids and topics only.
+    judged = cut_lineage(validate_suggestions(texts, offered, topics, keywords, parity, max_words))
     settled = judged.filter(F.col("topics").isNotNull()).select("id", "topics")
     open_texts = texts.join(settled, "id", "left_anti")
     if parity:
@@ -248,11 +248,11 @@ def assign_topics(questions: DataFrame, topics: DataFrame, keywords: DataFrame,
     ranked = top_topics_by_keywords(open_texts, keywords, concepts, max_words,
                                     open_texts.select("id", "computational"))
     by_words = ranked.groupBy("id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda s: s["topic"]).alias("worded"))
-    joined = texts.select("id", fallback_topic(F.col("text")).alias("fallback")).join(
-        settled, "id", "left").join(by_words, "id", "left")
-    method = first_case([(F.size("topics") > 0, F.lit("suggested")), (F.size("worded") > 0, F.lit("keywords"))],
-                        F.lit("fallback"))
-    picked = F.when(F.size("topics") > 0, F.col("topics")).when(F.size("worded") > 0, F.col("worded")).otherwise(
-        F.array("fallback"))
-    return joined.select(F.col("id").alias("question_id"), picked.alias("topics"), method.alias("method"))
+        F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda s: s["topic"]).alias("topics"))
+    fallback = texts.select("id", F.array(fallback_topic(F.col("text"))).alias("topics"))
+    steps = [(settled, "suggested"), (by_words, "keywords"), (fallback, "fallback")]
+    offers = reduce(DataFrame.unionByName, [
+        df.filter(F.size("topics") > 0).select("id", F.lit(i).alias("step"), F.lit(name).alias("method"), "topics")
+        for i, (df, name) in enumerate(steps)])
+    return offers.groupBy("id").agg(F.min_by(F.struct("topics", "method"), "step").alias("best")).select(
+        F.col("id").alias("question_id"), "best.topics", "best.method")

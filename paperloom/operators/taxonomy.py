@@ -1,5 +1,6 @@
 """The topic taxonomy and the tables derived from it."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +128,8 @@ CODED = r"^\d+\.\d+\.\d+"
 
 def taxonomy(spark: SparkSession, topics: list[str] = TOPICS) -> DataFrame:
     """(topic, ord) in list order; pass any other list for another specification."""
-    return spark.createDataFrame([(t, i) for i, t in enumerate(topics)], TAXONOMY)
+    rows = pa.table({"topic": topics, "ord": pa.array(range(len(topics)), pa.int32())})
+    return spark.createDataFrame(rows, TAXONOMY)
 
 
 def topic_theme(topic: Column) -> Column:
