@@ -134,19 +134,25 @@ def select_time_budget(questions: DataFrame, group: list[str], target: Column, m
     at random, takes what fits target + tol and stops at target - tol. The
     restart nearest the target wins, the earliest on ties.
 
-    Time used only grows, so once a question of t minutes does not fit, no later
-    one of t minutes does: at most (target + tol) / t questions of each kind and
-    length can be taken, and they are the first of their order. Only those are
-    folded, at most about 1,000 rows per group and restart.
+    Only rows that can be taken are folded. A question of up to 2 * tol minutes
+    always fits while the time is under target - tol, so the ones taken are the
+    first of their kind, at most target - tol. Time used only grows, so once a
+    longer question of t minutes does not fit, no later one of t minutes does:
+    the ones taken are the first of their kind and length, at most
+    (target + tol) / t.
     """
     cap = F.col("_target") + tol
     rows = questions.select(
         *group, target.alias("_target"), F.when(F.col("is_short"), 0).otherwise(1).alias("kind"), "question_id",
         "marks", "minutes").filter((F.col("minutes") >= 1) & (F.col("minutes") <= cap))
-    tries = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")).withColumn(
-        "ord", seeded_order(seed, F.col("question_id"), F.col("restart")))
-    near = top_per_group(tries, [*group, "restart", "kind", "minutes"], [F.col("ord"), F.col("question_id")],
-                         max_target + tol).filter(F.col("rank") * F.col("minutes") <= cap)
+    length = F.when(F.col("minutes") > 2 * tol, F.col("minutes")).otherwise(0)
+    tries = rows.select("*", length.alias("length"), F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
+    ranked = top_per_group(
+        tries.withColumn("ord", seeded_order(seed, F.col("question_id"), F.col("restart"))),
+        ["restart", "kind", "length", *group], [F.col("ord"), F.col("question_id")],
+        max(max_target - tol, (max_target + tol) // (2 * tol + 1), 1))
+    near = ranked.filter(F.when(F.col("length") == 0, F.col("rank") <= F.col("_target") - tol)
+                         .otherwise(F.col("rank") * F.col("length") <= cap))
     lists = near.groupBy(*group, "restart").agg(
         F.first("_target").alias("_target"),
         F.array_sort(F.collect_list(F.struct("kind", "ord", "question_id", "minutes", "marks"))).alias("items"))

@@ -64,22 +64,23 @@ def resolve_name_collisions(files: DataFrame) -> DataFrame:
 
     The file already called so keeps the name, else the first path does. The
     keeper of each target is an aggregate joined back, so a target wanted by a
-    large share of the files is not gathered in one task.
+    large share of the files is not gathered in one task. Files without a target
+    get no new name.
     """
     keeper = first_per_key(
-        files.select("target", "path", "name"), ["target"],
+        files.filter(F.col("target").isNotNull()).select("target", "path", "name"), ["target"],
         [F.col("name") != F.col("target"), F.col("path")]).select("target", F.col("path").alias("keeper"))
-    unique = F.concat(names.stem(F.col("target")), F.lit("_"), F.md5("path"), names.extension(F.col("target")))
-    return files.join(keeper, "target").withColumn(
-        "new_name", F.when(F.col("path") == F.col("keeper"), F.col("target")).otherwise(unique)).drop("keeper")
+    target = F.col("target")
+    unique = F.concat(names.stem(target), F.lit("_"), F.md5("path"), names.extension(target))
+    return files.join(keeper, "target", "left").withColumn(
+        "new_name", F.when(F.col("path") == F.col("keeper"), target).otherwise(unique)).drop("keeper")
 
 
 def file_actions(files: DataFrame) -> DataFrame:
     """One action per parsed (and filled) file: skipped, moved or renamed, with the reason."""
     targeted = with_target_name(files)
     renames = ~F.col("is_canonical") & ~F.col("bad_paper") & F.col("is_complete")
-    settled = targeted.filter(~renames).withColumn("new_name", F.lit(None).cast("string"))
-    resolved = resolve_name_collisions(targeted.filter(renames))
+    resolved = resolve_name_collisions(targeted.withColumn("target", F.when(renames, F.col("target"))))
     same = F.col("new_name") == F.col("name")
     rules = [
         (F.col("is_canonical"), F.lit("skipped"), F.lit("Already correctly formatted"), F.col("name")),
@@ -92,9 +93,8 @@ def file_actions(files: DataFrame) -> DataFrame:
     def pick(i):
         return names.first_case([(r[0], r[i]) for r in rules])
 
-    both = settled.unionByName(resolved)
-    return both.select("path", F.col("name").alias("original_name"), pick(3).alias("new_name"),
-                       pick(1).alias("status"), pick(2).alias("message"))
+    return resolved.select("path", F.col("name").alias("original_name"), pick(3).alias("new_name"),
+                           pick(1).alias("status"), pick(2).alias("message"))
 
 
 def catalogue_summary(actions: DataFrame) -> DataFrame:

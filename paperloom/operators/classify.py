@@ -186,7 +186,8 @@ def match_keywords(texts: DataFrame, keywords: DataFrame, max_words: int = MAX_B
     """(id, keyword, match): EXACT, PARTIAL or RELATED, the first that holds, of each distinct keyword.
 
     `texts` has id and text; `keywords` has topic and keyword. Keywords under 3
-    characters are skipped.
+    characters are skipped. The least kind per pair is an aggregate over pairs
+    made in one task, so it is done before the shuffle.
     """
     lowered = texts.select("id", F.lower("text").alias("text"))
     words = keywords.select(F.trim(F.lower("keyword")).alias("word")).filter(F.length("word") >= 3).distinct()

@@ -188,22 +188,25 @@ def questions_by_qualification_topic(questions: DataFrame) -> DataFrame:
 
 
 def topic_report(questions: DataFrame) -> DataFrame:
-    """All counts of the analysis report in long form: (qualification, metric, key, n, marks).
+    """All counts of the analysis report in long form: (qualification, metric, key, n, marks, ...).
 
-    One scan: each question yields its (metric, key) cells, which are summed map-side.
+    Questions are first summed into (qualification, year, board, number, marks)
+    cells and (qualification, topic) cells; the metrics are read off the cells.
     """
     def cell(metric, key):
         return F.struct(F.lit(metric).alias("metric"), key.alias("key"))
 
+    figures = [F.sum("n").alias("n"), F.sum("marks").alias("marks"), F.min("lo").alias("min_marks"), F.max("hi").alias("max_marks")]
     number = F.col("question_number")
-    cells = F.concat(
-        F.array(cell("year", F.col("year")), cell("board", F.col("board")),
-                cell("question_type", question_type(number)), cell("number", number_label(number)),
-                cell("marks_range", marks_range(F.col("marks"))), cell("all", F.lit(""))),
-        F.transform(F.coalesce("topics", F.expr("cast(array() as array<string>)")),
-                    lambda t: F.struct(F.lit("topic").alias("metric"), t.alias("key"))))
-    return (questions.select(qualification_label(F.col("qualification")).alias("qualification"), "marks",
-                             F.explode(cells).alias("c"))
-            .groupBy("qualification", F.col("c.metric").alias("metric"), F.col("c.key").alias("key"))
-            .agg(F.count("*").alias("n"), F.sum("marks").alias("marks"),
-                 F.min("marks").alias("min_marks"), F.max("marks").alias("max_marks")))
+    cells = questions.groupBy("qualification", "year", "board", "question_number", F.col("marks").alias("mark")).agg(
+        F.count("*").alias("n")).withColumns({"marks": F.col("mark") * F.col("n"), "lo": F.col("mark"), "hi": F.col("mark")})
+    metrics = F.array(cell("year", F.col("year")), cell("board", F.col("board")),
+                      cell("question_type", question_type(number)), cell("number", number_label(number)),
+                      cell("marks_range", marks_range(F.col("mark"))), cell("all", F.lit("")))
+    by_cell = cells.select("qualification", F.explode(metrics).alias("c"), "n", "marks", "lo", "hi").select(
+        "qualification", "c.metric", "c.key", "n", "marks", "lo", "hi")
+    by_topics = by_topic(questions.select("qualification", "marks", "topics")).groupBy("qualification", "topic").agg(
+        F.count("*").alias("n"), F.sum("marks").alias("total"), F.min("marks").alias("lo"), F.max("marks").alias("hi")).select(
+        "qualification", F.lit("topic").alias("metric"), F.col("topic").alias("key"), "n", F.col("total").alias("marks"), "lo", "hi")
+    return by_cell.unionByName(by_topics).groupBy(
+        qualification_label(F.col("qualification")).alias("qualification"), "metric", "key").agg(*figures)

@@ -34,11 +34,12 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
                   rank: str = "rank") -> DataFrame:
     """Rows ranked 1..k of each group by ascending `order`, with the rank in column `rank`.
 
-    Two rounds: first per salted slice of the group, then over the at most
-    k * SALTS survivors. `rank <= k` is a literal limit, so Spark also cuts
-    each round map-side.
+    Two rounds: first per slice of the group, then over the at most k * SALTS
+    survivors. `rank <= k` is a literal limit, so Spark also cuts each round
+    map-side. Slices follow the input partitions, which lets that first cut see
+    all rows its task holds of a group; the result does not depend on them.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     by_slice = Window.partitionBy(*keys, "_salt").orderBy(*order)
     by_group = Window.partitionBy(*keys).orderBy(*order)
     return (salted.withColumn(rank, F.row_number().over(by_slice)).filter(F.col(rank) <= k)
