@@ -155,10 +155,11 @@ def share_of_max(counts: DataFrame, by: list[str] = (), value: str = "n") -> Dat
 
 
 def _against(counts: DataFrame, by: list[str], value: str, whole: Column, out: str) -> DataFrame:
-    scoped = counts if by else counts.withColumn("_all", F.lit(1))
-    keys = by or ["_all"]
-    joined = null_safe_join(scoped, scoped.groupBy(*keys).agg(whole.alias("_whole")), keys)
-    return joined.withColumn(out, F.col(value) / F.col("_whole")).drop("_whole", "_all")
+    """Value over the whole of its `by` group; without `by` the whole is a scalar subquery."""
+    if not by:
+        return counts.withColumn(out, F.col(value) / counts.agg(whole.alias("whole")).scalar())
+    joined = null_safe_join(counts, counts.groupBy(*by).agg(whole.alias("_whole")), by)
+    return joined.withColumn(out, F.col(value) / F.col("_whole")).drop("_whole")
 
 
 def topic_distribution(questions: DataFrame, by: list[str] = ()) -> DataFrame:
