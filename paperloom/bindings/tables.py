@@ -287,14 +287,13 @@ LABEL_ANSWERS_SQL = TOPICS_SQL + """, label_answers AS (
 
 
 def exam_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text): order priorities and parts worded as exam questions."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
-    return lines.join(parts, "l_partkey").withColumn("names", F.expr(_topic_array())).selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity as int)) as id",
-        "l_partkey", "l_suppkey", "l_linenumber", "cast(l_quantity as int) as qty", "p_name", "p_type", "names",
-    ).selectExpr("id", "l_partkey", "l_suppkey", EXAM_TEXT.format(
-        title="names[cast(l_suppkey % 87 as int)]") + " as text").dropDuplicates(["id"])
+    """(id, text): order lines and their parts worded as exam questions."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return table(spark, sf_dir, "lineitem").join(parts, "l_partkey").withColumn("names", F.expr(_topic_array())).selectExpr(
+        "*", "cast(l_quantity as int) as qty").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd'), qty, "
+        "cast(round(l_extendedprice * 100) as bigint)) as id", "l_partkey", "l_suppkey",
+        EXAM_TEXT.format(title="names[cast(l_suppkey % 87 as int)]") + " as text")
 
 
 EXAM_TEXT = """concat(
@@ -304,11 +303,12 @@ EXAM_TEXT = """concat(
    else 'Assess the monopoly in ' end,
   p_name, ' and ', {title}, ' (', qty, case when l_partkey % 2 = 0 then ' marks' else '' end, ')')"""
 
-EXAM_TEXTS_SQL = TOPICS_SQL + """, exam_texts AS (SELECT DISTINCT ON (id) * FROM (
- SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || qty AS id,
+EXAM_TEXTS_SQL = TOPICS_SQL + """, exam_texts AS (
+ SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' ||
+   strftime(l_shipdate, '%Y%m%d') || '-' || qty || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id,
   l_partkey, l_suppkey, """ + EXAM_TEXT.format(title="topic") + """ AS text
  FROM (SELECT *, CAST(l_quantity AS INTEGER) AS qty FROM lineitem) JOIN part ON p_partkey = l_partkey
- JOIN topics ON ord = l_suppkey % 87))"""
+ JOIN topics ON ord = l_suppkey % 87)"""
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
