@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import mixing, urlfilter
+from paperloom.llm import mixing, simhash, urlfilter
 from paperloom.llm.common import read
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -33,5 +37,6 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IS NULL THEN 'allow' ELSE (SELECT rv FROM rules WHERE rh || rp = rule) END AS verdict FROM best
 """
 
-QUERIES = {f.__name__: f for f in (op8_source_mix, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_dedup, op8_source_mix, op10_url_filter)}
 ORACLE = {"op10_url_filter": OP10_SQL}
