@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import mixing, simhash, urlfilter
+from paperloom.llm import mixing, simhash, toxicity, urlfilter
 from paperloom.llm.common import read
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -19,6 +19,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, docs, read(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -38,5 +43,5 @@ SELECT page_id, host, path, rule,
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_dedup, op8_source_mix, op10_url_filter)}
+    op1_simhash_dedup, op8_source_mix, op9_toxicity, op10_url_filter)}
 ORACLE = {"op10_url_filter": OP10_SQL}

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,24 +102,21 @@ def build_cascade(universe: DataFrame, fpr: float = 0.5, first_fpr: float = 0.01
     Empty universe or nothing listed: no levels, and no key is listed. Two keys
     of one hash pair (128 bits) would be one key.
     """
-    spark = universe.sparkSession
     levels: list[Bloom] = []
     left = {True: universe.filter("listed"), False: universe.filter("not listed")}
     while n := (side := left[len(levels) % 2 == 0]).count():
         level = bloom(side, n, first_fpr if not levels else fpr, max_bytes)
         other = len(levels) % 2 == 1
-        passes = _probe(spark, level)
+        passes = _probe(level)
         left[other] = left[other].filter(passes(F.col("h1"), F.col("h2")))
         levels.append(level)
     return Cascade(tuple(levels))
 
 
-def _probe(spark: SparkSession, keys: Bloom | Cascade):
-    sent = spark.sparkContext.broadcast(keys)
-
+def _probe(keys: Bloom | Cascade):
     @F.pandas_udf(T.BooleanType())
     def has(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.has(h1.to_numpy(), h2.to_numpy()))
+        return pd.Series(keys.has(h1.to_numpy(), h2.to_numpy()))
 
     return has
 
@@ -154,7 +151,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     allowed and blocked blocks; of two equally long rules the longer host wins.
     A URL without a rule gets `default`.
     """
-    spark = pages.sparkSession
     listed = _rule_keys(rules)
     shapes = sorted({(r.n if r.host else 0, r.chars) for r in listed.select(
         F.size(F.split("host", r"\.", -1)).alias("n"), F.length("path").alias("chars"), "host").distinct().toLocalIterator()})
@@ -167,19 +163,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     in_list = build_cascade(universe.select("h1", "h2", "listed"), max_bytes=max_bytes)
     blocked = build_cascade(universe.filter("listed").select("h1", "h2", F.col("blocked").alias("listed")),
                             max_bytes=max_bytes)
-    sent = spark.sparkContext.broadcast((in_list, blocked))
-
     @F.pandas_udf("struct<place int, blocked boolean>")
     def longest(h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
-        rules_, blocks = sent.value
         sizes = np.fromiter(map(len, h1), np.int64, len(h1))
         a, b = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (h1, h2))
-        hit = np.flatnonzero(rules_.has(a, b))
+        hit = np.flatnonzero(in_list.has(a, b))
         row = np.repeat(np.arange(len(h1)), sizes)[hit]
         first, at = np.unique(row, return_index=True)
         place, bad = np.full(len(h1), -1), np.zeros(len(h1), bool)
         place[first] = hit[at] - (np.cumsum(sizes) - sizes)[first]
-        bad[first] = blocks.has(a[hit[at]], b[hit[at]])
+        bad[first] = blocked.has(a[hit[at]], b[hit[at]])
         return pd.DataFrame({"place": place.astype(np.int32), "blocked": bad})
 
     judged = parted.withColumn("_k", _candidates(shapes))
