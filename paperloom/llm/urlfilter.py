@@ -47,16 +47,17 @@ def hashes(key: Column) -> list[Column]:
 
 @dataclass(frozen=True)
 class Bloom:
-    """A filter of `bits` bits, `words` of 64 each, probed `probes` times a key."""
+    """A filter of `bits` bits, `words` of 64 each, probed `probes` times a key from its `first` probe on."""
 
     words: np.ndarray
     bits: int
     probes: int
+    first: int
 
     def has(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         found = np.ones(len(h1), bool)
         a, b = h1.astype(np.int64).view(np.uint64), h2.astype(np.int64).view(np.uint64)
-        for i in range(self.probes):
+        for i in range(self.first, self.first + self.probes):
             # The same place as the column expression in `bloom`: pmod of the two halves' sum.
             at = ((a >> np.uint64(33)) + np.uint64(i) * (b >> np.uint64(33))) % np.uint64(self.bits)
             found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
@@ -80,19 +81,23 @@ class Cascade:
         return listed
 
 
-def bloom(keys: DataFrame, count: int, fpr: float, max_bytes: int = MAX_BYTES) -> Bloom:
-    """The filter of `count` keys with columns h1 and h2; only its words reach the driver."""
-    bits = max(64, math.ceil(-count * math.log(fpr) / math.log(2) ** 2))
+def bloom(keys: DataFrame, count: int, fpr: float, level: int = 0, max_bytes: int = MAX_BYTES) -> Bloom:
+    """The filter of `count` keys with columns h1 and h2; only its words reach the driver.
+
+    Each level has its own probes and size, so keys that clash in one part in the next.
+    """
+    bits = max(64, math.ceil(-count * math.log(fpr) / math.log(2) ** 2)) + 2 * level + 1
     if bits > 8 * max_bytes:
         raise ValueError(f"a filter of {bits >> 3} bytes is over the bound of {max_bytes}")
     probes = max(1, round(-math.log2(fpr)))
+    first = 32 * level
     half = lambda c: F.shiftrightunsigned(c, 33)
-    at = F.explode(F.array(*[(half(F.col("h1")) + half(F.col("h2")) * i) % bits for i in range(probes)])).alias("at")
+    at = F.explode(F.array(*[(half(F.col("h1")) + half(F.col("h2")) * i) % bits for i in range(first, first + probes)])).alias("at")
     words = (keys.select(at).groupBy((F.col("at") / 64).cast("bigint").alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toArrow())
     filled = np.zeros((bits + 63) // 64, np.int64)
     filled[words["word"].to_numpy()] = words["set"].to_numpy()
-    return Bloom(filled.view(np.uint64), bits, probes)
+    return Bloom(filled.view(np.uint64), bits, probes, first)
 
 
 def build_cascade(universe: DataFrame, fpr: float = 0.5, first_fpr: float = 0.01,
@@ -105,7 +110,7 @@ def build_cascade(universe: DataFrame, fpr: float = 0.5, first_fpr: float = 0.01
     levels: list[Bloom] = []
     left = {True: universe.filter("listed"), False: universe.filter("not listed")}
     while n := (side := left[len(levels) % 2 == 0]).count():
-        level = bloom(side, n, first_fpr if not levels else fpr, max_bytes)
+        level = bloom(side, n, fpr if levels else first_fpr, len(levels), max_bytes)
         other = len(levels) % 2 == 1
         passes = _probe(level)
         left[other] = left[other].filter(passes(F.col("h1"), F.col("h2")))
