@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import mixing, simhash, toxicity, urlfilter
+from paperloom.llm import fingerprints, mixing, simhash, toxicity, urlfilter
 from paperloom.llm.common import read
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -15,6 +15,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ SELECT page_id, host, path, rule,
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_dedup, op8_source_mix, op9_toxicity, op10_url_filter)}
+    op1_simhash_dedup, op4_weighted_fingerprints, op8_source_mix, op9_toxicity, op10_url_filter)}
 ORACLE = {"op10_url_filter": OP10_SQL}
