@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import fingerprints, mixing, simhash, toxicity, urlfilter
+from paperloom.llm import decontaminate, fingerprints, mixing, simhash, toxicity, urlfilter
 from paperloom.llm.common import read
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -19,6 +19,10 @@ def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ SELECT page_id, host, path, rule,
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_dedup, op4_weighted_fingerprints, op8_source_mix, op9_toxicity, op10_url_filter)}
+    op1_simhash_dedup, op4_weighted_fingerprints, op5_benchmark_leaks, op8_source_mix, op9_toxicity, op10_url_filter)}
 ORACLE = {"op10_url_filter": OP10_SQL}
