@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, fingerprints, mixing, simhash, toxicity, urlfilter
+from paperloom.llm import decontaminate, fingerprints, mixing, simhash, suffixdedup, toxicity, urlfilter
 from paperloom.llm.common import read
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -23,6 +24,11 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixdedup.cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -51,5 +57,5 @@ SELECT page_id, host, path, rule,
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_dedup, op4_weighted_fingerprints, op5_benchmark_leaks, op8_source_mix, op9_toxicity, op10_url_filter)}
+    op1_simhash_dedup, op4_weighted_fingerprints, op5_benchmark_leaks, op6_suffix_dedup, op8_source_mix, op9_toxicity, op10_url_filter)}
 ORACLE = {"op10_url_filter": OP10_SQL}
