@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, fingerprints, mixing, simhash, suffixdedup, toxicity, urlfilter
+from paperloom.llm import decontaminate, fingerprints, mixing, ngramlm, simhash, suffixdedup, toxicity, urlfilter
 from paperloom.llm.common import read
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -16,6 +16,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ SELECT page_id, host, path, rule,
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_dedup, op4_weighted_fingerprints, op5_benchmark_leaks, op6_suffix_dedup, op8_source_mix, op9_toxicity, op10_url_filter)}
+    op1_simhash_dedup, op2_lm_scores, op4_weighted_fingerprints, op5_benchmark_leaks, op6_suffix_dedup, op8_source_mix, op9_toxicity, op10_url_filter)}
 ORACLE = {"op10_url_filter": OP10_SQL}
