@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, fingerprints, mixing, ngramlm, simhash, suffixdedup, toxicity, urlfilter
+from paperloom.llm import chat, decontaminate, fingerprints, licenses, mixing, ngramlm, simhash, suffixdedup, toxicity, urlfilter
 from paperloom.llm.common import read
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -20,6 +20,11 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramlm.score_texts(read(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame(licenses.KNOWN, "license string, text string")
+    return licenses.scan(read(spark, sf_dir, "documents"), known)
+
+
 def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
 
@@ -33,6 +38,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read(spark, sf_dir, "conversations"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -60,6 +69,34 @@ SELECT page_id, host, path, rule,
   CASE WHEN rule IS NULL THEN 'allow' ELSE (SELECT rv FROM rules WHERE rh || rp = rule) END AS verdict FROM best
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP3_SQL = rf"""
+WITH known(license, text) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.KNOWN)}),
+spellings AS (SELECT MAP {{'licence': 'license', 'licences': 'licenses', 'licenced': 'licensed', 'licencing': 'licensing',
+  'sublicence': 'sublicense', 'favour': 'favor', 'organisation': 'organization', 'organisations': 'organizations',
+  'authorisation': 'authorization', 'authorised': 'authorized', 'judgement': 'judgment', 'acknowledgement': 'acknowledgment',
+  'fulfil': 'fulfill', 'whilst': 'while', 'http': 'https', 'noncommercial': 'nc', 'v2': '2', 'v3': '3'}} AS m),
+texts AS (SELECT 'd' AS kind, row_number() OVER () AS r, doc_id, NULL AS license, text FROM documents
+  UNION ALL SELECT 'k', row_number() OVER (), NULL, license, text FROM known),
+lines AS (SELECT kind, r, license, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT kind, r, license,
+  string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS l FROM texts WHERE text IS NOT NULL)),
+forms AS (SELECT kind, r, license, i, CASE WHEN regexp_matches(line, '^[^a-z0-9©]*(copyright|\(c\)|©)') THEN ''
+  ELSE array_to_string([coalesce(m[w], w) FOR w IN regexp_extract_all(line, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F©]+')], ' ') END AS form
+  FROM lines, spellings),
+wholes AS (SELECT kind, r, license, md5(string_agg(form, ' ' ORDER BY i)) AS digest FROM forms WHERE form <> '' GROUP BY ALL),
+listed AS (SELECT DISTINCT digest, license FROM wholes WHERE kind = 'k'),
+notices AS (SELECT r, string_agg(DISTINCT listed.license, ',' ORDER BY listed.license) AS notices
+  FROM forms JOIN listed ON digest = md5(form) WHERE kind = 'd' AND form <> '' GROUP BY r),
+whole AS (SELECT r, string_agg(DISTINCT listed.license, ',' ORDER BY listed.license) AS license
+  FROM wholes JOIN listed USING (digest) WHERE kind = 'd' GROUP BY r)
+SELECT t.doc_id, w.digest, whole.license, notices.notices FROM texts t LEFT JOIN wholes w ON w.kind = 'd' AND w.r = t.r
+  LEFT JOIN whole ON whole.r = t.r LEFT JOIN notices ON notices.r = t.r WHERE t.kind = 'd'
+"""
+
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_dedup, op2_lm_scores, op4_weighted_fingerprints, op5_benchmark_leaks, op6_suffix_dedup, op8_source_mix, op9_toxicity, op10_url_filter)}
-ORACLE = {"op10_url_filter": OP10_SQL}
+    op1_simhash_dedup, op2_lm_scores, op3_license_scan, op4_weighted_fingerprints, op5_benchmark_leaks, op6_suffix_dedup,
+    op7_chat_repair, op8_source_mix, op9_toxicity, op10_url_filter)}
+ORACLE = {"op3_license_scan": OP3_SQL, "op10_url_filter": OP10_SQL}
