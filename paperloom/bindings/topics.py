@@ -279,7 +279,7 @@ _RELEVANCE_SQL = _PAIRS_SQL + f""", profiles AS (SELECT topic, [w FOR w IN regex
 @query("score_relevance", f"WITH {_RELEVANCE_SQL} SELECT id, topic, CAST(round(score, 6) AS DOUBLE) AS score FROM relevance")
 def _(spark, sf):
     topics, words, _ = _exam_dictionary(spark)
-    scored = lb.score_relevance(_pairs(spark, sf), topics, words)
+    scored = lb.score_relevance(_pairs(spark, sf), topics, words, _exam(spark, sf))
     return scored.select("id", "topic", F.round("score", 6).alias("score"))
 
 
@@ -298,7 +298,7 @@ _SELECT_SQL = _RELEVANCE_SQL + f""", ranked AS (SELECT *, row_number() OVER (PAR
 @query("select_topics", f"WITH {_SELECT_SQL} SELECT id, array_to_string(topics, '|') AS topics FROM consistent")
 def _(spark, sf):
     topics, words, _ = _exam_dictionary(spark)
-    scored = lb.score_relevance(lb.quality_filter(_pairs(spark, sf)), topics, words)
+    scored = lb.score_relevance(lb.quality_filter(_pairs(spark, sf)), topics, words, _exam(spark, sf))
     return lb.select_topics(scored).select("id", F.array_join("topics", "|").alias("topics"))
 
 

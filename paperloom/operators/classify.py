@@ -1,32 +1,30 @@
 """Keyword tagging: matches, scores, bonuses and the best topics per text.
 
-Words of the dictionary are found with equi-joins, not by trying every word on
-every text. A text yields its distinct tokens; each dictionary word is filed
-under something one of its tokens must show: a whole token for whole words, the
-characters before an ending for inflected ones, the start of its longest run
-for words met anywhere. One-run words are decided on the token alone, longer
-ones are then looked up in the text. The dictionary side is broadcast after its
-size is checked, so texts are not shuffled; beyond that only ids and tokens are
-shuffled and the texts are joined back for the words met. Words need a letter
-or digit.
+Words of the dictionary are found with one equi-join, not by trying every word
+on every text. A word is filed under the start of its longest run of letters or
+of other signs; a text yields, in one pass, the distinct starts of all runs it
+holds. Where they meet, the word is looked up in the text once and every question
+about it is answered there: does it stand alone, have an ending, count as a
+mention. Words without a run of 3 characters are looked up in every text. All
+steps from matching to relevance read that one table of found words.
+
+Anchors are salted by the text, so a common one is no hot key; ids and words are
+what the join moves, and whether the dictionary is broadcast is up to its bytes.
 
 Word boundaries are ASCII: a word character is a letter a-z, a digit or '_'.
 """
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.features import contains_any, is_computational
 from paperloom.functions.names import first_case
 from paperloom.operators.taxonomy import title_phrases
-from paperloom.plans.scale import broadcast_if_small, top_per_group
+from paperloom.plans.scale import cut_lineage, top_per_group
 
-PIECE = 5
+PIECE, SHORT = 5, 3
 PARTIAL_LENGTH = 5
-TAIL_PIECE, TAIL_MARK = 6, "^"
-MAX_BROADCAST_WORDS = 200_000
+SALTS = 8
 
 # Clear synonyms; every inner list needs one hit.
 RELATED = {
@@ -48,31 +46,23 @@ CONCEPT_BONUS, MENTION_BONUS = 2.0, 5.0
 KEYWORD_THRESHOLD = 2.0
 
 
-RUN = "[a-z0-9_]+"
+RUN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+STARTS = rf"(?=([\p{{L}}\p{{N}}_]{{{SHORT},{PIECE}}}|[^\p{{L}}\p{{N}}_\s]{{{SHORT},{PIECE}}}))"
 ENDINGS = ["s ", "ing", "ed", "'s"]
 
 
-def tokens(text: Column) -> Column:
-    """Distinct runs of word characters."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
-
-
-def forms(text: Column) -> Column:
-    """Distinct runs with the genitive or blank after them."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"{RUN}(?:'s| )?"), F.lit(0)))
-
-
-def is_one_run(word: Column) -> Column:
-    return word.rlike(f"^{RUN}$")
+def anchors(text: Column) -> Column:
+    """Distinct starts, 3 to 5 characters long, of what a word's run could be in the text, and the empty one."""
+    longest = F.array_distinct(F.regexp_extract_all(text, F.lit(STARTS), F.lit(1)))
+    starts = F.transform(longest, lambda p: F.array(*[F.substring(p, 1, n) for n in range(SHORT, PIECE + 1)]))
+    return F.array_distinct(F.concat(F.flatten(starts), F.array(F.lit(""))))
 
 
-def longest_run(word: Column) -> Column:
+def word_anchor(word: Column) -> Column:
+    """The start of the longest run; empty if that has fewer than 3 characters."""
     runs = F.regexp_extract_all(word, F.lit(RUN), F.lit(0))
-    return F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
-
-
-def last_run(word: Column) -> Column:
-    return F.regexp_extract(word, f"({RUN})$", 1)
+    run = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
+    return F.when(F.length(run) >= SHORT, F.substring(run, 1, PIECE)).otherwise("")
 
 
 def is_exact(text: Column, word: Column, in_brackets: bool = True) -> Column:
@@ -107,97 +97,61 @@ def _all(text: Column, groups: list[list[str]]) -> Column:
     return condition
 
 
-def _meet(texts: DataFrame, filed: DataFrame, places: Callable[[DataFrame], DataFrame], test: Column,
-          max_words: int) -> DataFrame:
-    """(id, word): filed words whose anchor is among a text's places and that pass `test`.
-
-    `places` adds the columns token and anchor to a table with text; a word may
-    come out once per token.
-    """
-    dictionary, small = broadcast_if_small(filed, max_words)
-    rows = places(texts.select("id", "text"))
-    met = rows.join(dictionary, "anchor") if small else (
-        rows.drop("text").join(dictionary, "anchor").join(texts, "id"))
-    return met.filter(test).select("id", "word")
-
-
-def _token_rows(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("token", F.explode(tokens(F.col("text"))))
-
-
-def _pieces(token: Column, size: int, before: str = "") -> Column:
-    """Distinct pieces of a token, or those before a pattern."""
-    return F.array_distinct(F.regexp_extract_all(
-        token, F.lit(f"(?=({RUN[:-1]}{{{size}}}){before})"), F.lit(1)))
-
+def is_reasonable_mention(text: Column, keyword: Column) -> Column:
+    """Delimited on both sides, or longer than 5 characters and anywhere in the text."""
+    def around(before, after):
+        return text.contains(F.concat(F.lit(before), keyword, F.lit(after)))
 
-def meet_exact(texts: DataFrame, words: DataFrame, in_brackets: bool = True,
-               max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
-    """(id, word): dictionary words standing in the text as whole words, each once."""
-    text, word = F.col("text"), F.col("word")
-    return _meet(texts, words.select("word", longest_run(word).alias("anchor")),
-                 lambda t: _token_rows(t).withColumn("anchor", F.col("token")),
-                 (F.col("token") == word) | is_exact(text, word, in_brackets), max_words)
+    delimited = (around(" ", " ") | text.startswith(F.concat(keyword, F.lit(" ")))
+                 | text.endswith(F.concat(F.lit(" "), keyword)) | around(" ", ",") | around(" ", ".") | around("(", ")"))
+    return text.contains(keyword) & ((F.length(keyword) > 5) | delimited)
 
 
-def meet_partial(texts: DataFrame, words: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
-    """(id, word): dictionary words of 5 or more characters followed by an ending.
+def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, computational, word, present, exact, bare, partial, mention, related), stored.
 
-    One-run words are filed under their last 5 characters, others under the
-    first 6 of their last run with each ending (a token can only begin there).
+    `texts` has unique ids, text and maybe computational; `words` has word, in
+    lower case. A row says that the word is in the text (present) or is related
+    to it by a synonym, and which tests it passes; `bare` is exact without
+    brackets as delimiters. Texts are cut into anchors once.
     """
-    text, word, token = F.col("text"), F.col("word"), F.col("token")
-    long = words.filter((F.length("word") >= PARTIAL_LENGTH) & (last_run(word) != ""))
-    one = long.filter(is_one_run(word)).select(
-        "word", F.lit("").alias("tail"), word.alias("needle"), F.right(word, F.lit(PARTIAL_LENGTH)).alias("anchor"))
-    more = long.filter(~is_one_run(word)).select(
-        "word", F.explode(F.array(*[F.lit(e) for e in ENDINGS])).alias("ending")).select(
-        "word", F.concat(last_run(word), F.col("ending")).alias("tail"), F.concat("word", "ending").alias("needle"))
-    filed = one.unionByName(more.withColumn("anchor", F.concat(F.lit(TAIL_MARK), F.substring("tail", 1, TAIL_PIECE))))
-    sizes = [r[0] for r in more.select(F.least(F.length("tail"), F.lit(TAIL_PIECE))).distinct().collect()]
-    endings = f"(?:{'|'.join(ENDINGS)})"
-
-    def places(rows):
-        inflected = rows.withColumn("token", F.explode(forms(text))).filter(token.rlike(endings))
-        heads = [F.array(*[F.concat(F.lit(TAIL_MARK), F.substring(token, 1, n)) for n in sizes])] if sizes else []
-        return inflected.withColumn("anchor", F.explode(F.array_distinct(F.concat(
-            _pieces(token, PARTIAL_LENGTH, endings), *heads))))
-
-    test = F.when(F.col("tail") == "", is_partial(token, F.col("needle"))).otherwise(
-        token.startswith(F.col("tail")) & text.contains(F.col("needle")))
-    return _meet(texts, filed, places, test, max_words)
-
-
-def meet_anywhere(texts: DataFrame, words: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
-    """(id, word): dictionary words contained anywhere in the text."""
-    text, word, token = F.col("text"), F.col("word"), F.col("token")
-    filed = words.select("word", longest_run(word).alias("run"), is_one_run(word).alias("one_run")).withColumn(
-        "anchor", F.substring("run", 1, PIECE))
-    sizes = [r[0] for r in filed.select(F.length("anchor")).distinct().collect()]
-
-    def places(rows):
-        pieces = [_pieces(token, n) for n in sizes] or [F.expr("cast(array() as array<string>)")]
-        return _token_rows(rows).withColumn("anchor", F.explode(F.concat(*pieces)))
-
-    return _meet(texts, filed, places, token.contains(F.col("run")) & (F.col("one_run") | text.contains(word)), max_words)
-
-
-def match_keywords(texts: DataFrame, keywords: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+    text, word = F.col("text"), F.col("word")
+    flag = F.col("computational") if "computational" in texts.columns else is_computational(text)
+    lowered = texts.filter(text.isNotNull()).select("id", flag.alias("computational"), F.lower(text).alias("text"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    filed = words.filter(word.isNotNull()).select("word").distinct().select("word", word_anchor(word).alias("anchor"), salts)
+    shown = lowered.select("id", F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"), F.explode(anchors(text)).alias("anchor"))
+    meets = shown.join(filed, ["anchor", "salt"]).groupBy("id").agg(F.collect_list("word").alias("words"))
+    synonyms = _related_words(text)
+    rows = lowered.join(meets, "id", "left").select(
+        "id", "computational", "text", synonyms.alias("synonyms"),
+        F.explode(F.array_union(F.coalesce("words", F.expr("cast(array() as array<string>)")), synonyms)).alias("word"))
+    present = text.contains(word)
+    related = F.array_contains("synonyms", word)
+    found = rows.filter(present | related).select(
+        "id", "computational", "word", present.alias("present"), is_exact(text, word).alias("exact"),
+        is_exact(text, word, False).alias("bare"),
+        ((F.length(word) >= PARTIAL_LENGTH) & is_partial(text, word)).alias("partial"),
+        is_reasonable_mention(text, word).alias("mention"), related.alias("related"))
+    return cut_lineage(found)
+
+
+def keyword_words(keywords: DataFrame) -> DataFrame:
+    """Keywords as they are matched: trimmed, lower case, 3 characters or more."""
+    return keywords.select(F.trim(F.lower("keyword")).alias("word")).filter(F.length("word") >= 3).distinct()
+
+
+def match_keywords(texts: DataFrame, keywords: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(id, keyword, match): EXACT, PARTIAL or RELATED, the first that holds, of each distinct keyword.
 
     `texts` has id and text; `keywords` has topic and keyword. Keywords under 3
-    characters are skipped. The least kind per pair is an aggregate over pairs
-    made in one task, so it is done before the shuffle.
+    characters are skipped. `found` is `find_words` over these keywords, if it is at hand.
     """
-    lowered = texts.select("id", F.lower("text").alias("text"))
-    words = keywords.select(F.trim(F.lower("keyword")).alias("word")).filter(F.length("word") >= 3).distinct()
-    exact = meet_exact(lowered, words, True, max_words).withColumn("kind", F.lit(0))
-    partial = meet_partial(lowered, words, max_words).withColumn("kind", F.lit(1))
-    related = lowered.select("id", F.explode(_related_words(F.col("text"))).alias("word")).join(words, "word").select(
-        "id", "word", F.lit(2).alias("kind"))
-    best = exact.unionByName(partial).unionByName(related).groupBy("id", "word").agg(F.min("kind").alias("kind"))
-    name = F.get(F.array(*[F.lit(m) for m in ("EXACT", "PARTIAL", "RELATED")]), F.col("kind"))
-    return best.select("id", F.col("word").alias("keyword"), name.alias("match"))
+    words = keyword_words(keywords)
+    found = find_words(texts, words) if found is None else found
+    kind = F.when(F.col("exact"), "EXACT").when(F.col("partial"), "PARTIAL").when(F.col("related"), "RELATED")
+    return (found.withColumn("match", kind).filter(F.col("match").isNotNull()).join(words, "word", "left_semi")
+            .select("id", F.col("word").alias("keyword"), "match"))
 
 
 def score_keywords(matches: DataFrame, keywords: DataFrame, flags: DataFrame) -> DataFrame:
@@ -227,35 +181,44 @@ def is_calculation_topic(topic: Column) -> Column:
     return contains_any(topic, CALCULATION_TOPICS)
 
 
-def concept_bonus(texts: DataFrame, concepts: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+def concept_words(concepts: DataFrame) -> DataFrame:
+    return concepts.select(F.lower("concept").alias("word"), "topic").distinct()
+
+
+def concept_bonus(texts: DataFrame, concepts: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(id, topic, bonus): 2 for each concept of the topic found in the text."""
-    lowered = texts.select("id", F.lower("text").alias("text"))
-    listed = concepts.select(F.lower("concept").alias("word"), "topic").distinct()
-    found = meet_exact(lowered, listed.select("word").distinct(), False, max_words)
-    return found.join(listed, "word").groupBy("id", "topic").agg((F.count("*") * CONCEPT_BONUS).alias("bonus"))
+    listed = concept_words(concepts)
+    found = find_words(texts, listed) if found is None else found
+    return found.filter("bare").join(listed, "word").groupBy("id", "topic").agg((F.count("*") * CONCEPT_BONUS).alias("bonus"))
 
 
-def direct_mention_bonus(texts: DataFrame, topics: DataFrame, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+def direct_mention_bonus(texts: DataFrame, topics: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(id, topic, bonus): 5 when the title or one of its parts stands anywhere in the text."""
-    lowered = texts.select("id", F.lower("text").alias("text"))
     phrases = title_phrases(topics).withColumnRenamed("phrase", "word")
-    found = meet_anywhere(lowered, phrases.select("word").distinct(), max_words)
-    return found.join(phrases, "word").select("id", "topic").distinct().withColumn("bonus", F.lit(MENTION_BONUS))
+    found = find_words(texts, phrases) if found is None else found
+    return found.filter("present").join(phrases, "word").select("id", "topic").distinct().withColumn("bonus", F.lit(MENTION_BONUS))
+
+
+def tagging_words(topics: DataFrame, keywords: DataFrame, concepts: DataFrame) -> DataFrame:
+    """All words that keyword tagging looks for."""
+    return (keyword_words(keywords).unionByName(concept_words(concepts).select("word"))
+            .unionByName(title_phrases(topics).select(F.col("phrase").alias("word"))).distinct())
 
 
 def top_topics_by_keywords(texts: DataFrame, keywords: DataFrame, concepts: DataFrame,
-                           max_words: int = MAX_BROADCAST_WORDS, flags: DataFrame | None = None) -> DataFrame:
+                           found: DataFrame | None = None) -> DataFrame:
     """(id, rank, topic, score): up to 3 topics scoring 2 or more (2 scoring 3 for calculations).
 
     Topics are those of the keyword table; ties go to the lower topic string.
+    `found` is `find_words` over `tagging_words`, if it is at hand.
     """
-    if flags is None:
-        flags = texts.select("id", is_computational(F.col("text")).alias("computational"))
     topics = keywords.select("topic").distinct()
-    scored = score_keywords(match_keywords(texts, keywords, max_words), keywords, flags).select("id", "topic", "score")
+    found = find_words(texts, tagging_words(topics, keywords, concepts)) if found is None else found
+    flags = found.groupBy("id").agg(F.bool_or("computational").alias("computational"))
+    scored = score_keywords(match_keywords(texts, keywords, found), keywords, flags).select("id", "topic", "score")
     # A calculation topic gets its point without any keyword hit, so it can pass with a bonus alone.
-    extras = (concept_bonus(texts, concepts, max_words).join(topics, "topic", "left_semi")
-              .unionByName(direct_mention_bonus(texts, topics, max_words))
+    extras = (concept_bonus(texts, concepts, found).join(topics, "topic", "left_semi")
+              .unionByName(direct_mention_bonus(texts, topics, found))
               .select("id", "topic", F.col("bonus").alias("score")))
     summed = (scored.withColumn("hit", F.lit(True)).unionByName(extras.withColumn("hit", F.lit(False)))
               .groupBy("id", "topic").agg(F.sum("score").alias("score"), F.bool_or("hit").alias("hit"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from paperloom.functions.features import (allows_economic_problem, contains_any, estimate_marks,
                                           is_computational, max_topics)
 from paperloom.functions.text import mask_phrases
-from paperloom.operators.classify import MAX_BROADCAST_WORDS, fallback_topic, top_topics_by_keywords
+from paperloom.operators.classify import fallback_topic, find_words, tagging_words, top_topics_by_keywords
 from paperloom.operators.taxonomy import CODED
-from paperloom.plans.scale import broadcast_if_small, cut_lineage
+from paperloom.plans.scale import cut_lineage
 
 # Answer shape, lead-ins and limits.
 ANSWER_LINE = r"(?i)Question\s+(\d+)\s*:\s*([^\n\r]+)"
@@ -19,7 +19,7 @@ SINGLE_LEAD_IN = r"(?i)\b(topics?:?|the topics? (?:are?|is):?|relevant topics?:?
 LINE_LEAD_IN = r"(?i)\b(topics?:?|the topics? (?:are?|is):?)\s*"
 LABEL_LEAD_INS = [r"(?i)Topic:?\s*", r"(?i)The topic is:?\s*", r"(?i)The main topic is:?\s*",
                   r"(?i)The primary topic is:?\s*"]
-MAX_LABELS = 100
+PARITY_LABELS = 100
 
 # Relevance rules and scores.
 CALCULATION_MATCHES = [("elasticity", "elasticities"), ("revenue", "Revenue"), ("cost", "Costs"),
@@ -55,7 +55,8 @@ def parse_topic_labels(answers: DataFrame, parity: bool = False) -> DataFrame:
     """(batch_id, question_no, labels) from answers with one "Question N: ..." line per question.
 
     `answers` has batch_id, answer and n_questions. Numbers beyond the batch are
-    dropped, the last usable line of a number wins.
+    dropped, the last usable line of a number wins. With `parity` a line gives its
+    first 100 labels.
     """
     lines = F.arrays_zip(F.regexp_extract_all("answer", F.lit(ANSWER_LINE), F.lit(1)).alias("n"),
                          F.regexp_extract_all("answer", F.lit(ANSWER_LINE), F.lit(2)).alias("body"))
@@ -64,8 +65,8 @@ def parse_topic_labels(answers: DataFrame, parity: bool = False) -> DataFrame:
         split_labels(F.col("l.body"), parity).alias("labels"))
     usable = rows.filter((F.col("question_no") > 0) & (F.col("question_no") <= F.col("n_questions"))
                          & (F.size("labels") > 0))
-    return usable.groupBy("batch_id", "question_no").agg(
-        F.max_by(F.slice("labels", 1, MAX_LABELS), "line").alias("labels"))
+    labels = F.slice("labels", 1, PARITY_LABELS) if parity else F.col("labels")
+    return usable.groupBy("batch_id", "question_no").agg(F.max_by(labels, "line").alias("labels"))
 
 
 def parse_single_answer(answer: Column, parity: bool = False) -> Column:
@@ -112,14 +113,15 @@ def normalize_topic_label(labels: DataFrame, topics: DataFrame, parity: bool = F
 
 
 def validated_topics(suggestions: DataFrame, topics: DataFrame, parity: bool = False) -> DataFrame:
-    """(id, candidates): distinct topics of each id's labels in label order; at most 100 per id.
+    """(id, candidates): distinct topics of each id's labels in label order, at most the taxonomy's.
 
-    `suggestions` has id and labels. Ids without any valid label are left out.
+    `suggestions` has id and labels, any number of them. Ids without any valid label are left out.
     """
-    rows = suggestions.select("id", F.posexplode(F.slice("labels", 1, MAX_LABELS)).alias("pos", "label"))
+    rows = suggestions.select("id", F.posexplode("labels").alias("pos", "label"))
     named = rows.join(normalize_topic_label(rows, topics, parity), "label")
+    firsts = named.groupBy("id", "topic").agg(F.min("pos").alias("pos"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "topic"))), lambda s: s["topic"])
-    return named.groupBy("id").agg(F.array_distinct(ordered).alias("candidates"))
+    return firsts.groupBy("id").agg(ordered.alias("candidates"))
 
 
 def passes_quality(topic: Column, text: Column, computational: Column) -> Column:
@@ -141,43 +143,42 @@ def quality_filter(pairs: DataFrame) -> DataFrame:
 
 
 def topic_profiles(topics: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(topic, words, keywords): title words and keyword list of each topic."""
-    lists = keywords.groupBy("topic").agg(F.collect_list(F.lower("keyword")).alias("keywords"))
+    """(topic, word, use, times): the title, its words of more than 3 characters and the keywords of each topic."""
     bare = F.lower(F.regexp_replace("topic", CODED + r"\s+", ""))
     words = F.filter(F.split(F.regexp_replace(bare, "[(),]", ""), r"\s+"), lambda w: F.length(w) > 3)
-    return topics.select("topic", words.alias("words")).join(lists, "topic", "left").withColumn(
-        "keywords", F.coalesce("keywords", F.expr("cast(array() as array<string>)")))
+    listed = keywords.join(topics.select("topic"), "topic", "left_semi").select(
+        "topic", F.lower("keyword").alias("word"), F.lit("keyword").alias("use"))
+    rows = (topics.select("topic", F.lower("topic").alias("word"), F.lit("title").alias("use"))
+            .unionByName(topics.select("topic", F.explode(words).alias("word"), F.lit("title word").alias("use")))
+            .unionByName(listed))
+    return rows.groupBy("topic", "word", "use").agg(F.count("*").alias("times"))
 
 
-def is_reasonable_mention(text: Column, keyword: Column) -> Column:
-    """Delimited on both sides, or longer than 5 characters and anywhere in the text."""
-    def around(before, after):
-        return text.contains(F.concat(F.lit(before), keyword, F.lit(after)))
-
-    delimited = (around(" ", " ") | text.startswith(F.concat(keyword, F.lit(" ")))
-                 | text.endswith(F.concat(F.lit(" "), keyword)) | around(" ", ",") | around(" ", ".") | around("(", ")"))
-    return text.contains(keyword) & ((F.length(keyword) > 5) | delimited)
-
-
-def score_relevance(pairs: DataFrame, topics: DataFrame, keywords: DataFrame,
-                    max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+def score_relevance(pairs: DataFrame, topics: DataFrame, keywords: DataFrame, texts: DataFrame | None = None,
+                    found: DataFrame | None = None) -> DataFrame:
     """pairs (id, text, topic, est_marks, ...) with `score`, the text dropped.
 
-    Topic profiles join by broadcast while they are few (else by a plain join), so
-    scoring is one pass over the pairs.
+    `texts` (id, text) holds each text once, else the pairs' are folded; `found`
+    is `find_words` over the words of `topic_profiles`. Hits are counted per
+    text and topic on the found words, so no text meets a topic.
     """
-    profiles = broadcast_if_small(topic_profiles(topics, keywords), max_words)[0]
-    low, topic = F.lower("text"), F.col("topic")
-    title = F.when(low.contains(F.lower("topic")), 10.0).otherwise(0.0)
-    hits = F.size(F.filter("words", lambda w: F.col("low").contains(w)))
-    listed = F.least(F.size(F.filter("keywords", lambda k: is_reasonable_mention(F.col("low"), k))), F.lit(5))
-    base = F.lit(1.0) + F.col("title") + F.col("hits") * 2.0 + F.when(F.col("hits") > 1, 3.0).otherwise(0.0) + F.col("listed")
+    profiles = topic_profiles(topics, keywords)
+    if found is None:
+        texts = pairs.select("id", "text").dropDuplicates(["id"]) if texts is None else texts
+        found = find_words(texts, profiles)
+    use, times = F.col("use"), F.col("times")
+    counts = found.filter("present").join(profiles, "word").groupBy("id", "topic").agg(
+        F.max(F.when(use == "title", 10.0)).alias("title"), F.sum(F.when(use == "title word", times)).alias("hits"),
+        F.sum(F.when((use == "keyword") & F.col("mention"), times)).alias("listed"))
+    zero = F.lit(0).cast("long")
+    topic, hits = F.col("topic"), F.coalesce("hits", zero)
+    base = (F.lit(1.0) + F.coalesce("title", F.lit(0.0)) + hits * 2.0 + F.when(hits > 1, 3.0).otherwise(0.0)
+            + F.least(F.coalesce("listed", zero), F.lit(5)))
     toned = F.when(topic.isin(OVERUSED) & (F.col("base") < 8.0), F.col("base") * 0.7).otherwise(F.col("base"))
     complex_bonus = F.when((F.col("est_marks") >= 10) & contains_any(topic, COMPLEX), 1.5).otherwise(0.0)
-    scored = (pairs.join(profiles, "topic").withColumn("low", low)
-              .withColumns({"title": title, "hits": hits, "listed": listed}).withColumn("base", base)
-              .withColumn("score", toned + complex_bonus))
-    return scored.drop("text", "low", "title", "hits", "listed", "base", "words", "keywords")
+    known = pairs.drop("text").join(topics.select("topic"), "topic", "left_semi")
+    return (known.join(counts, ["id", "topic"], "left").withColumn("base", base)
+            .withColumn("score", toned + complex_bonus).drop("title", "hits", "listed", "base"))
 
 
 def consistent_topics(topics: Column) -> Column:
@@ -194,7 +195,7 @@ def select_topics(scored: DataFrame) -> DataFrame:
 
     Best scores up to the limit for the marks, above 2 (3 for calculations); the
     first candidate when none is above. Ties go to the lower topic string. An id
-    has at most 100 candidates, so its list is bounded.
+    has no more candidates than there are topics, so its list is bounded.
     """
     lists = scored.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "topic"))).alias("ranked"),
@@ -208,7 +209,7 @@ def select_topics(scored: DataFrame) -> DataFrame:
 
 
 def validate_suggestions(texts: DataFrame, suggestions: DataFrame, topics: DataFrame, keywords: DataFrame,
-                         parity: bool = False, max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+                         parity: bool = False, found: DataFrame | None = None) -> DataFrame:
     """(id, valid, topics): topics chosen among each id's suggested labels.
 
     `texts` has id, text and computational. `valid` tells whether any label was
@@ -219,19 +220,19 @@ def validate_suggestions(texts: DataFrame, suggestions: DataFrame, topics: DataF
     pairs = asked.filter(F.col("candidates").isNotNull()).select(
         "id", "text", "computational", estimate_marks(F.col("text"), parity).alias("est_marks"),
         F.posexplode("candidates").alias("pos", "topic"))
-    chosen = select_topics(score_relevance(quality_filter(pairs), topics, keywords, max_words))
+    chosen = select_topics(score_relevance(quality_filter(pairs), topics, keywords, texts, found))
     return asked.select("id", F.col("candidates").isNotNull().alias("valid")).join(chosen, "id", "left")
 
 
 def assign_topics(questions: DataFrame, topics: DataFrame, keywords: DataFrame, concepts: DataFrame,
-                  suggestions: DataFrame, parity: bool = False,
-                  max_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+                  suggestions: DataFrame, parity: bool = False) -> DataFrame:
     """(question_id, topics, method) of questions with a text and no topics yet.
 
     `suggestions` has question_id and labels. Suggested labels come first, then
-    keywords, then the fallback rules. With `parity`, a question without any
-    valid label goes straight to the fallback, and calculations are recognised
-    after masking.
+    keywords, then the fallback rules for what is still open. With `parity`, a
+    question without any valid label goes straight to the fallback, and
+    calculations are recognised after masking. Each text is searched for the
+    words of all steps once.
     """
     untagged = questions.filter((F.coalesce(F.size("topics"), F.lit(-1)) <= 0)
                                 & (F.coalesce("question_text", F.lit("")) != ""))
@@ -239,20 +240,21 @@ def assign_topics(questions: DataFrame, topics: DataFrame, keywords: DataFrame,
     texts = untagged.select(F.col("question_id").alias("id"), masked.alias("text"),
                             is_computational(masked if parity else F.col("question_text")).alias("computational"))
     offered = suggestions.select(F.col("question_id").alias("id"), "labels")
+    words = tagging_words(keywords.select("topic").distinct(), keywords, concepts).unionByName(
+        topic_profiles(topics, keywords).select("word"))
+    found = find_words(texts, words)
     # Read by every later step, so it is stored once; it holds ids and topics only.
-    judged = cut_lineage(validate_suggestions(texts, offered, topics, keywords, parity, max_words))
+    judged = cut_lineage(validate_suggestions(texts, offered, topics, keywords, parity, found))
     settled = judged.filter(F.col("topics").isNotNull()).select("id", "topics")
-    open_texts = texts.join(settled, "id", "left_anti")
+    open_words = found.join(settled, "id", "left_anti")
     if parity:
-        open_texts = open_texts.join(judged.filter("valid").select("id"), "id", "left_semi")
-    ranked = top_topics_by_keywords(open_texts, keywords, concepts, max_words,
-                                    open_texts.select("id", "computational"))
+        open_words = open_words.join(judged.filter("valid").select("id"), "id", "left_semi")
+    ranked = top_topics_by_keywords(texts, keywords, concepts, open_words)
     by_words = ranked.groupBy("id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda s: s["topic"]).alias("topics"))
-    fallback = texts.select("id", F.array(fallback_topic(F.col("text"))).alias("topics"))
-    steps = [(settled, "suggested"), (by_words, "keywords"), (fallback, "fallback")]
-    offers = reduce(DataFrame.unionByName, [
-        df.filter(F.size("topics") > 0).select("id", F.lit(i).alias("step"), F.lit(name).alias("method"), "topics")
-        for i, (df, name) in enumerate(steps)])
-    return offers.groupBy("id").agg(F.min_by(F.struct("topics", "method"), "step").alias("best")).select(
-        F.col("id").alias("question_id"), "best.topics", "best.method")
+    steps = [(settled, "suggested"), (by_words, "keywords")]
+    done = cut_lineage(reduce(DataFrame.unionByName, [
+        df.filter(F.size("topics") > 0).select("id", "topics", F.lit(name).alias("method")) for df, name in steps]))
+    fallback = texts.join(done, "id", "left_anti").select(
+        "id", F.array(fallback_topic(F.col("text"))).alias("topics"), F.lit("fallback").alias("method"))
+    return done.unionByName(fallback).select(F.col("id").alias("question_id"), "topics", "method")

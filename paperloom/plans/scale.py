@@ -99,18 +99,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """The table as a broadcast local one when it has at most `max_rows` rows, else as it is.
-
-    At most max_rows + 1 rows of a dictionary reach the driver, once, instead of
-    its query being run again wherever it is joined.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return df, False
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names (a scratch folder only in local mode)."""
     spark = df.sparkSession

@@ -51,20 +51,21 @@ def keywords(spark):
     return spark.createDataFrame(KEYWORDS, "topic string, keyword string")
 
 
-@pytest.mark.parametrize("max_words", [cl.MAX_BROADCAST_WORDS, 0])
-def test_match_kinds(texts, keywords, max_words):
+@pytest.mark.parametrize("limit", ["10485760", "-1"])
+def test_match_kinds(spark, texts, keywords, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     words = {k.strip().lower() for _, k in KEYWORDS if len(k.strip()) > 2}
     expected = {(i, w, kind(t.lower(), w)) for i, t in TEXTS.items() for w in words if kind(t.lower(), w)}
-    got = [tuple(r) for r in cl.match_keywords(texts, keywords, max_words).collect()]
+    got = [tuple(r) for r in cl.match_keywords(texts, keywords).collect()]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert set(got) == expected and len(got) == len(expected)
 
 
-@pytest.mark.parametrize("max_words", [cl.MAX_BROADCAST_WORDS, 0])
-def test_mentions(spark, texts, max_words):
+def test_mentions(spark, texts):
     topics = taxonomy(spark)
     phrases = [tuple(r) for r in title_phrases(topics).collect()]
     expected = {(i, t) for i, text in TEXTS.items() for t, p in phrases if p in text.lower()}
-    got = {(r["id"], r["topic"]) for r in cl.direct_mention_bonus(texts, topics, max_words).collect()}
+    got = {(r["id"], r["topic"]) for r in cl.direct_mention_bonus(texts, topics).collect()}
     assert got == expected and expected
 
 
@@ -153,7 +154,36 @@ def test_matches_do_not_depend_on_partitions(spark, texts, keywords):
     assert runs[0] == runs[1] == runs[2]
 
 
-def test_hot_text_stays_in_the_map_stage(spark, texts, keywords):
-    plan = cl.meet_exact(texts.select("id", F.lower("text").alias("text")), keywords.select(
-        F.trim(F.lower("keyword")).alias("word")).distinct())._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "NestedLoop" not in plan
+def test_words_in_other_scripts_and_signs(spark):
+    """Words without an ASCII letter, of signs only, or ending in a sign are found like any other."""
+    texts = spark.createDataFrame([(1, "рост спрос падает"), (2, "a +++++ b"), (3, "(see word)ing here"), (4, "rise c++ing"), (5, "x c++ y"),
+                                   (6, "预算 赤字 预算赤字s ")], "id int, text string")
+    words = ["спрос", "+++++", "word)", "rise c++", "c++", "预算赤字", "£££"]
+    keywords = spark.createDataFrame([("1.2.2 Demand", w) for w in words], "topic string, keyword string")
+    expected = {(i, w, kind(t, w)) for i, t in texts.collect() for w in words if kind(t, w)}
+    assert {tuple(r) for r in cl.match_keywords(texts, keywords).collect()} == expected
+    assert {(1, "спрос", "EXACT"), (2, "+++++", "EXACT"), (3, "word)", "PARTIAL"), (4, "rise c++", "PARTIAL")} <= expected
+
+
+def test_texts_are_cut_into_anchors_once(spark, texts, keywords, monkeypatch):
+    plans = []
+    monkeypatch.setattr(cl, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    monkeypatch.setattr(lb, "cut_lineage", lambda df: df)
+    concepts = spark.createDataFrame([("real gdp", "2.1.1 Economic growth")], "concept string, topic string")
+    cl.top_topics_by_keywords(texts, keywords, concepts)
+    questions = texts.select(F.col("id").cast("string").alias("question_id"), F.col("text").alias("question_text"),
+                             F.lit(None).cast("array<string>").alias("topics"))
+    offered = questions.select("question_id", F.array(F.lit("1.2.2 Demand")).alias("labels"))
+    lb.assign_topics(questions, taxonomy(spark), keywords, concepts, offered)
+    assert len(plans) == 2
+    for plan in plans:
+        assert plan.count("{3,5}|[^") == 1 and "NestedLoop" not in plan
+
+
+def test_any_number_of_labels(spark):
+    labels = [f"junk {i}" for i in range(150)] + ["1.2.4 Supply"] + ["1.2.4 supply"] * 30
+    got = lb.validated_topics(spark.createDataFrame([("a", labels)], "id string, labels array<string>"), taxonomy(spark)).collect()
+    assert [(r.id, r.candidates) for r in got] == [("a", ["1.2.4 Supply"])]
+    line = "Question 1: " + ", ".join(f"1.2.{i} Topic number {i}" for i in range(130))
+    answers = spark.createDataFrame([(1, line, 1)], "batch_id int, answer string, n_questions int")
+    assert [len(lb.parse_topic_labels(answers, parity).first().labels) for parity in (False, True)] == [130, 100]
