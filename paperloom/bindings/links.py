@@ -115,7 +115,8 @@ def _(spark, sf):
     return lk.unique_filenames(_links(spark, sf).filter("url <> ''").select("url").distinct())
 
 
-_SECTIONS = """SELECT page_id, 'Theme-' || (page_id % 4) || '-notes' AS section, 'Theme-' || (page_id % 4) || '-notes' AS parent,
+_SECTIONS = """SELECT page_id, 'Set-' || (page_id % 6) AS section, NULL AS parent, 'Extra' AS text FROM pages
+ UNION ALL SELECT page_id, 'Theme-' || (page_id % 4) || '-notes' AS section, 'Theme-' || (page_id % 4) || '-notes' AS parent,
   'Notes & more' AS text FROM pages
  UNION ALL SELECT page_id, 'Theme-' || (page_id % 4) || '-notes', 'Theme-' || (page_id % 4) || '-notes', 'On site' FROM pages
  UNION ALL SELECT page_id, 'Past-papers', 'Theme-' || (page_id % 4) || '-notes', 'Paper' FROM pages
@@ -156,7 +157,7 @@ def _(spark, sf):
 
 
 @query("drop_empty_sections", f"""WITH s AS ({_SECTIONS}) SELECT DISTINCT page_id, section FROM s
- WHERE section = 'Past-papers' OR page_id % 4 <> 1""")
+ WHERE section = 'Past-papers' OR starts_with(section, 'Set-') OR page_id % 4 <> 1""")
 def _(spark, sf):
     rows = lk.links_by_section(t.site_pages(spark, sf))
     sections = rows.select("page_id", "section").distinct()

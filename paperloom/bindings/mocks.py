@@ -108,7 +108,7 @@ def _(spark, sf):
     """Questions of all lengths, so that long ones are skipped on the way to 60 minutes."""
     rows = t.questions(spark, sf).filter("marks is not null").withColumn("minutes", F.round(F.col("marks") * 2.5).cast("int")).withColumn(
         "is_short", F.col("marks") <= 10)
-    return am.select_time_budget(rows, ["board", "paper"], F.lit(60), 60, SEED, restarts=50)
+    return am.select_time_budget(rows, ["board", "paper"], F.lit(60), SEED, restarts=50)
 
 
 _CTX = t.QUESTIONS_SQL + ", " + CONTEXT_SQL

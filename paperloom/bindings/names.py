@@ -70,12 +70,16 @@ _TARGET = ("coalesce(topic, 'unknown') || '_' || coalesce(qualification, 'unknow
            "coalesce(doc_type, 'unknown') || extension")
 TARGET_SQL = FILLED_SQL + f", targeted AS (SELECT *, {_COMPLETE} AS is_complete, {_TARGET} AS target FROM filled)"
 ACTIONS_SQL = TARGET_SQL + """, renames AS (
- SELECT *, row_number() OVER (PARTITION BY target ORDER BY name <> target, path) AS claim FROM targeted
+ SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM targeted
  WHERE NOT is_canonical AND NOT bad_paper AND is_complete),
+claims AS (SELECT folder, target, path, name <> target AS late FROM renames
+ UNION ALL SELECT regexp_extract(path, '^(.*)/[^/]*$', 1), name, path, false FROM targeted),
+keepers AS (SELECT folder, target, path AS keeper FROM claims
+ QUALIFY row_number() OVER (PARTITION BY folder, target ORDER BY late, path) = 1),
 named AS (
- SELECT path, name, CASE WHEN claim = 1 THEN target ELSE
+ SELECT path, name, CASE WHEN path = keeper THEN target ELSE
   regexp_replace(target, '\\.[^.]*$', '') || '_' || md5(path) || regexp_extract(target, '(\\.[^.]*)$', 1) END AS new_name
- FROM renames),
+ FROM renames JOIN keepers USING (folder, target)),
 actions AS (
  SELECT f.path, f.name AS original_name,
   CASE WHEN is_canonical THEN f.name WHEN bad_paper OR NOT is_complete THEN NULL ELSE new_name END AS new_name,
@@ -174,9 +178,9 @@ def _(spark, sf):
 
 @query("resolve_name_collisions", f"WITH {ACTIONS_SQL} SELECT path, new_name FROM named")
 def _(spark, sf):
-    targeted = cat.with_target_name(_filled(spark, sf))
-    return cat.resolve_name_collisions(
-        targeted.filter("not is_canonical and not bad_paper and is_complete")).select("path", "new_name")
+    renamed = F.expr("not is_canonical and not bad_paper and is_complete")
+    targeted = cat.with_target_name(_filled(spark, sf)).withColumn("target", F.when(renamed, F.col("target")))
+    return cat.resolve_name_collisions(targeted).filter("target is not null").select("path", "new_name")
 
 
 @query("file_actions", f"WITH {ACTIONS_SQL} SELECT * FROM actions")

@@ -196,14 +196,13 @@ _FOLDER = ["topic", "board", "qualification", "year", "paper", "question_number"
 
 
 @query("pair_questions_with_markschemes", f"""WITH {t.QUESTIONS_SQL}, q AS (SELECT board, qualification, year, paper, question_number,
-  min(question_file) AS question_file, min(content_md5) AS content_md5 FROM questions WHERE marks > 20 GROUP BY ALL),
- m AS (SELECT board, qualification, year, paper, question_number, min(markscheme_file) AS markscheme_file,
-  min(markscheme_md5) AS markscheme_md5 FROM questions WHERE markscheme_file IS NOT NULL AND marks <= 20 GROUP BY ALL)
+  question_file, content_md5 FROM questions QUALIFY row_number() OVER (PARTITION BY board, qualification, year, paper,
+   question_number ORDER BY question_file, content_md5) = 1),
+ m AS (SELECT board, qualification, year, paper, question_number, markscheme_file, markscheme_md5 FROM questions
+  WHERE markscheme_file IS NOT NULL QUALIFY row_number() OVER (PARTITION BY board, qualification, year, paper,
+   question_number ORDER BY markscheme_file, markscheme_md5) = 1)
  SELECT 'economics' AS topic, * FROM q JOIN m USING (board, qualification, year, paper, question_number)""")
 def _(spark, sf):
     rows = t.questions(spark, sf).withColumn("topic", F.lit("economics"))
-    questions = rows.filter("marks > 20").groupBy(*_FOLDER).agg(
-        F.min("question_file").alias("question_file"), F.min("content_md5").alias("content_md5"))
-    schemes = rows.filter("markscheme_file is not null and marks <= 20").groupBy(*_FOLDER).agg(
-        F.min("markscheme_file").alias("markscheme_file"), F.min("markscheme_md5").alias("content_md5"))
-    return sg.pair_questions_with_markschemes(questions, schemes)
+    schemes = rows.filter("markscheme_file is not null").select(*_FOLDER, "markscheme_file", F.col("markscheme_md5").alias("content_md5"))
+    return sg.pair_questions_with_markschemes(rows, schemes)

@@ -95,8 +95,8 @@ def essay_sql(number: str = "question_number") -> str:
 
 
 def extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extract files of papers: those of orders placed in the first quarter of a year."""
-    orders = table(spark, sf_dir, "orders").filter("month(o_orderdate) <= 3")
+    """Extract files of papers, one at most for each order."""
+    orders = table(spark, sf_dir, "orders")
     return orders.selectExpr(
         "case o_orderkey % 3 when 0 then 'aqa' when 1 then 'edexcel' else 'ocr' end as board",
         "case o_orderkey % 2 when 0 then 'alevel' else 'as' end as qualification",
@@ -105,7 +105,7 @@ def extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "else substr(o_orderpriority, 1, 1) end as paper",
         "case o_orderkey % 5 when 0 then 'extract1' when 1 then 'extract2' else 'extract' end as extract"
     ).distinct().selectExpr("*", "concat_ws('/', '/bank', board, qualification, year, paper, concat(extract, '.pdf')) "
-                                 "as extract_file").filter("year <> '1997' and paper <> '3'")
+                                 "as extract_file")
 
 
 EXTRACTS_SQL = """extracts AS (
@@ -117,7 +117,7 @@ EXTRACTS_SQL = """extracts AS (
    CASE WHEN o_orderpriority LIKE '5%' THEN '2' WHEN o_orderpriority LIKE '4%' THEN '1'
     ELSE substr(o_orderpriority, 1, 1) END AS paper,
    CASE o_orderkey % 5 WHEN 0 THEN 'extract1' WHEN 1 THEN 'extract2' ELSE 'extract' END AS extract
-  FROM orders WHERE month(o_orderdate) <= 3) WHERE year <> '1997' AND paper <> '3')"""
+  FROM orders))"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +127,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey", "o_orderkey").selectExpr(
         "concat('in/', o_orderkey) as path", """case o_orderkey % 8
         when 0 then concat('economics_alevel_edexcel_', y, '_paper', p, '_questionpaper.pdf')
-        when 1 then concat('June ', y, ' MS - Paper ', p, ' Edexcel Economics A-level.pdf')
-        when 2 then concat('Paper ', p, ' QP ', y, '.pdf')
+        when 1 then concat('June ', y, case when o_custkey % 2 = 0 then ' MS' else ' QP' end, ' - Paper ', p, ' Edexcel Economics A-level.pdf')
+        when 2 then concat(case when o_custkey % 3 = 0 then 'Edexcel Economics A-level ' else '' end, 'Paper ', p, ' QP ', y, '.pdf')
         when 3 then concat('question paper unit ', p, '.pdf')
         when 4 then concat('x as-level aqa maths ', y, ' mark scheme p', p, '.docx')
         when 5 then concat('exams_', y)
@@ -139,8 +139,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES_SQL = """files AS (
  SELECT 'in/' || o_orderkey AS path, CASE o_orderkey % 8
    WHEN 0 THEN 'economics_alevel_edexcel_' || y || '_paper' || p || '_questionpaper.pdf'
-   WHEN 1 THEN 'June ' || y || ' MS - Paper ' || p || ' Edexcel Economics A-level.pdf'
-   WHEN 2 THEN 'Paper ' || p || ' QP ' || y || '.pdf'
+   WHEN 1 THEN 'June ' || y || CASE WHEN o_custkey % 2 = 0 THEN ' MS' ELSE ' QP' END || ' - Paper ' || p || ' Edexcel Economics A-level.pdf'
+   WHEN 2 THEN CASE WHEN o_custkey % 3 = 0 THEN 'Edexcel Economics A-level ' ELSE '' END || 'Paper ' || p || ' QP ' || y || '.pdf'
    WHEN 3 THEN 'question paper unit ' || p || '.pdf'
    WHEN 4 THEN 'x as-level aqa maths ' || y || ' mark scheme p' || p || '.docx'
    WHEN 5 THEN 'exams_' || y
@@ -317,7 +317,8 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<h4>Theme ', page_id % 4, ' notes</h4><p><a class="x" href="files/../docs/n', page_id, '.pdf">Notes &amp; more</a>',
         '<a href="https://docs.example.org/theme-', page_id % 5, '/">On <b>site</b></a></p><h5>Past: papers</h5><ul>',
         '<li><a href="//cdn.example.org/p', page_id % 50, '.docx">Paper</a></li>',
-        '<li><a href="mailto:a@example.org">Mail</a></li></ul><strong> </strong><a href="?page=', page_id % 3, '">More</a>')
+        '<li><a href="mailto:a@example.org">Mail</a></li></ul><strong> </strong><a href="?page=', page_id % 3, '">More</a>',
+        '<strong>Set ', page_id % 6, '</strong><a href="https://docs.example.org/s.pdf">Extra</a>')
         as html""")
 
 
@@ -326,5 +327,6 @@ SITE_PAGES_SQL = """site_pages AS (
   '<h4>Theme ', page_id % 4, ' notes</h4><p><a class="x" href="files/../docs/n', page_id, '.pdf">Notes &amp; more</a>',
   '<a href="https://docs.example.org/theme-', page_id % 5, '/">On <b>site</b></a></p><h5>Past: papers</h5><ul>',
   '<li><a href="//cdn.example.org/p', page_id % 50, '.docx">Paper</a></li>',
-  '<li><a href="mailto:a@example.org">Mail</a></li></ul><strong> </strong><a href="?page=', page_id % 3, '">More</a>')
+  '<li><a href="mailto:a@example.org">Mail</a></li></ul><strong> </strong><a href="?page=', page_id % 3, '">More</a>',
+        '<strong>Set ', page_id % 6, '</strong><a href="https://docs.example.org/s.pdf">Extra</a>')
   AS html FROM pages)"""

@@ -4,7 +4,7 @@ Random choices order rows by md5(id | ... | seed), so results do not depend on
 partitioning. Selections first keep the only rows that a group's budget could
 ever take, with the proof beside each limit; what is folded afterwards is small
 whatever the group's size. Marks are at least 1, as the marks rule yields; rows
-with fewer marks are never candidates. Unknown marks (NULL) count as larger
+with fewer, which no budget could bound, go to the table of `unpriced`. Unknown marks (NULL) count as larger
 than any limit, as questions of unknown length.
 """
 
@@ -73,6 +73,11 @@ def markscheme_index(questions: DataFrame, page_counts: DataFrame, scope: list[s
                          (F.col("before") + 2).cast("long").alias("start_page"))
 
 
+def unpriced(questions: DataFrame, cost: str = "marks") -> DataFrame:
+    """The rows that selections by marks (or minutes) leave out because they cost less than 1."""
+    return questions.filter(F.col(cost) < 1)
+
+
 def _pools(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Essay-like questions (essays or 10 marks and more) and short ones."""
     essay = is_essay(F.col("question_number")) | (known_or_max(F.col("marks")) >= ESSAY_MARKS)
@@ -125,14 +130,15 @@ def select_ascending_to_target(questions: DataFrame, group: list[str], target: i
         *group, "question_id", "marks", "seq")
 
 
-def select_time_budget(questions: DataFrame, group: list[str], target: Column, max_target: int, seed: int,
+def select_time_budget(questions: DataFrame, group: list[str], target: Column, seed: int,
                        tol: int = 15, restarts: int = 50) -> DataFrame:
     """(group, restart, question_id, marks, minutes, seq): the best of `restarts` random greedy fills.
 
     `questions` has question_id, marks, minutes and is_short; `target` is a
     column over it, constant within a group. A restart orders shorts, then longs,
     at random, takes what fits target + tol and stops at target - tol. The
-    restart nearest the target wins, the earliest on ties.
+    restart nearest the target wins, the earliest on ties. Rows under a minute are
+    in `unpriced`; the largest target is read first, as it bounds the limits below.
 
     Only rows that can be taken are folded. A question of up to 2 * tol minutes
     always fits while the time is under target - tol, so the ones taken are the
@@ -146,11 +152,12 @@ def select_time_budget(questions: DataFrame, group: list[str], target: Column, m
         *group, target.alias("_target"), F.when(F.col("is_short"), 0).otherwise(1).alias("kind"), "question_id",
         "marks", "minutes").filter((F.col("minutes") >= 1) & (F.col("minutes") <= cap))
     length = F.when(F.col("minutes") > 2 * tol, F.col("minutes")).otherwise(0)
+    largest = rows.agg(F.max("_target")).first()[0] or 0
     tries = rows.select("*", length.alias("length"), F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
     ranked = top_per_group(
         tries.withColumn("ord", seeded_order(seed, F.col("question_id"), F.col("restart"))),
         ["restart", "kind", "length", *group], [F.col("ord"), F.col("question_id")],
-        max(max_target - tol, (max_target + tol) // (2 * tol + 1), 1))
+        max(largest - tol, (largest + tol) // (2 * tol + 1), 1))
     near = ranked.filter(F.when(F.col("length") == 0, F.col("rank") <= F.col("_target") - tol)
                          .otherwise(F.col("rank") * F.col("length") <= cap))
     lists = near.groupBy(*group, "restart").agg(
@@ -200,7 +207,7 @@ def single_topic_mock(questions: DataFrame, extracts: DataFrame, seed: int, rest
         "is_short", ~F.col("reads_context"))
     coin = F.substring(seeded_order(seed, F.col("qualification"), F.col("topic")), 1, 1) < "8"
     target = F.when(coin, SINGLE_TARGETS[0]).otherwise(SINGLE_TARGETS[1])
-    picked = select_time_budget(timed, scope, target, max(SINGLE_TARGETS), seed, tol, restarts)
+    picked = select_time_budget(timed, scope, target, seed, tol, restarts)
     return picked.withColumn("label_minutes", target)
 
 
@@ -282,7 +289,8 @@ def unit_mock(questions: DataFrame, n_mocks: int = 3, per_section: int = 2, seed
     allowed = F.lit(False)
     for theme, papers in THEME_PAPERS.items():
         allowed = allowed | ((F.col("theme") == theme) & F.coalesce("paper", F.lit("")).isin(papers))
-    fitting = rows.filter(F.col("marks") < ESSAY_MARKS).join(drawn, "topic").filter(allowed)
+    # A section and a mock have one topic, so `drawn` has at most 21 * n_mocks rows.
+    fitting = rows.filter(F.col("marks") < ESSAY_MARKS).join(F.broadcast(drawn), "topic").filter(allowed)
     unique = first_per_key(fitting, ["theme", "mock", "section", "question_key"], [F.col("question_id")]).withColumn(
         "ord", seeded_order(seed, F.col("theme"), F.col("mock"), F.col("question_key")))
     two = top_per_group(unique, ["theme", "mock", "section"], [F.col("ord"), F.col("question_key")], per_section)

@@ -60,20 +60,23 @@ def with_target_name(files: DataFrame) -> DataFrame:
 
 
 def resolve_name_collisions(files: DataFrame) -> DataFrame:
-    """new_name: the target, with the md5 of the path added for all but one file of a target.
+    """new_name: the target, with the md5 of the path added for all but one file of a folder's target.
 
-    The file already called so keeps the name, else the first path does. The
-    keeper of each target is an aggregate joined back, so a target wanted by a
-    large share of the files is not gathered in one task. Files without a target
-    get no new name.
+    Every file of the folder claims its own name, whether it is renamed or not, so
+    no existing file is overwritten; a name that no file has goes to the first
+    path that wants it. The keeper of each name is an aggregate joined back, so a
+    target wanted by a large share of the files is not gathered in one task.
+    Files without a target get no new name.
     """
-    keeper = first_per_key(
-        files.filter(F.col("target").isNotNull()).select("target", "path", "name"), ["target"],
-        [F.col("name") != F.col("target"), F.col("path")]).select("target", F.col("path").alias("keeper"))
-    target = F.col("target")
+    target, folder = F.col("target"), F.regexp_extract("path", r"^(.*)[/\\][^/\\]*$", 1)
+    placed = files.withColumn("_folder", folder)
+    wanted = placed.filter(target.isNotNull()).select("_folder", "target", "path", (F.col("name") != target).alias("late"))
+    claims = wanted.unionByName(placed.select("_folder", F.col("name").alias("target"), "path", F.lit(False).alias("late")))
+    keeper = first_per_key(claims, ["_folder", "target"], [F.col("late"), F.col("path")]).select(
+        "_folder", "target", F.col("path").alias("keeper"))
     unique = F.concat(names.stem(target), F.lit("_"), F.md5("path"), names.extension(target))
-    return files.join(keeper, "target", "left").withColumn(
-        "new_name", F.when(F.col("path") == F.col("keeper"), target).otherwise(unique)).drop("keeper")
+    return placed.join(keeper, ["_folder", "target"], "left").withColumn(
+        "new_name", F.when(F.col("path") == F.col("keeper"), target).otherwise(unique)).drop("keeper", "_folder")
 
 
 def file_actions(files: DataFrame) -> DataFrame:

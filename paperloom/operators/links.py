@@ -100,10 +100,10 @@ def reachable(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(url, depth): fewest links from a seed, down to `max_depth` links.
 
     `links` has src and dst, `seeds` has url. Each level joins only the newest
-    frontier with the links and is checkpointed, so a lost executor costs one
+    frontier with the links, which are stored once, and is checkpointed, so a lost executor costs one
     level and the plan stays flat.
     """
-    edges = links.select("src", "dst").filter((F.col("dst") != "") & F.col("dst").isNotNull()).distinct()
+    edges = cut_lineage(links.select("src", "dst").filter((F.col("dst") != "") & F.col("dst").isNotNull()).distinct())
     frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     visited = frontier
     for depth in range(1, max_depth + 1):
@@ -143,13 +143,14 @@ def unique_filenames(urls: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def links_by_section(pages: DataFrame, header_tags: list[str] = HEADER_TAGS,
-                     parent_tag: str | None = None) -> DataFrame:
+                     parent_tag: str | None = None, nested_tag: str = "h5") -> DataFrame:
     """(page_id, section, pos, url, text, parent): links under the header before them.
 
     Sections follow document order; links before the first header have none and
     are left out, as are sections whose header text is empty. With `parent_tag`,
-    `parent` is the last header of that tag. The page is cut at its header tags
-    inside its own row, so nothing is shuffled.
+    `parent` is the last header of that tag for sections under it and under a
+    `nested_tag`; others have none. The page is cut at its header tags inside its
+    own row, so nothing is shuffled.
     """
     tags = "|".join(header_tags)
     cut = F.split(F.col("html"), rf"(?i)(?=<(?:{parent_tag})\b)") if parent_tag else F.array("html")
@@ -161,6 +162,9 @@ def links_by_section(pages: DataFrame, header_tags: list[str] = HEADER_TAGS,
         F.posexplode(F.split("part", rf"(?i)(?=<(?:{tags})\b)")).alias("sec", "piece"))
     titled = heads.withColumn(
         "section", sanitize_name(plain_text(F.regexp_extract("piece", rf"(?is)^<({tags})\b[^>]*>(.*?)</\1>", 2))))
+    if parent_tag:
+        nests = F.col("piece").rlike(rf"(?i)^<(?:{parent_tag}|{nested_tag})\b")
+        titled = titled.withColumn("parent", F.when(nests, F.col("parent")))
     rows = titled.filter(F.col("section") != "").select(
         "*", F.posexplode(_anchors(F.col("piece"))).alias("pos", "a"))
     return rows.select(

@@ -6,6 +6,7 @@ so a document holding a large share of all pages is not read by one task. Page
 sets are rows, never collected arrays.
 """
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -104,7 +105,8 @@ def next_question_pattern(number: str) -> str | None:
         return None
     if number == "6":
         return r"^([7-9]|[1-9][0-9])\s"
-    return rf"^{int(number) + 1}\s"
+    main = re.match(r"\d+", number)
+    return rf"^{int(main[0]) + 1}\s" if main else r"^[2-9]\s"
 
 
 def split_subquestions(pages: DataFrame, number: str) -> DataFrame:
@@ -226,8 +228,12 @@ def valid_pages(pages: DataFrame, min_len: int = 10, blank_phrase: str | None =
 
 
 def pair_questions_with_markschemes(question_files: DataFrame, markscheme_files: DataFrame) -> DataFrame:
-    """Questions with a mark scheme of the same number in the same paper folder."""
+    """Questions with a mark scheme of the same number in the same paper folder.
+
+    A folder has one file of a number; of several the first by name counts, on either side.
+    """
     keys = ["topic", "board", "qualification", "year", "paper", "question_number"]
-    return null_safe_join(
-        question_files.select(*keys, "question_file", F.col("content_md5")),
-        markscheme_files.select(*keys, "markscheme_file", F.col("content_md5").alias("markscheme_md5")), keys)
+    questions = question_files.select(*keys, "question_file", "content_md5")
+    schemes = markscheme_files.select(*keys, "markscheme_file", F.col("content_md5").alias("markscheme_md5"))
+    return null_safe_join(first_per_key(questions, keys, [F.col("question_file"), F.col("content_md5")]),
+                          first_per_key(schemes, keys, [F.col("markscheme_file"), F.col("markscheme_md5")]), keys)

@@ -4,7 +4,7 @@ Every operator takes `by`, the columns its figures are reported for, and
 pre-aggregates before each shuffle.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.features import is_question6, marks_range
@@ -65,6 +65,9 @@ def overview_stats(questions: DataFrame, by: list[str]) -> DataFrame:
 
     Distinct counts run on the small (by, year, board) and (by, topic) tables.
     """
+    if not by:
+        everything = questions.withColumn("_all", F.lit(0))
+        return overview_stats(everything, ["_all"]).drop("_all")
     cells = questions.groupBy(*by, "year", "board").agg(
         F.count("*").alias("n"), F.sum("marks").alias("m"), F.count("marks").alias("known"),
         F.count_if(is_question6(F.col("question_number"))).alias("q6"))
@@ -138,8 +141,9 @@ def topic_overview(questions: DataFrame) -> DataFrame:
     cells = unique.groupBy("qualification", "topic").agg(
         F.count("*").alias("questions"), F.sum("marks").alias("total_marks"),
         F.count_if(F.col("marks").isNull()).alias("n_unknown_marks"))
-    totals = cells.groupBy("qualification").agg(F.count("*").alias("total_topics"))
-    return null_safe_join(cells, totals, ["qualification"]).select(
+    # One row for each topic, so a window over them is small and the questions are folded once.
+    total = F.count(F.lit(1)).over(Window.partitionBy("qualification"))
+    return cells.withColumn("total_topics", total).select(
         qualification_label(F.col("qualification")).alias("qualification"), "topic",
         topic_theme(F.col("topic")).alias("theme"), "questions", "total_marks", "n_unknown_marks", "total_topics")
 

@@ -21,8 +21,8 @@ def bank_to_questions(rows: DataFrame) -> DataFrame:
               .when(F.col("year").isNull(), "no year")
               .when(qualification.isNull(), "unknown qualification"))
     return rows.select(
-        F.concat_ws("/", "year", "board", "qualification", F.coalesce(
-            F.col("questionFile"), F.concat_ws("/", "questionNumber", F.md5("questionText")))).alias("question_id"),
+        F.concat_ws("/", "year", "board", "qualification", "questionFile", "questionNumber",
+                    F.md5(F.coalesce("questionText", F.lit("")))).alias("question_id"),
         F.col("questionNumber").alias("question_number"), "year",
         F.when(board.isin(BOARDS), board).otherwise("unknown").alias("board"),
         qualification.alias("qualification"), parent_folder(F.col("questionFile")).alias("paper"),
@@ -73,7 +73,9 @@ def read_written_bank(spark: SparkSession, path: str, fmt: str = "json") -> Data
     """A bank written by `write_question_bank`; year filters prune its folders."""
     columns = [f for f in BANK_JSON.fields if f.name != "_corrupt_record"]
     reader = spark.read.schema(type(BANK_JSON)(columns))
-    rows = reader.format(fmt).load(path).withColumn("_corrupt_record", F.lit(None).cast("string"))
+    # The folder's year is the record's, so a filter on `year` prunes folders.
+    rows = reader.format(fmt).load(path).withColumns(
+        {"year": F.col("bank_year").cast("string"), "_corrupt_record": F.lit(None).cast("string")})
     return bank_to_questions(rows).drop("reject")
 
 

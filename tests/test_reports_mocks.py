@@ -58,7 +58,7 @@ def test_running_total(spark, pool):
 
 def test_select_time_budget(pool):
     got = {}
-    for r in am.select_time_budget(pool, ["g"], F.lit(60), 60, seed=3, restarts=6).collect():
+    for r in am.select_time_budget(pool, ["g"], F.lit(60), seed=3, restarts=6).collect():
         got.setdefault(r["g"], []).append((r["seq"], r["question_id"]))
     for g, rows in grouped(pool).items():
         best = None
@@ -80,7 +80,7 @@ def test_skipping_in_order(spark):
     """40 and 40 minutes, then 20: the second does not fit 75 and is passed over."""
     rows = spark.createDataFrame([("g", f"q{i}", 8, m, False) for i, m in enumerate([40, 40, 20])],
                                  "g string, question_id string, marks int, minutes int, is_short boolean")
-    used = am.select_time_budget(rows, ["g"], F.lit(60), 60, seed=1, restarts=30).agg(F.sum("minutes")).first()[0]
+    used = am.select_time_budget(rows, ["g"], F.lit(60), seed=1, restarts=30).agg(F.sum("minutes")).first()[0]
     assert used == 60
 
 
@@ -134,7 +134,7 @@ def test_selections_do_not_depend_on_partitions(pool):
     def run(n):
         p = pool.repartition(n)
         return (sorted(map(tuple, am.select_balanced(p, ["g"], 60, 5, second_essay=True).collect()), key=str),
-                sorted(map(tuple, am.select_time_budget(p, ["g"], F.lit(60), 60, 3, restarts=4).collect()), key=str))
+                sorted(map(tuple, am.select_time_budget(p, ["g"], F.lit(60), 3, restarts=4).collect()), key=str))
 
     assert run(1) == run(4) == run(37)
 
