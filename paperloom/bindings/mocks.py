@@ -103,10 +103,23 @@ def _(spark, sf):
     return am.select_ascending_to_target(_by_topic(spark, sf), SCOPE, 60, SEED)
 
 
-@query("select_time_budget")
+@query("select_time_budget", f"""WITH RECURSIVE {t.QUESTIONS_SQL}, pool AS (SELECT *, CAST(round(marks * 2.5) AS INTEGER) AS minutes
+  FROM questions WHERE round(marks * 2.5) BETWEEN 1 AND 75),
+ tries AS MATERIALIZED (SELECT board, paper, CAST(r AS INTEGER) AS restart, question_id, marks, minutes, row_number() OVER (
+   PARTITION BY board, paper, r ORDER BY marks > 10, md5(question_id || '|' || r || '|{SEED}'), question_id) AS i
+  FROM pool, range(50) AS t(r)),
+ fill(board, paper, restart, i, used, took) AS (
+  SELECT DISTINCT board, paper, restart, CAST(0 AS BIGINT), 0, false FROM tries
+  UNION ALL SELECT f.board, f.paper, f.restart, t.i, CASE WHEN f.used + t.minutes <= 75 THEN f.used + t.minutes ELSE f.used END,
+   f.used + t.minutes <= 75 FROM fill f JOIN tries t ON f.board = t.board AND f.paper = t.paper AND f.restart = t.restart
+   AND t.i = f.i + 1 WHERE f.used < 45),
+ best AS (SELECT board, paper, restart FROM fill GROUP BY board, paper, restart
+  QUALIFY row_number() OVER (PARTITION BY board, paper ORDER BY abs(max(used) - 60), restart) = 1)
+ SELECT board, paper, restart, question_id, marks, minutes, CAST(row_number() OVER (PARTITION BY board, paper ORDER BY i) AS INTEGER) AS seq
+ FROM fill JOIN best USING (board, paper, restart) JOIN tries USING (board, paper, restart, i) WHERE took""")
 def _(spark, sf):
     """Questions of all lengths, so that long ones are skipped on the way to 60 minutes."""
-    rows = t.questions(spark, sf).filter("marks is not null").withColumn("minutes", F.round(F.col("marks") * 2.5).cast("int")).withColumn(
+    rows = t.questions(spark, sf).withColumn("minutes", F.round(F.col("marks") * 2.5).cast("int")).withColumn(
         "is_short", F.col("marks") <= 10)
     return am.select_time_budget(rows, ["board", "paper"], F.lit(60), SEED, restarts=50)
 

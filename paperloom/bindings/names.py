@@ -6,6 +6,7 @@ from paperloom.bindings import tables as t
 from paperloom.functions import names
 from paperloom.functions.text import extract_json_array, extract_json_object, json_array_items, preview_text
 from paperloom.operators import catalogue as cat
+from paperloom.plans.scale import scratch_folder
 from paperloom.sources.files import scan_files
 
 QUERIES, ORACLE = {}, {}
@@ -204,6 +205,29 @@ def _(spark, sf):
     return t.table(spark, sf, "pages").select("page_id", preview_text(F.col("html"), extension).alias("preview"))
 
 
-@query("scan_files")
+def _folder():
+    return F.regexp_extract("path", r"part=(\d+)/[^/]*$", 1).alias("part")
+
+
+def _page_files(spark, sf):
+    """Pages as text files, in a folder for each last digit of their number."""
+    folder = scratch_folder(spark)
+    t.table(spark, sf, "pages").selectExpr("page_id % 10 as part", "coalesce(html, '') as value").write.partitionBy("part").text(folder)
+    return folder
+
+
+@query("scan_files", """SELECT CAST(page_id % 10 AS VARCHAR) AS part, CAST(sum(strlen(coalesce(html, '')) + 1) AS BIGINT) AS bytes
+ FROM pages GROUP BY 1""")
+def _(spark, sf):
+    """All text files below a folder."""
+    files = scan_files(spark, _page_files(spark, sf), "TXT", recursive=True)
+    return files.groupBy(_folder()).agg(F.sum("size").alias("bytes"))
+
+
+@query("scan_files_of_folder", """SELECT '3' AS part, CAST(sum(strlen(coalesce(html, '')) + 1) AS BIGINT) AS bytes FROM pages
+ WHERE page_id % 10 = 3""")
 def _(spark, sf):
-    return scan_files(spark, sf, "PARQUET").select("name", "size")
+    """Text files of one folder; the folder above has none of its own."""
+    folder = _page_files(spark, sf)
+    own = scan_files(spark, f"{folder}/part=3", "txt")
+    return own.groupBy(_folder()).agg(F.sum("size").alias("bytes"))

@@ -203,6 +203,25 @@ def _(spark, sf):
     return bank.only_new_partitions(t.questions(spark, sf).select("question_id", "year", "board"), done, ["year", "board"])
 
 
+@query("read_question_bank", f"""WITH {Q} SELECT CASE WHEN marks = 13 THEN NULL ELSE question_number END AS question_number, year, board,
+ CASE WHEN marks = 17 THEN NULL ELSE qualification END AS qualification, marks, question_text,
+ topic1 || coalesce('|' || topic2, '') AS topics,
+ CASE WHEN marks = 13 THEN 'no question number' WHEN marks = 17 THEN 'unknown qualification' END AS reject FROM questions""")
+def _(spark, sf):
+    """Files of one JSON array each, some rows of which cannot be used."""
+    folder, rows = scratch_folder(spark), t.questions(spark, sf)
+    spoiled = rows.withColumn("question_number", F.expr("case when marks = 13 then null else question_number end")).withColumn(
+        "qualification", F.expr("case when marks = 17 then 'doctorate' else qualification end"))
+    # About 2000 rows a file; which file a row is in does not matter.
+    file = F.pmod(F.xxhash64("questionText", "questionFile"), F.lit(rows.count() // 2000 + 1)).alias("file")
+    arrays = (bank.questions_to_bank(spoiled).select(file, F.struct("*").alias("row"))
+              .groupBy("file").agg(F.to_json(F.collect_list("row")).alias("value")))
+    arrays.write.partitionBy("file").text(folder)
+    good, bad = bank.read_question_bank(spark, folder, recursive=True, glob="*.txt")
+    return good.withColumn("reject", F.lit(None).cast("string")).unionByName(bad).select(
+        "question_number", "year", "board", "qualification", "marks", "question_text", F.array_join("topics", "|").alias("topics"), "reject")
+
+
 @query("bank_round_trip", f"""WITH {Q} SELECT question_number, year, board, qualification, paper, question_text, marks, question_file,
  markscheme_file, topic1 || coalesce('|' || topic2, '') AS topics FROM questions""")
 def _(spark, sf):

@@ -35,15 +35,18 @@ def parent_folder(path: Column) -> Column:
     return F.try_element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), F.lit(-2))
 
 
-def read_question_bank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(questions, rejected rows) of all bank files; a bad row does not fail the load.
+def read_question_bank(spark: SparkSession, path: str, recursive: bool = False,
+                       glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(questions, rejected rows) of a folder's bank files, with `recursive` also of the folders below.
+
+    A bad row does not fail the load.
 
     Each file holds one JSON array and is read by one task, as multi-line JSON
     must be; `read_written_bank` reads the splittable form.
     """
     rows = (spark.read.schema(BANK_JSON).option("multiLine", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json")
-            .option("recursiveFileLookup", True).json(path))
+            .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", recursive).json(path))
     parsed = bank_to_questions(rows)
     return parsed.filter(F.col("reject").isNull()).drop("reject"), parsed.filter(F.col("reject").isNotNull())
 

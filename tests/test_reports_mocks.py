@@ -205,7 +205,7 @@ def test_bank_files(spark, questions, tmp_path):
         '[{"questionNumber": "question1", "year": "2019", "board": "AQA", "qualification": "A_LEVEL", "questionText": "x", '
         '"topics": ["t"], "questionFile": "/a/1/question1.pdf"}, {"year": "2019"}, {"questionNumber": "q", "year": "2019", '
         '"qualification": "zz"}]')
-    good, bad = bank.read_question_bank(spark, str(tmp_path / "in"))
+    good, bad = bank.read_question_bank(spark, str(tmp_path / "in"), recursive=True)
     row = good.collect()
     assert len(row) == 1 and (row[0]["board"], row[0]["qualification"], row[0]["paper"]) == ("aqa", "alevel", "1")
     assert sorted(r["reject"] for r in bad.collect()) == ["no question number", "unknown qualification"]
