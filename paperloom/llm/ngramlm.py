@@ -36,8 +36,8 @@ from paperloom.llm.eliasfano import Levels
 
 CLASS_BITS = 21
 CLASSES = 1 << CLASS_BITS
-SHARD = 16 << 20  # bytes of text for each shard
-HELD = 2_500_000  # words a task gathers before it sends
+SHARD = 8 << 20  # bytes of text for each shard
+HELD = 1_500_000  # words a task gathers before it sends
 END, START = np.uint64(1), np.uint64(2)  # the end of a text, and what stands before its first word
 STEP = 4096.0  # quantised steps for a factor of ten
 MOST_HISTORY = 0.02  # a known history weighs this at least
@@ -48,7 +48,7 @@ class _Codes(dict):
     """A word's 64-bit code, kept once worked out; forgets all when it grows over its bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         code = self[word] = max(8, xxhash.xxh64_intdigest(word))
         return code
