@@ -51,15 +51,11 @@ def test_groups_match_all_pairs(spark):
     expected = sorted(brute_groups([(r[0], brute_print(r[1])) for r in data]), key=repr)
     assert rows(simhash.near_groups(spark.createDataFrame(data, DOCS).repartition(7))) == expected
     assert len({c for _, _, c in expected}) < len({p for _, p, _ in expected})
-    kept = simhash.keep_first(spark.createDataFrame(data, DOCS))
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == ["doc_id", "text", "extra", "component_id"]
-    assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in expected if c is not None})
-    assert ids.count(None) == 2
 
 
 def test_empty_table(spark):
     assert simhash.near_groups(spark.createDataFrame([], DOCS)).collect() == []
+    assert simhash.keep_first(spark.createDataFrame([], DOCS)).collect() == []
 
 
 @pytest.mark.parametrize("held", [1 << 16, 100])
@@ -102,3 +98,42 @@ def test_components_of_chain_star_and_loops(spark):
         roots.setdefault(r.root, []).append(r.node)
     assert sorted(map(sorted, roots.values())) == [[-4, -3], list(range(201)), list(range(1000, 1300))]
     assert components(links.limit(0)).collect() == []
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("held", [1 << 14, 40])
+def test_similar_texts(spark, monkeypatch, held):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (0.8, held))
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(3000)] + ["the", "of", "and", "to"] * 300
+    base = [rng.choices(words, k=rng.randint(60, 400)) for _ in range(150)]
+    texts = [" ".join(w) for w in base]
+    for w in base + base[:1] * 300:
+        w = list(w)
+        for k in rng.sample(range(len(w)), max(1, int(len(w) * rng.choice([0.002, 0.01, 0.02, 0.1])))):
+            w[k] = f"new{rng.random()}"
+        texts.append(" ".join(w))
+    rows = [(i, t, "x", "y") for i, t in enumerate(texts)]
+    rows += [(2000, texts[3], "x", "y"), (2001, None, "x", "y"), (2002, " ", "x", "y"), (None, texts[4], "x", "y"), (5, texts[5], "x", "y"),
+             (2003, "a b", "x", "y"), (2004, "a b", "x", "y"), (2005, "a c", "x", "y"), (2006, "the of " * 40000, "x", "y")]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    sets = [grams(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j] and jaccard(sets[i], sets[j]) >= 0.8]
+    assert sum(group[i] == group[j] for i, j in pairs) >= 0.92 * len(pairs) > 150
+    for i in range(len(texts)):  # nobody is in a group without a text that is near
+        if group[i] != i:
+            assert any(jaccard(sets[i], sets[j]) > 0.35 for j in range(len(texts)) if j != i and group[j] == group[i])
+    assert (group[2000], group[2002], group[2004], group[2005], group[2006]) == (group[3], 2001, 2003, 2005, 2006)
+    kept = simhash.keep_first(df)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == df.columns
+    assert sorted(i for i in ids if i is not None) == sorted(set(group.values())) and ids.count(None) == 1
