@@ -13,8 +13,8 @@ U = np.uint64
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """The low `width` bits of each value, one after the other, in words of 64 bits."""
     parts = []
-    for at in range(0, len(values) if width else 0, 1 << 16):
-        bits = (values[at:at + (1 << 16), None] >> np.arange(width, dtype=U)) & U(1)
+    for at in range(0, len(values) if width else 0, 1 << 13):
+        bits = (values[at:at + (1 << 13), None] >> np.arange(width, dtype=U)) & U(1)
         parts.append(np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little"))
     octets = np.concatenate([*parts, np.zeros(16, np.uint8)])
     return np.concatenate([octets, np.zeros(-len(octets) % 8, np.uint8)]).view(U)

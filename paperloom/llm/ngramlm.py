@@ -36,8 +36,8 @@ from paperloom.llm.eliasfano import Levels
 
 CLASS_BITS = 21
 CLASSES = 1 << CLASS_BITS
-SHARD = 8 << 20  # bytes of text for each shard
-HELD = 1_500_000  # words a task gathers before it sends
+SHARD = 4 << 20  # bytes of text for each shard
+HELD = 800_000  # words a task gathers before it sends
 END, START = np.uint64(1), np.uint64(2)  # the end of a text, and what stands before its first word
 STEP = 4096.0  # quantised steps for a factor of ten
 MOST_HISTORY = 0.02  # a known history weighs this at least
@@ -48,7 +48,7 @@ class _Codes(dict):
     """A word's 64-bit code, kept once worked out; forgets all when it grows over its bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 150_000:
             self.clear()
         code = self[word] = max(8, xxhash.xxh64_intdigest(word))
         return code
@@ -233,8 +233,12 @@ class Trie:
         inside = np.minimum(at, self.words.size - 1)
         return inside, (at < self.words.size) & (self.words.get(inside) == code)
 
-    def log10(self, code: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Log probability of each word after its history class."""
+    def log10(self, code: np.ndarray, group: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+        """Log probability of each word after its history class; `at_once` queries at a time."""
+        parts = [self._log10(code[i:i + at_once], group[i:i + at_once]) for i in range(0, len(code), at_once)]
+        return np.concatenate([np.empty(0), *parts])
+
+    def _log10(self, code: np.ndarray, group: np.ndarray) -> np.ndarray:
         at, known = self.find(code)
         _, back = self.corpus.backoff(group)
         out = np.log10(back * self.corpus.unknown)
