@@ -65,17 +65,22 @@ def word_anchor(word: Column) -> Column:
     return F.when(F.length(run) >= SHORT, F.substring(run, 1, PIECE)).otherwise("")
 
 
-def is_exact(text: Column, word: Column, in_brackets: bool = True) -> Column:
-    """Non-word characters on both sides; a word with other edges needs one of the listed delimiters."""
+def is_bounded(text: Column, word: Column) -> Column:
+    """Non-word characters on both sides; NULL for a word with other edges."""
+    bounded = F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9_])\Q"), word, F.lit(r"\E(?![a-z0-9_])")))
+    return F.when(word.rlike("(?s)^[a-z0-9_](.*[a-z0-9_])?$"), bounded)
+
+
+def is_exact(text: Column, word: Column, bounded: Column, in_brackets: bool = True) -> Column:
+    """`bounded`, the outcome of `is_bounded`; a word with other edges needs one of the listed delimiters."""
     def around(before, after):
         return text.contains(F.concat(F.lit(before), word, F.lit(after)))
 
-    bounded = F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9_])\Q"), word, F.lit(r"\E(?![a-z0-9_])")))
     delimited = (around(" ", " ") | around(" ", ",") | around(" ", ".")
                  | text.startswith(F.concat(word, F.lit(" "))) | text.endswith(F.concat(F.lit(" "), word)))
     if in_brackets:
         delimited = delimited | around("(", ")")
-    return text.contains(word) & F.when(word.rlike("(?s)^[a-z0-9_](.*[a-z0-9_])?$"), bounded).otherwise(delimited)
+    return F.when(bounded.isNull(), delimited).otherwise(bounded)
 
 
 def is_partial(text: Column, word: Column) -> Column:
@@ -128,11 +133,15 @@ def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
         F.explode(F.array_union(F.coalesce("words", F.expr("cast(array() as array<string>)")), synonyms)).alias("word"))
     present = text.contains(word)
     related = F.array_contains("synonyms", word)
-    found = rows.filter(present | related).select(
-        "id", "computational", "word", present.alias("present"), is_exact(text, word).alias("exact"),
-        is_exact(text, word, False).alias("bare"),
-        ((F.length(word) >= PARTIAL_LENGTH) & is_partial(text, word)).alias("partial"),
-        is_reasonable_mention(text, word).alias("mention"), related.alias("related"))
+    # Each look at the text is a column of its own, so that no test repeats it.
+    met = rows.select("*", present.alias("present"), related.alias("related")).filter("present or related")
+    met = met.withColumn("bounded", F.when(F.col("present"), is_bounded(text, word)))
+    bounded, there = F.col("bounded"), F.col("present")
+    found = met.select(
+        "id", "computational", "word", "present", (there & is_exact(text, word, bounded)).alias("exact"),
+        (there & is_exact(text, word, bounded, False)).alias("bare"),
+        (there & (F.length(word) >= PARTIAL_LENGTH) & is_partial(text, word)).alias("partial"),
+        (there & is_reasonable_mention(text, word)).alias("mention"), "related")
     return cut_lineage(found)
 
 
