@@ -9,7 +9,9 @@ expected number of different ones if they were drawn by p, over c(g): histories
 whose followers say no more than chance weigh little. This sums to one over the
 known words and the unknown one.
 
-Words are dealt to shards by their hash. A shard's trie is stored by the word
+Words are dealt to shards by their hash. Hot words, of which there can only be
+some thousands as each holds its share of the text, are dealt by word and history,
+and every task knows their counts. A shard's trie is stored by the word
 predicted: level 0 has the words' hashes, monotone pointers lead to each word's
 histories in level 1, and both levels carry quantised log probabilities. Levels
 are Elias-Fano sequences in a mapped file. A query finds its word, then its
@@ -17,7 +19,8 @@ history relative to that word's range, by successor search.
 
 Nothing whole goes to one place: counts and queries move as compressed columns
 to their shard, whose size is fixed by its share of the text, and sums by text
-come back. Only the class counts, a table of fixed size, reach every task.
+come back. Only the class counts, a table of fixed size, and the hot words reach
+every task.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ CLASS_BITS = 21
 CLASSES = 1 << CLASS_BITS
 SHARD = 4 << 20  # bytes of text for each shard
 HELD = 800_000  # words a task gathers before it sends
+HOT = 16384  # a word is hot if one in so many bytes of text starts it
 END, START = np.uint64(1), np.uint64(2)  # the end of a text, and what stands before its first word
 STEP = 4096.0  # quantised steps for a factor of ten
 MOST_HISTORY = 0.02  # a known history weighs this at least
@@ -68,6 +72,14 @@ def _shard(code: np.ndarray, shards: int) -> np.ndarray:
     return ((code >> np.uint64(CLASS_BITS)) % np.uint64(shards)).astype(np.int64)
 
 
+def _at(sorted_: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each code in a sorted list and whether it is there."""
+    if not len(sorted_):
+        return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+    at = np.minimum(np.searchsorted(sorted_, code), len(sorted_) - 1)
+    return at, sorted_[at] == code
+
+
 def _rows(names: list[str], kinds: list, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -91,23 +103,25 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[np.ndarra
 
 
 def _send_counts(shards: int):
-    def sent(words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        code, count = np.unique(np.concatenate(words), return_counts=True)
+    def sent(words: list[np.ndarray], train: list[bool]) -> Iterator[pa.RecordBatch]:
+        code, inverse, count = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        learnt = np.bincount(inverse, np.repeat(train, [len(w) for w in words])).astype(np.int64)
         of = _shard(code, shards)
         yield _rows(["shard", "blob"], [pa.int32(), pa.binary()],
-                    [(int(of[g[0]]), pack(ascending(code[g]), count[g])) for g in _groups(of)])
+                    [(int(of[g[0]]), pack(ascending(code[g]), learnt[g], count[g] - learnt[g])) for g in _groups(of)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, size = _Codes(), [], 0
+        codes, held, train, size = _Codes(), [], [], 0
         for batch in batches:
-            for text in batch["text"]:
+            for held_out, text in zip(batch["held_out"].to_pylist(), batch["text"]):
                 held.append(tokens(text.as_py(), codes))
+                train.append(not held_out)
                 size += len(held[-1])
                 if size > HELD:
-                    yield from sent(held)
-                    held, size = [], 0
+                    yield from sent(held, train)
+                    held, train, size = [], [], 0
         if held:
-            yield from sent(held)
+            yield from sent(held, train)
 
     return run
 
@@ -116,18 +130,23 @@ def _bucket(count: np.ndarray) -> np.ndarray:
     return np.round(np.log2(np.maximum(count, 1)) * OCTAVE).astype(np.int64)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each shard: words by count bucket, and counts by history class."""
-    for parts in _by_shard(batches):
-        code = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        code, inverse = np.unique(code, return_inverse=True)
-        count = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
-        bucket, at = np.unique(_bucket(count), return_inverse=True)
-        history = code != END
-        group, of = np.unique(_class(code[history]), return_inverse=True)
-        yield _rows(["blob"], [pa.binary()], [(pack(bucket, np.bincount(at), np.bincount(at, count).astype(np.int64),
-                                                    np.array([(count == 1).sum()]), group.astype(np.int64),
-                                                    np.bincount(of, count[history]).astype(np.int64)),)])
+def _word_counts(hot_from: int):
+    """For each shard: words by count bucket, counts by history class, and the hot words with their counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _by_shard(batches):
+            code = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+            code, inverse = np.unique(code, return_inverse=True)
+            count, other = (np.bincount(inverse, np.concatenate([p[i] for p in parts])).astype(np.int64) for i in (1, 2))
+            hot = count + other >= hot_from
+            hot_code, hot_count = code[hot], count[hot]
+            code, count = code[count > 0], count[count > 0]
+            bucket, at = np.unique(_bucket(count), return_inverse=True)
+            history = code != END
+            group, of = np.unique(_class(code[history]), return_inverse=True)
+            yield _rows(["blob"], [pa.binary()], [(pack(bucket, np.bincount(at), np.bincount(at, count).astype(np.int64),
+                                                        np.array([(count == 1).sum()]), group.astype(np.int64),
+                                                        np.bincount(of, count[history]).astype(np.int64), hot_code, hot_count),)])
+    return run
 
 
 class Corpus:
@@ -138,14 +157,19 @@ class Corpus:
         kinds, mass, once = np.zeros(64 * OCTAVE + 1), np.zeros(64 * OCTAVE + 1), 0
         total, distinct = 0, 0
         counts = np.zeros(CLASSES, np.int64)
+        hot: list[tuple[np.ndarray, np.ndarray]] = []
         for blob in blobs:
-            bucket, n, words, ones, group, c = unpack(blob)
+            bucket, n, words, ones, group, c, *some = unpack(blob)
+            hot.append(some)
             kinds[bucket] += n
             mass[bucket] += words
             total, distinct, once = total + int(words.sum()), distinct + int(n.sum()), once + int(ones[0])
             counts[group] += c
         counts[int(_class(np.array([START]))[0])] += texts
         self.total, self.distinct = total, distinct
+        code = np.concatenate([np.empty(0, np.uint64), *(h[0] for h in hot)])
+        order = np.argsort(code)
+        self.hot, self.hot_count = code[order], np.concatenate([np.empty(0, np.int64), *(h[1] for h in hot)])[order]
         self.classes[:] = counts
         self.unknown = min(0.5, max(once, 0.1) / total) if total else 1.0
         # Expected kinds among m words drawn by p, for each bucket of m.
@@ -155,19 +179,27 @@ class Corpus:
         drawn = (kinds[used] * -np.expm1(m[:, None] * np.log1p(-np.minimum(share, 0.999999)))).sum(axis=1) if len(used) else m
         self.back = np.minimum(1 - MOST_HISTORY, drawn / m).astype(np.float64)
 
+    def counts(self, code: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """Training counts of words, given what their shard has of them: hot words have more elsewhere."""
+        at, known = _at(self.hot, code)
+        return np.where(known, self.hot_count[at] if len(self.hot) else 0, local)
+
     def backoff(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count of each class and the weight that its history leaves to p(w); 1 for an unseen class."""
         c = self.classes[group.astype(np.int64)].astype(np.float64)
         return c, np.where(c > 0, self.back[np.minimum(_bucket(c), len(self.back) - 1)], 1.0)
 
 
-def _send_words(shards: int):
+def _send_words(shards: int, hot: np.ndarray):
     def sent(docs: list[int], train: list[bool], words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         doc = np.repeat(np.arange(len(docs)), [len(w) for w in words])
         code = np.concatenate(words)
         before = np.concatenate([[START], code[:-1]])
         before[before == END] = START  # a text's first word stands after the end of the one before
         group, of = _class(before), _shard(code, shards)
+        spread = np.flatnonzero(_at(hot, code)[1])
+        mixed = (code[spread] ^ group[spread] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        of[spread] = (mixed >> np.uint64(33)) % np.uint64(shards)
         key, flag = np.array(docs, np.int64), np.array(train)
         out = []
         for rows in _groups(of):
@@ -210,7 +242,7 @@ class Trie:
         pair_count = np.diff(np.r_[at, len(code)])
         word, group = code[at], group[at]
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][:len(word)])
-        count = np.add.reduceat(pair_count, first) if len(first) else np.empty(0, np.int64)
+        count = corpus.counts(word[first], np.add.reduceat(pair_count, first) if len(first) else np.empty(0, np.int64))
         of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(word)]))
         p = (1 - corpus.unknown) * count / max(corpus.total, 1)
         seen, back = corpus.backoff(group)
@@ -233,6 +265,18 @@ class Trie:
         inside = np.minimum(at, self.words.size - 1)
         return inside, (at < self.words.size) & (self.words.get(inside) == code)
 
+    def p_word(self, code: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Quantised chance of each word; one that is hot may be learnt in other shards only."""
+        hot, is_hot = _at(self.corpus.hot, code)
+        learnt = is_hot & (self.corpus.hot_count[hot] > 0) if len(self.corpus.hot) else is_hot
+        out = np.full(len(code), np.log10(self.corpus.unknown))
+        out[known] = -(self.p[at[known]] / STEP)
+        elsewhere = np.flatnonzero(learnt & ~known)
+        if len(elsewhere):
+            p = (1 - self.corpus.unknown) * self.corpus.hot_count[hot[elsewhere]] / max(self.corpus.total, 1)
+            out[elsewhere] = -(quantised(p) / STEP)
+        return out
+
     def log10(self, code: np.ndarray, group: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
         """Log probability of each word after its history class; `at_once` queries at a time."""
         parts = [self._log10(code[i:i + at_once], group[i:i + at_once]) for i in range(0, len(code), at_once)]
@@ -241,10 +285,9 @@ class Trie:
     def _log10(self, code: np.ndarray, group: np.ndarray) -> np.ndarray:
         at, known = self.find(code)
         _, back = self.corpus.backoff(group)
-        out = np.log10(back * self.corpus.unknown)
+        out = np.log10(back) + self.p_word(code, at, known)
         k = np.flatnonzero(known)
         if len(k):
-            out[k] = np.log10(back[k]) - self.p[at[k]] / STEP
             first, end = (self.pointers.get(at[k] + i).astype(np.int64) for i in (0, 1))
             # A history's place among those of its word.
             sought = (at[k].astype(np.uint64) << np.uint64(CLASS_BITS)) | group[k]
@@ -277,7 +320,7 @@ def _score_shards(corpus: Corpus):
             n_each = np.diff(np.r_[at, len(code)])
             score = np.repeat(trie.log10(code[at], group[at]), n_each)
             word = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            count = np.add.reduceat(train.astype(np.int64), word)
+            count = corpus.counts(code[word], np.add.reduceat(train.astype(np.int64), word))
             c = np.repeat(count, np.diff(np.r_[word, len(code)]))
             base = np.log10((c + 0.1) / (corpus.total + 0.1 * (corpus.distinct + 1)))
             sums = [np.bincount(doc, w, n) for w in (None, c > 0, base, score)]
@@ -300,11 +343,12 @@ def score_texts(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
     total, texts = rows.agg(F.sum(F.octet_length("text")), F.sum(F.when(~F.col("held_out"), 1).otherwise(0))).first()
     shards = max(1, (total or 0) // SHARD)
     shape = "shard int, blob binary"
-    counted = rows.filter(~F.col("held_out")).select("text").mapInArrow(_send_counts(shards), shape)
-    counted = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(_word_counts, "blob binary")
+    counted = rows.select("held_out", "text").mapInArrow(_send_counts(shards), shape)
+    counted = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(
+        _word_counts(max(HELD // 64, (total or 0) // HOT)), "blob binary")
     corpus = Corpus([r.blob for r in counted.toLocalIterator()], int(texts or 0))
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    sent = keyed.select("key", "held_out", "text").mapInArrow(_send_words(shards), shape)
+    sent = keyed.select("key", "held_out", "text").mapInArrow(_send_words(shards, corpus.hot), shape)
     sums = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(
         _score_shards(corpus), "key bigint, n_tokens bigint, n_known bigint, base double, score double")
     sums = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])

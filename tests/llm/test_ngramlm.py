@@ -87,6 +87,7 @@ def made():
 def test_scores_match_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(lm, "SHARD", shard)
     monkeypatch.setattr(lm, "HELD", 5000)
+    monkeypatch.setattr(lm, "HOT", 300)
     docs = made()
     expected, p, words = brute(docs)
     out = lm.score_texts(spark.createDataFrame([(*d, 1, "k") for d in docs], DOCS).repartition(5))
