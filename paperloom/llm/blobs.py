@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import struct
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 
@@ -38,3 +41,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def ascending(keys: np.ndarray) -> np.ndarray:
     """Sorted keys as differences, which `np.cumsum` undoes."""
     return np.diff(keys, prepend=keys.dtype.type(0))
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to its machine; workers live on and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -18,8 +18,8 @@ are Elias-Fano sequences in a mapped file. A query finds its word, then its
 history relative to that word's range, by successor search.
 
 Nothing whole goes to one place: counts and queries move as compressed columns
-to their shard, whose size is fixed by its share of the text, and sums by text
-come back. Only the class counts, a table of fixed size, and the hot words reach
+to their shard, whose size is fixed by its share of the text, and a number for
+each word comes back to the block of texts that asked, where they are summed. Only the class counts, a table of fixed size, and the hot words reach
 every task.
 """
 
@@ -30,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.blobs import ascending, pack, unpack
+from paperloom.llm.blobs import ascending, pack, release, unpack
 from paperloom.llm.common import remainder, stored
 from paperloom.llm.eliasfano import Levels
 
@@ -190,8 +191,16 @@ class Corpus:
         return c, np.where(c > 0, self.back[np.minimum(_bucket(c), len(self.back) - 1)], 1.0)
 
 
+ASKED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+WORDS, TEXTS = 0, 1  # kinds of rows: a block's words for a shard; the texts of a block
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def _send_words(shards: int, hot: np.ndarray):
-    def sent(docs: list[int], train: list[bool], words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def sent(block: int, docs: list[int], train: list[bool], words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         doc = np.repeat(np.arange(len(docs)), [len(w) for w in words])
         code = np.concatenate(words)
         before = np.concatenate([[START], code[:-1]])
@@ -200,19 +209,18 @@ def _send_words(shards: int, hot: np.ndarray):
         spread = np.flatnonzero(_at(hot, code)[1])
         mixed = (code[spread] ^ group[spread] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
         of[spread] = (mixed >> np.uint64(33)) % np.uint64(shards)
-        key, flag = np.array(docs, np.int64), np.array(train)
-        out = []
+        small, flag = np.uint16 if len(docs) < 1 << 16 else np.uint32, np.array(train)
+        out = [(block % shards, block, TEXTS, pack(np.array(docs, np.int64)))]
         for rows in _groups(of):
             kinds, rank = np.unique(code[rows], return_inverse=True)
             pair = (rank.astype(np.uint64) << np.uint64(CLASS_BITS)) | group[rows]
             order = np.argsort(pair, kind="stable")
-            mine, local = np.unique(doc[rows[order]], return_inverse=True)
-            out.append((int(of[rows[0]]), pack(ascending(kinds), ascending(pair[order]),
-                                               local.astype(np.uint16 if len(mine) < 1 << 16 else np.uint32), key[mine], flag[mine])))
-        yield _rows(["shard", "blob"], [pa.int32(), pa.binary()], out)
+            out.append((int(of[rows[0]]), block, WORDS, pack(ascending(kinds), ascending(pair[order]), doc[rows[order]].astype(small), flag)))
+        yield _batch(out, ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, docs, train, words, size = _Codes(), [], [], [], 0
+        block = TaskContext.get().partitionId() << 24
         for batch in batches:
             for key, held_out, text in zip(batch["key"].to_pylist(), batch["held_out"].to_pylist(), batch["text"]):
                 docs.append(key)
@@ -220,16 +228,37 @@ def _send_words(shards: int, hot: np.ndarray):
                 words.append(tokens(text.as_py(), codes))
                 size += len(words[-1])
                 if size > HELD:
-                    yield from sent(docs, train, words)
+                    yield from sent(block, docs, train, words)
                     docs, train, words, size = [], [], [], 0
+                    block += 1
+                    release()
         if docs:
-            yield from sent(docs, train, words)
+            yield from sent(block, docs, train, words)
 
     return run
 
 
+def _parts(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Rows (block, kind, blob) of each shard or block, which the input is sorted by."""
+    now, held = None, []
+    for batch in batches:
+        for of, block, kind, blob in zip(*(batch[c].to_pylist() for c in (by, "block", "kind", "blob"))):
+            if of != now and held:
+                yield held
+                held = []
+                release()
+            now = of
+            held.append((block, kind, blob))
+    if held:
+        yield held
+
+
 def quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-np.log10(np.maximum(p, 1e-15)) * STEP), 0, 65535).astype(np.uint16)
+    return quantised_log(np.log10(np.maximum(p, 1e-15)))
+
+
+def quantised_log(log10: np.ndarray) -> np.ndarray:
+    return np.clip(np.round(-log10 * STEP), 0, 65535).astype(np.uint16)
 
 
 class Trie:
@@ -298,32 +327,65 @@ class Trie:
         return out
 
 
-def _score_shards(corpus: Corpus):
+def _answer(corpus: Corpus):
+    """Maps the words that blocks ask a shard for to their counts and log probabilities, in the order asked."""
+    def answered(asked: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
+        code, group, train, docs = [], [], [], []
+        for _, _, blob in asked:
+            kinds, pair, doc, flag = unpack(blob)
+            kinds, pair = np.cumsum(kinds, dtype=np.uint64), np.cumsum(pair, dtype=np.uint64)
+            code.append(kinds[(pair >> np.uint64(CLASS_BITS)).astype(np.int64)])
+            group.append(_class(pair).astype(np.uint32))
+            train.append(flag[doc])
+            docs.append(doc)
+        sizes = [len(c) for c in code]
+        code, group, train = map(np.concatenate, (code, group, train))
+        order = np.lexsort((group, code))
+        code, group, train = code[order], group[order].astype(np.uint64), train[order]
+        trie = Trie(code[train], group[train], corpus)
+        at = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (group[1:] != group[:-1])])
+        value = np.empty(len(code), np.uint16)
+        value[order] = np.repeat(quantised_log(trie.log10(code[at], group[at])), np.diff(np.r_[at, len(code)]))
+        word = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        learnt = corpus.counts(code[word], np.add.reduceat(train.astype(np.int64), word))
+        count = np.empty(len(code), np.int64)
+        count[order] = np.repeat(learnt, np.diff(np.r_[word, len(code)]))
+        first = np.cumsum(sizes) - sizes
+        for (block, _, _), doc, a, n in zip(asked, docs, first, sizes):
+            c = count[a:a + n]
+            # Equal counts in a row are sent once.
+            new = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+            yield block, WORDS, pack(c[new], np.diff(np.r_[new, n]).astype(np.uint32), doc, value[a:a + n])
+
+    schema = pa.schema([f for f in ASKED if f.name != "shard"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _parts(batches, "shard"):
+            texts = [p for p in parts if p[1] == TEXTS]
+            if texts:
+                yield _batch(texts, schema)
+            asked = [p for p in parts if p[1] == WORDS]
+            if asked:
+                yield _batch(list(answered(asked)), schema)
+
+    return run
+
+
+def _sum_blocks(total: int, distinct: int):
+    """Sums the answers of each block by text."""
     names = ["key", "n_tokens", "n_known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _by_shard(batches):
-            code, group, doc, train, keys, n = [], [], [], [], [], 0
-            for kinds, pair, local, key, flag in parts:
-                kinds, pair = np.cumsum(kinds, dtype=np.uint64), np.cumsum(pair, dtype=np.uint64)
-                code.append(kinds[(pair >> np.uint64(CLASS_BITS)).astype(np.int64)])
-                group.append(_class(pair).astype(np.uint32))
-                doc.append(local.astype(np.int64) + n)
-                train.append(flag[local])
-                keys.append(key)
-                n += len(key)
-            code, group, doc, train, keys = map(np.concatenate, (code, group, doc, train, keys))
-            order = np.lexsort((group, code))
-            code, group, doc, train = code[order], group[order].astype(np.uint64), doc[order], train[order]
-            trie = Trie(code[train], group[train], corpus)
-            at = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (group[1:] != group[:-1])])
-            n_each = np.diff(np.r_[at, len(code)])
-            score = np.repeat(trie.log10(code[at], group[at]), n_each)
-            word = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            count = corpus.counts(code[word], np.add.reduceat(train.astype(np.int64), word))
-            c = np.repeat(count, np.diff(np.r_[word, len(code)]))
-            base = np.log10((c + 0.1) / (corpus.total + 0.1 * (corpus.distinct + 1)))
-            sums = [np.bincount(doc, w, n) for w in (None, c > 0, base, score)]
+        for parts in _parts(batches, "block"):
+            keys = next(unpack(blob)[0] for _, kind, blob in parts if kind == TEXTS)
+            sums = np.zeros((4, len(keys)))
+            for _, kind, blob in parts:
+                if kind == TEXTS:
+                    continue
+                c, runs, doc, value = unpack(blob)
+                base = np.repeat(np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))), runs)
+                for s, weight in zip(sums, (None, np.repeat(c > 0, runs), base, value / -STEP)):
+                    s += np.bincount(doc, weight, len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(s.astype(np.int64)) for s in sums[:2]), *map(pa.array, sums[2:])], names)
 
     return run
@@ -348,9 +410,11 @@ def score_texts(docs: DataFrame, held_out_of: int = 10) -> DataFrame:
         _word_counts(max(HELD // 64, (total or 0) // HOT)), "blob binary")
     corpus = Corpus([r.blob for r in counted.toLocalIterator()], int(texts or 0))
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    sent = keyed.select("key", "held_out", "text").mapInArrow(_send_words(shards, corpus.hot), shape)
-    sums = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(
-        _score_shards(corpus), "key bigint, n_tokens bigint, n_known bigint, base double, score double")
+    asked = "block bigint, kind int, blob binary"
+    sent = keyed.select("key", "held_out", "text").mapInArrow(_send_words(shards, corpus.hot), f"shard int, {asked}")
+    answers = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(_answer(corpus), asked)
+    sums = answers.repartition("block").sortWithinPartitions("block").mapInArrow(
+        _sum_blocks(corpus.total, corpus.distinct), "key bigint, n_tokens bigint, n_known bigint, base double, score double")
     sums = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     ids = stored(keyed.select("doc_id", "held_out", "key"))
     copies = ids.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
