@@ -122,7 +122,8 @@ def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     """
     text, word = F.col("text"), F.col("word")
     flag = F.col("computational") if "computational" in texts.columns else is_computational(text)
-    lowered = texts.filter(text.isNotNull()).select("id", flag.alias("computational"), F.lower(text).alias("text"))
+    # Dealt by id once: cutting, meeting and looking up all stay in that partitioning.
+    lowered = texts.filter(text.isNotNull()).select("id", flag.alias("computational"), F.lower(text).alias("text")).repartition("id")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     filed = words.filter(word.isNotNull()).select("word").distinct().select("word", word_anchor(word).alias("anchor"), salts)
     shown = lowered.select("id", F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"), F.explode(anchors(text)).alias("anchor"))
