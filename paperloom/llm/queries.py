@@ -96,7 +96,36 @@ SELECT t.doc_id, w.digest, whole.license, notices.notices FROM texts t LEFT JOIN
   LEFT JOIN whole ON whole.r = t.r LEFT JOIN notices ON notices.r = t.r WHERE t.kind = 'd'
 """
 
+OP8_SQL = r"""
+WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n,
+  row_number() OVER (ORDER BY source IS NULL, source) - 1 AS s FROM sizes GROUP BY source),
+weighed AS (SELECT *, CAST([3, 1, 2][CAST(s % 3 + 1 AS INTEGER)] AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS cap FROM sources),
+sorted AS (SELECT *, (SELECT 1.5::DOUBLE * sum(source_size) FROM sources) - coalesce(sum(cap) OVER before, 0) AS rest,
+  sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_weight FROM weighed
+  WINDOW before AS (ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rate AS (SELECT arg_min(rest / open_weight, cap / w) AS rate FROM sorted WHERE rest / open_weight * w <= cap),
+targets AS (SELECT s, source, n, source_size, least(cap, w * rate) AS target FROM weighed, rate),
+blocks AS (SELECT CAST(floor(sum(target) / 16 + 0.5) AS BIGINT) AS b, sum(target) AS t FROM targets),
+source_seats AS (SELECT s, target / (2 * k + 1) AS q FROM targets, blocks, range(CAST(ceil(b * target / greatest(t, 1)) AS BIGINT) + 2) AS r(k) WHERE target > 0),
+source_quota AS (SELECT s, count(*) AS quota FROM (SELECT s, row_number() OVER (ORDER BY q DESC, s) AS seat FROM source_seats), blocks
+  WHERE seat <= b GROUP BY s),
+placed AS (SELECT doc_id, size, s, source_size, target, coalesce(quota, 0) AS quota,
+  CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '-'), size, 7)), 1, 15) AS BIGINT) AS ord,
+  CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '-'), 8)), 1, 15) AS BIGINT) % CAST(ceil(n / 1024) AS BIGINT) AS shard
+  FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source LEFT JOIN source_quota USING (s)),
+shards AS (SELECT s, shard, CAST(sum(size) AS DOUBLE) AS v, any_value(quota) AS quota, sum(sum(size)) OVER (PARTITION BY s) AS total
+  FROM placed GROUP BY s, shard),
+shard_seats AS (SELECT s, shard, quota, v / (2 * k + 1) AS q FROM shards, range(CAST(ceil(quota * v / greatest(total, 1)) AS BIGINT) + 2) AS r(k) WHERE v > 0),
+shard_quota AS (SELECT s, shard, count(*) AS seats FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY q DESC, shard) AS seat
+  FROM shard_seats) WHERE seat <= quota GROUP BY s, shard),
+taken AS (SELECT p.*, coalesce(sum(size) OVER (PARTITION BY p.s, p.shard ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+  v, least(coalesce(seats, 0) * 16, v * 2) AS words
+  FROM placed p JOIN shards USING (s, shard) LEFT JOIN shard_quota USING (s, shard))
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, words - pos)) + greatest(0, least(size, words - v - pos)) AS BIGINT) AS taken FROM taken
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_lm_scores, op3_license_scan, op4_weighted_fingerprints, op5_benchmark_leaks, op6_suffix_dedup,
     op7_chat_repair, op8_source_mix, op9_toxicity, op10_url_filter)}
-ORACLE = {"op3_license_scan": OP3_SQL, "op10_url_filter": OP10_SQL}
+ORACLE = {"op8_source_mix": OP8_SQL, "op3_license_scan": OP3_SQL, "op10_url_filter": OP10_SQL}
