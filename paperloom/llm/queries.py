@@ -96,6 +96,22 @@ SELECT t.doc_id, w.digest, whole.license, notices.notices FROM texts t LEFT JOIN
   LEFT JOIN whole ON whole.r = t.r LEFT JOIN notices ON notices.r = t.r WHERE t.kind = 'd'
 """
 
+OP6_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n
+  FROM documents),
+starts AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM docs, range(n - 49) AS t(i) WHERE doc_id IS NOT NULL AND n >= 50),
+firsts AS (SELECT g, min(doc_id) AS first_id FROM starts GROUP BY g),
+repeated AS (SELECT r, i FROM starts JOIN firsts USING (g) WHERE doc_id > first_id),
+marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM repeated),
+spans AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM marked)
+  GROUP BY r, span),
+pieces AS (SELECT r, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0))) AS piece
+  FROM spans JOIN docs USING (r)),
+cut AS (SELECT r, string_agg(piece, '' ORDER BY a) AS kept, max(b) AS b, sum(b - a) AS removed, count(*) AS spans FROM pieces GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * b + 1), h))) AS kept_sha256 FROM docs LEFT JOIN cut USING (r)
+"""
+
 OP8_SQL = r"""
 WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n,
@@ -128,4 +144,4 @@ SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, words - p
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_lm_scores, op3_license_scan, op4_weighted_fingerprints, op5_benchmark_leaks, op6_suffix_dedup,
     op7_chat_repair, op8_source_mix, op9_toxicity, op10_url_filter)}
-ORACLE = {"op8_source_mix": OP8_SQL, "op3_license_scan": OP3_SQL, "op10_url_filter": OP10_SQL}
+ORACLE = {"op6_suffix_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op3_license_scan": OP3_SQL, "op10_url_filter": OP10_SQL}
