@@ -21,9 +21,10 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     moves: list[DataFrame] = []
     while not moves or not links.isEmpty():
-        near = F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("to")) for x in "ab" for y in "ab"]))
-        pull = F.xxhash64(F.col("to"), F.lit(len(moves)))
-        move = stored(links.select(near.alias("n")).select("n.*").groupBy("node").agg(F.min_by("to", pull).alias("to")))
+        near = F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("to")) for x, y in ("ab", "ba")]))
+        pull = lambda c: F.xxhash64(F.col(c), F.lit(len(moves)))
+        best = links.select(near.alias("n")).select("n.*").groupBy("node").agg(F.min_by("to", pull("to")).alias("to"))
+        move = stored(best.withColumn("to", F.when(pull("node") < pull("to"), F.col("node")).otherwise(F.col("to"))))
         moves.append(move)
         moved = links
         for side in ("a", "b"):

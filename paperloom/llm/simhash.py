@@ -187,7 +187,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, held: int = HELD) ->
     same = F.when(high, F.expr(f"shiftleft(shiftleft(1L, v % {half}), {half})").bitwiseXOR(F.lit(-1 << half))).otherwise(
         F.expr(f"shiftleft(1L, v % {half})").bitwiseXOR(F.lit(0xFFFFFFFF)))
     keyed = variant.select(segment.bitwiseAND(wild).bitwiseOR(F.shiftleft(F.col("v").cast("bigint"), half)).alias("key"), "fp", "v")
-    runs = keyed.repartition("key").sortWithinPartitions("key").select("key", "fp", same.alias("same"))
+    # Sorted by member too, so that the runs of a group name the same member its root and links fold.
+    runs = keyed.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", same.alias("same"))
     shape = "a bigint, b bigint, key bigint"
     found = stored(runs.mapInArrow(_link_runs(radius, held, False), shape))
     large = found.filter("b is null")
@@ -357,7 +358,8 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, held: int = MEMBERS
         return part.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % width).cast("int")).bitwiseXOR(F.lit(-1)))
 
     def linked(rows: DataFrame, most: int) -> DataFrame:
-        sorted_ = rows.select("key", "node", "w0", "w1").repartition("key").sortWithinPartitions("key")
+        # Sorted by member too, so that the runs of a group name the same member its root and links fold.
+        sorted_ = rows.select("key", "node", "w0", "w1").repartition("key").sortWithinPartitions("key", "node")
         return stored(sorted_.mapInArrow(_verified_links(wide_radius(similarity), most), "a bigint, b bigint"))
 
     rows = nodes.select("node", "w0", "w1", prints).select("node", "w0", "w1", "x.s", "x.p").select("*", places)
