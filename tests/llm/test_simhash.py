@@ -137,3 +137,23 @@ def test_similar_texts(spark, monkeypatch, held):
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == df.columns
     assert sorted(i for i in ids if i is not None) == sorted(set(group.values())) and ids.count(None) == 1
+
+
+def test_appended_cut_and_block_edited_copies(spark):
+    """All pairs at 0.8 or more are found and no document without such a pair is lost, also where no words repeat."""
+    rng = random.Random(23)
+    texts = []
+    for i in range(60):
+        w = [f"{i}x{k}" for k in range(200)]
+        new = [f"{i}y{k}" for k in range(110)]
+        at = rng.randrange(150)
+        texts += [w, w + new[:rng.choice([10, 20, 30, 48])], w[:rng.choice([162, 170, 190])], w[:at] + new[:12] + w[at + 12:],
+                  new[:60] + w + new[60:], w[:130] + new[:40]]
+    texts = [" ".join(w) for w in texts]
+    sets = [grams(t) for t in texts]
+    a, b = zip(*[(i, j) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j] and jaccard(sets[i], sets[j]) >= 0.8])
+    expected = labels(len(texts), np.array(a), np.array(b))
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS).repartition(3)
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert [group[i] for i in range(len(texts))] == expected.tolist()
+    assert 120 <= len(set(group.values())) < 300
