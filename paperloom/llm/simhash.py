@@ -359,12 +359,21 @@ def _compared(similarity: float):
     return run
 
 
+def _dealt(labelled: DataFrame, open_: DataFrame, held: int) -> DataFrame:
+    """(run, node, label): a band's members in blocks of about `held`, and a run for each two blocks, so that every two members meet."""
+    blocks = F.ceil(F.greatest(F.col("members") / held, F.col("shingles") / SHINGLES))
+    rows = labelled.join(open_, "key").withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(node, 2), blocks)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("run"), "node", "label")
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float = 0.8, held: int = MEMBERS) -> DataFrame:
     """Links (a, b) between `nodes` (node, row, n, keys) that share a band and whose sets of shingles are similar.
 
     Their components are those of all such pairs. The members of a band are first
     compared with its smallest one. Bands that then still hold several labels are
-    dealt out with their sets, and members of different labels compared.
+    dealt out with their sets, and members of different labels compared, block
+    against block, so `held` bounds what a task holds and leaves the result alone.
     """
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -392,8 +401,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
     open_ = stored(open_.groupBy("same0", "same1", "members", "shingles").agg(F.min("key").alias("key")).select("key", "members", "shingles"))
     if open_.isEmpty():
         return links
-    dealt = labelled.join(open_, "key").select(F.col("key").alias("run"), "node", "label")
-    dealt = dealt.join(sets, "node").repartition("run").sortWithinPartitions("run", "node").select("run", "node", "label", "grams")
+    dealt = _dealt(labelled, open_, held).join(sets, "node").repartition("run").sortWithinPartitions("run", "node").select("run", "node", "label", "grams")
     return links.unionByName(stored(dealt.mapInArrow(_compared(similarity), "a bigint, b bigint")))
 
 

@@ -157,3 +157,28 @@ def test_appended_cut_and_block_edited_copies(spark):
     group = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
     assert [group[i] for i in range(len(texts))] == expected.tolist()
     assert 120 <= len(set(group.values())) < 300
+
+
+def test_hot_bands_give_the_same_groups_in_blocks(spark, monkeypatch):
+    """Hundreds of texts on both sides of 0.8 of each other: what a task may hold does not change a group."""
+    rng = random.Random(29)
+    base = [f"b{k}" for k in range(200)]
+    texts = []
+    for i in range(400):
+        w = list(base)
+        at = rng.randrange(200)
+        for k in range(at, at + rng.choice([4, 12, 18, 24, 40])):
+            w[k % 200] = f"{i}n{k}"
+        texts.append(" ".join(w))
+    sets = [grams(t) for t in texts]
+    a, b = zip(*[(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    expected = labels(len(texts), np.array(a), np.array(b)).tolist()
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS).repartition(3)
+    most = []
+    dealt = simhash._dealt
+    monkeypatch.setattr(simhash, "_dealt", lambda *x: (most.append(max(r["count"] for r in dealt(*x).groupBy("run").count().collect())), dealt(*x))[1])
+    for held in (40, 1 << 62):
+        monkeypatch.setattr(simhash.similar_links, "__defaults__", (0.8, held))
+        group = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+        assert [group[i] for i in range(len(texts))] == expected
+    assert 1 < len(set(expected)) < 300 and most[0] < 3 * 40 < most[1]
