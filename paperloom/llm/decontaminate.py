@@ -1,10 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every test item is cut into word n-grams. Texts are scanned once; a bitmap of
-fixed size, filled from the items, lets nearly nothing but item n-grams through,
-and those hits are counted over the whole corpus. Each item's seeds are its
-rarer n-grams by that count, so a passage that many documents share still has
-seeds while common word sequences have none. A text and an item that share a
+An alignment of m item words that scores at least `least` of the most has so few
+edits that a known number of its matched words are followed by their next two
+matches over at most two edits (`needed`). Such triples of words, under all
+spacings, are the keys of an item's places. Texts are scanned once; a bitmap of
+fixed size, filled from the items, lets nearly nothing but item keys through,
+and those hits are counted over the whole corpus. Of an item's places the seeds
+are the rarest, all but one fewer than the needed number: a text that aligns hits
+one of them, whatever the counts, while common word sequences are left out. A text and an item that share a
 seed are aligned word by word around the seeds' diagonals; the local alignment's
 score over the item's own is the similarity. Copies, edits, insertions and
 dropped words keep most of it.
@@ -15,6 +18,7 @@ of texts or items is gathered: all steps are joins that Spark may split.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,8 +32,9 @@ from paperloom.llm.common import stored
 
 WORDS = re.compile(r"\w+")
 GRAM = 3
-RARE = 2 / 3  # share of an item's n-grams, rarest first, that are seeds
-BITMAP = 1 << 22
+BITMAP = 1 << 25
+# Places of two or three words that follow each other over at most one edit, or two.
+SPACINGS = {2: [(0, 1), (0, 2)], 3: [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4)]}
 LEAST = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -59,19 +64,69 @@ def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
-def _grams(batches: Iterator[pa.RecordBatch], key: str, gram: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    codes = _Codes()
-    for batch in batches:
-        keys, places, hashes = [], [], []
-        for k, text in zip(batch[key].to_pylist(), batch["text"]):
-            found = gram_hashes(coded(WORDS.findall((text.as_py() or "").lower()), codes), gram)
-            at = np.arange(len(found)) if bitmap is None else np.flatnonzero(bitmap[(found % np.uint64(BITMAP)).astype(np.int64)])
-            if len(at):
-                keys.append(np.full(len(at), k, np.int64))
-                places.append(at)
-                hashes.append(found[at].view(np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, places, hashes)], [key, "at", "gram"])
+def needed(m: int, least: float) -> tuple[int, int]:
+    """(size, places): an alignment of m item words to at least `least` has that many places whose `size` words are in the text over so few edits.
+
+    With M matched words, of 2 M - edits >= 2 m least, edits are at most 2 (M - m least).
+    Two neighbouring matches with two edits or more between them use up two each, three with
+    three or more use up three, every edit counted twice.
+    """
+    triples = math.ceil((m * (4 * least - 1) - 6) / 3 - 1e-9)
+    return (3, triples) if triples > 0 else (2, max(1, math.ceil(m * least - 1 - 1e-9)))
+
+
+def spaced_hashes(codes: np.ndarray, size: int) -> list[np.ndarray]:
+    """One hash for each place and spacing of `size` words; it does not tell the spacings apart."""
+    out = []
+    for spacing in SPACINGS[size]:
+        n = max(0, len(codes) - spacing[-1])
+        h = np.full(n, size, np.uint64)
+        for k, place in enumerate(spacing):
+            h = (h ^ codes[place:place + n]) * MIX[k]
+            h ^= h >> np.uint64(29)
+        out.append(h)
+    return out
+
+
+def _item_grams(gram: int, least: float):
+    """Maps items to their keys (_item, at, gram), their size and the number of places that are to be seeds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for batch in batches:
+            for k, text in zip(batch["_item"].to_pylist(), batch["text"].to_pylist()):
+                words = coded(WORDS.findall(text.lower()), codes)
+                if len(words) < max(gram, 2):
+                    continue
+                size, places = needed(len(words), least)
+                hashes = spaced_hashes(words, size)
+                at = np.concatenate([np.arange(len(h)) for h in hashes])
+                taken = len(words) - size + 1 - places + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int64)) for x in (k, size, taken)]
+                                                 + [pa.array(at), pa.array(np.concatenate(hashes).view(np.int64))], ["_item", "size", "taken", "at", "gram"])
+
+    return run
+
+
+def _hits(sizes: list[int], bits: np.ndarray):
+    """Maps texts to the places (_doc, at, gram) of keys that the bitmap lets through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, bitmap = _Codes(), np.unpackbits(bits).view(bool)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                keys, places, hashes = [], [], []
+                for k, text in zip(part["_doc"].to_pylist(), part["text"]):
+                    words = coded(WORDS.findall((text.as_py() or "").lower()), codes)
+                    for found in (h for size in sizes for h in spaced_hashes(words, size)):
+                        at = np.flatnonzero(bitmap[(found & np.uint64(BITMAP - 1)).view(np.int64)])
+                        if len(at):
+                            keys.append(np.full(len(at), k, np.int64))
+                            places.append(at)
+                            hashes.append(found[at].view(np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, places, hashes)], ["_doc", "at", "gram"])
+
+    return run
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
@@ -104,7 +159,7 @@ def _aligned(least: float):
                 spans = [(m.start(), m.end()) for m in WORDS.finditer(text)]
                 words = coded([text[a:b] for a, b in spans], codes)
                 sought = coded(WORDS.findall(item.as_py().lower()), codes)
-                slack = len(sought) // 2 + GRAM
+                slack = math.ceil(2 * (1 - least) * len(sought)) + GRAM  # no alignment has more gaps
                 at = np.sort(np.array(diagonals.as_py()))
                 found = (0.0, 0, 0)
                 for near in np.split(at, np.flatnonzero(np.diff(at) > 2 * slack) + 1):
@@ -121,31 +176,32 @@ def _aligned(least: float):
     return run
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, gram: int = GRAM, rare: float = RARE) -> DataFrame:
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, gram: int = GRAM) -> DataFrame:
     """(doc_id, item_id, score, n_words, start_char, end_char): each text and item aligned to at least `least`.
 
     Words are runs of letters, digits and underscores, lower-cased. The span is the
     best alignment's in the lower-cased text; of equal scores the first counts.
     NULL and empty texts, and items of fewer than `gram` words, never match.
     Repeated rows each give their rows; rows without an id are reported with
-    NULL. Empty tables give no rows; other columns are not read.
+    NULL. Empty tables give no rows; other columns are not read. With `least` under
+    0.5, only items of more than 1 / least words are sure to be found.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item")).filter("item is not null")
     items = items.withColumn("_item", F.xxhash64("item_id", "item")).dropDuplicates(["_item"])
     keyed = texts.withColumn("_doc", F.xxhash64("doc_id", "text"))
     of_items = stored(items.select("_item", F.col("item").alias("text")).mapInArrow(
-        lambda b: _grams(b, "_item", gram, None), "_item bigint, at bigint, gram bigint"))
+        _item_grams(gram, least), "_item bigint, size bigint, taken bigint, at bigint, gram bigint"))
     bits = np.zeros(BITMAP, bool)
     places = of_items.select(F.expr(f"pmod(gram, {BITMAP})").alias("b")).distinct().toArrow()["b"].to_numpy()
     bits[places.astype(np.int64)] = True
-    hits = stored(keyed.select("_doc", "text").mapInArrow(
-        lambda b: _grams(b, "_doc", gram, bits), "_doc bigint, at bigint, gram bigint"))
+    sizes = [r["size"] for r in of_items.select("size").distinct().collect()]
+    hits = stored(keyed.select("_doc", "text").mapInArrow(_hits(sizes, np.packbits(bits)), "_doc bigint, at bigint, gram bigint"))
     counts = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("_count"))
-    by_item = Window.partitionBy("_item").orderBy("_count", "gram", "at")
-    seeds = (of_items.join(counts, "gram").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_item")))
-             .withColumn("_rank", F.row_number().over(by_item)).filter(F.col("_rank") <= F.ceil(F.col("_n") * rare))
-             .select("gram", "_item", F.col("at").alias("_of_item")))
+    by_item = Window.partitionBy("_item").orderBy("_count", "at")
+    rare = (of_items.join(counts, "gram", "left").groupBy("_item", "taken", "at").agg(F.sum(F.coalesce("_count", F.lit(0))).alias("_count"))
+            .withColumn("_rank", F.row_number().over(by_item)).filter("_rank <= taken").select("_item", "at"))
+    seeds = of_items.join(rare, ["_item", "at"]).select("gram", "_item", F.col("at").alias("_of_item")).distinct()
     pairs = (hits.join(seeds, "gram").groupBy("_doc", "_item")
              .agg(F.collect_set(F.col("at") - F.col("_of_item")).alias("diagonals")))
     wanted = keyed.join(pairs, "_doc").join(items, "_item")

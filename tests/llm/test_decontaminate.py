@@ -91,3 +91,25 @@ def test_empty_tables(spark):
     assert dc.benchmark_leaks(d.limit(0), b).collect() == []
     assert dc.benchmark_leaks(d, b.limit(0)).collect() == []
     assert dc.without_leaks(d, b.limit(0)).count() == 500
+
+
+def test_edited_copies_beside_exact_ones(spark):
+    """However often an item is in the corpus, each text that aligns at 0.5 or more is reported, also one without three words in a row."""
+    item = [f"w{i}" for i in range(60)]
+    short = "one two three four five six".split()
+    fourth = " ".join("x" if i % 4 == 3 else w for i, w in enumerate(item))
+    third = "w0 " + " ".join("x" if i % 3 == 2 and i < 58 else w for i, w in enumerate(item))
+    apart = " x ".join(item)
+    texts = [" ".join(item), fourth, third, apart, "a one x two three x four b", " ".join(w for i, w in enumerate(item) if i % 3), " ".join(item[:30]), " ".join(item[:29])]
+    texts += [" ".join(short)] * 5 + [fourth] * 40 + [" ".join(item)] * 40
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS)
+    items = [(1, " ".join(item), "en"), (2, " ".join(short), "en")]
+    codes = dc._Codes()
+    expected = {}
+    for j, t, _ in items:
+        for i, text in enumerate(texts):
+            if (score := dc.align(dc.coded(t.split(), codes), dc.coded(text.split(), codes))[0]) >= 0.5:
+                expected[i, j] = score
+    assert {(i, 1) for i in (0, 1, 2, 3, 5, 6)} <= set(expected) and (7, 1) not in expected
+    got = {(r.doc_id, r.item_id): r.score for r in dc.benchmark_leaks(df, spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == expected
