@@ -1,8 +1,9 @@
 """Toxicity: noisy-channel deobfuscation, then scoring of the restored text.
 
 The channel may write a letter as a look-alike sign, repeat it, or put a blank
-or sign between letters. Spans that show this become lattices of what each sign
-may stand for; Viterbi under a character trigram model of the whole corpus picks
+or sign between letters, in any mixture. Every token with a sign beside a letter or a
+doubled letter, and every run of single letters or signs, becomes a lattice of what each
+may stand for, itself included; Viterbi under a character trigram model of the whole corpus picks
 the likeliest reading; all other text is its own only reading. The character
 model is a table of fixed size, counted over every text.
 
@@ -34,11 +35,14 @@ LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8":
                "!": "i", "|": "li", "+": "t", "€": "e"}
 SIGNS = re.escape("".join(LOOK_ALIKES))
 LETTER = r"[^\W\d_]"
-DISGUISED = re.compile(rf"{LETTER}[{SIGNS}]+{LETTER}|(?<!\S)[{SIGNS}]+{LETTER}{{2}}|{LETTER}{{2}}[{SIGNS}](?!\S)")
-REPEATED = re.compile(rf"({LETTER})\1\1")
-SPACED = re.compile(rf"(?<!\w){LETTER}(?:[ .\-_*]{LETTER}(?!\w)){{2,}}")
-TOKEN = re.compile(r"\S+")
+UNIT = rf"(?:{LETTER}|[{SIGNS}])"
+DISGUISED = re.compile(rf"{LETTER}[{SIGNS}]|[{SIGNS}]{LETTER}|({LETTER})\1")
+SPACED = re.compile(rf"(?<![\w{SIGNS}]){UNIT}(?:[\s.,\-_*/]+{UNIT}(?![\w{SIGNS}])){{2,}}")
+SIGNED = re.compile(rf"(?=.*@|.*\$\$)[{SIGNS}]{{3,}}")  # all signs, and more than a price or a number
+HAS_LETTER = re.compile(LETTER)
 WORDS = re.compile(rf"{LETTER}+")
+SEPARATORS = " \t\n\r\f\v.,-_*/"
+SOUNDS = {"8": "ate"}
 EDGE = ".,;:!?\"'()"
 
 TRIPLES, PAIRS = 1 << 18, 1 << 16
@@ -92,6 +96,7 @@ class Restorer:
     def __init__(self, counts: np.ndarray):
         self.counts = counts
         self._short = lru_cache(1 << 16)(self._read)
+        self.tokens = _Tokens(self._token)
 
     def read(self, span: str) -> str:
         return self._short(span) if len(span) <= 64 else self._read(span)
@@ -110,14 +115,17 @@ class Restorer:
                 end += 1
             if ch.isalpha():
                 run = end - i
-                options = [(ch * k, -0.5 * (run - k > 0)) for k in ((1, 2) if run > 2 else (run,))]
+                options = [(ch, -0.5), (ch * 2, -0.5)] if run > 2 else [(ch * 2, 0.0), (ch, -2.0)] if run > 1 else [(ch, 0.0)]
                 i = end
             elif ch in LOOK_ALIKES:
                 reads = LOOK_ALIKES[ch]
-                options = [(r, -0.7 - math.log(len(reads))) for r in reads] + [(ch, -2.0)]
+                options = [(r, -0.7 - math.log(len(reads))) for r in reads] + [(ch, -4.0 if ch in "@$€" else -2.0)]
+                options += [(SOUNDS[ch], -2.0)] if ch in SOUNDS else []
                 i += 1
             else:
-                options = [("", -0.7), (" ", -0.7)] if ch in " .-_*" else [(" ", 0.0)]
+                options = [("", -0.7), (" ", -0.7)] if ch in SEPARATORS else [(" ", 0.0)]
+                while end < len(span) and ch in SEPARATORS and span[end] in SEPARATORS:
+                    end += 1
                 i = end
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, said) in paths.items():
@@ -126,28 +134,43 @@ class Restorer:
                     for r in read:
                         c = ord(r) if r.isalpha() and ord(r) < 0x10000 else 0
                         if c or y:
-                            total += self.step(x, y, c) if c or r == " " else -6.0
+                            total += self.step(x, y, c)  # a sign that stays ends the word
                             x, y = y, c
                     if (x, y) not in new or total > new[x, y][0]:
                         new[x, y] = (total, said + read)
             paths = new
         return max((cost + (self.step(a, b, 0) if b else 0.0), said) for (a, b), (cost, said) in paths.items())[1]
 
-    def _token(self, found: re.Match) -> str:
-        token = found[0]
-        if not (DISGUISED.search(token) or REPEATED.search(token)):
-            return token
+    def _token(self, token: str) -> str:
         core = token.strip(EDGE)
+        # A '!' may be an edge or an i; what stands before a letter is read with it.
         start = token.find(core) if core else 0
+        if token[:start].endswith("!") and core[:1].isalpha():
+            start, core = start - 1, "!" + core
+        if not (DISGUISED.search(core) or SIGNED.fullmatch(core) and len(set(core)) > 1):
+            return token
         return token[:start] + self.read(core) + token[start + len(core):]
 
+    def _spaced(self, found: re.Match) -> str:
+        return self.read(found[0]) if HAS_LETTER.search(found[0]) else found[0]
+
     def restore(self, text: str) -> str:
-        text = text.lower()
-        if SPACED.search(text):
-            text = SPACED.sub(lambda m: self.read(m[0]), text)
-        if DISGUISED.search(text) or REPEATED.search(text):
-            text = TOKEN.sub(self._token, text)
-        return text
+        """The text with all disguised spans read, its blanks folded."""
+        return " ".join(map(self.tokens.__getitem__, SPACED.sub(self._spaced, text.lower()).split()))
+
+
+class _Tokens(dict):
+    """A token's reading, kept once worked out; forgets all when it grows over its bound."""
+
+    def __init__(self, read):
+        super().__init__()
+        self.read = read
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        said = self[token] = self.read(token)
+        return said
 
 
 def _starts(word: str) -> list[str]:

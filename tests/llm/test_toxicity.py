@@ -67,3 +67,18 @@ def test_held_out_accuracy(spark):
     toxic = [r for r in judged if r.toxic]
     assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
     assert sum(r.predicted for r in judged if not r.toxic) <= 0.05 * (len(judged) - len(toxic))
+
+
+def test_mixed_disguises(spark, made):
+    docs, _ = made
+    more = spark.createDataFrame([(2000 + i, "stupid idiot ass loss assassin a balloon", "x") for i in range(200)], DOCS)
+    restorer = toxicity.Restorer(toxicity.character_counts(docs.unionByName(more)))
+    spelt = {"stupid": ["s t u p 1 d", "5 t u p i d", "s  t  u  p  i  d", "s/t/u/p/i/d", "s. t. u. p. 1. d", "stuupiid", '"$tupid"', "($tup1d)", "s.t.u.p.i.d"],
+             "idiot": ["i d 1 o t", "1 d 1 o t", "i.d.1.o.t", "iddiot", "!diot", "1d10t"], "ass": ["a$$", "@$$", "a$$!"], "loss": ["lo$$"]}
+    for word, ways in spelt.items():
+        for way in ways:
+            assert word in toxicity.WORDS.findall(restorer.restore(f"the {way} moron")), way
+    for clean in ("balloon", "loss", "idiot!", "1 2 3 4", "the balloon assassin"):
+        assert toxicity.WORDS.findall(restorer.restore(clean)) == toxicity.WORDS.findall(clean), clean
+    letters = toxicity.Restorer(toxicity.character_counts(more.selectExpr("'i hate the late hate' as text")))
+    assert toxicity.WORDS.findall(letters.restore("i h8 the")) == ["i", "hate", "the"]
