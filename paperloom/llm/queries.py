@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontaminate, fingerprints, licenses, mixing, ngramlm, simhash, suffixdedup, toxicity, urlfilter
+from paperloom.llm import chat, decontaminate, fingerprints, licenses, mixing, ngramlm, prefixtrie, simhash, suffixdedup, toxicity, urlfilter
 from paperloom.llm.common import read
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -57,6 +57,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 OP10_SQL = r"""
 WITH rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
@@ -141,7 +145,33 @@ taken AS (SELECT p.*, coalesce(sum(size) OVER (PARTITION BY p.s, p.shard ORDER B
 SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, words - pos)) + greatest(0, least(size, words - v - pos)) AS BIGINT) AS taken FROM taken
 """
 
+#: CRC-32 of a short ASCII text, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split({text}, '')],
+    lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+OP13_SQL = rf"""
+WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS r FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, c - c % 20 AS base, {CRC_SQL.format(text="c::VARCHAR")} % 4 AS h FROM turns),
+rebuilt AS (SELECT i.c, 0 AS own, r, role, text FROM ids i JOIN turns t ON t.c = i.base AND r <= h
+  UNION ALL SELECT i.c, 1, r, role, text FROM ids i JOIN turns t ON t.c = i.c AND r > h),
+prefixes AS (SELECT c, row_number() OVER place AS d, len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+  string_agg(md5(role || chr(1) || text), '') OVER place AS k, count(*) OVER (PARTITION BY c) AS size
+  FROM rebuilt WINDOW place AS (PARTITION BY c ORDER BY own, r ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT c, 0, 0, '', (SELECT count(*) FROM rebuilt b WHERE b.c = ids.c) FROM ids),
+nodes AS (SELECT k, d, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(words) AS saved,
+  coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = size), '') AS ends FROM prefixes GROUP BY k, d),
+kids AS (SELECT left(k, 32 * (d - 1)) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+marked AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.k = nodes.k),
+under AS (SELECT left(k, 32 * i) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS i FROM marked) GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, up.conv_id AS parent_conv_id, m.n AS n_convs, m.n_children, n_leaves, under.saved::BIGINT AS saved_tokens,
+  sha256(m.ends) AS ends_sha256
+FROM marked m JOIN under ON under.k = m.k LEFT JOIN nodes up ON m.d > 0 AND up.k = left(m.k, 32 * (m.d - 1))
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_lm_scores, op3_license_scan, op4_weighted_fingerprints, op5_benchmark_leaks, op6_suffix_dedup,
-    op7_chat_repair, op8_source_mix, op9_toxicity, op10_url_filter)}
-ORACLE = {"op6_suffix_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op3_license_scan": OP3_SQL, "op10_url_filter": OP10_SQL}
+    op7_chat_repair, op8_source_mix, op9_toxicity, op10_url_filter,
+    op13_prefix_trie)}
+ORACLE = {"op6_suffix_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op3_license_scan": OP3_SQL, "op10_url_filter": OP10_SQL, "op13_prefix_trie": OP13_SQL}
