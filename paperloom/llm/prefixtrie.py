@@ -31,7 +31,7 @@ from paperloom.llm.common import WORD, stored
 from paperloom.llm.turns import numbered
 
 BAND = 64
-HEAVY = 1024
+HEAVY = 256
 SHARD_ROWS = 100_000
 SALTS = 16
 PIECE = 65536  # ids of a piece of a node's list of ends

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontaminate, fingerprints, licenses, mixing, ngramlm, prefixtrie, simhash, suffixdedup, toxicity, urlfilter
+from paperloom.llm import chat, decontaminate, fingerprints, licenses, mixing, ngramlm, prefixtrie, simhash, suffixdedup, toxicity, turnrepair, urlfilter
 from paperloom.llm.common import read
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -57,6 +57,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.repair_damaged(read(spark, sf_dir, "conversations"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.rebuilt_trie(read(spark, sf_dir, "conversations"))
 
@@ -155,7 +159,8 @@ WITH turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '
 ids AS (SELECT DISTINCT c, c - c % 20 AS base, {CRC_SQL.format(text="c::VARCHAR")} % 4 AS h FROM turns),
 rebuilt AS (SELECT i.c, 0 AS own, r, role, text FROM ids i JOIN turns t ON t.c = i.base AND r <= h
   UNION ALL SELECT i.c, 1, r, role, text FROM ids i JOIN turns t ON t.c = i.c AND r > h),
-prefixes AS (SELECT c, row_number() OVER place AS d, len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+prefixes AS (SELECT c, row_number() OVER place AS d, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words,
   string_agg(md5(role || chr(1) || text), '') OVER place AS k, count(*) OVER (PARTITION BY c) AS size
   FROM rebuilt WINDOW place AS (PARTITION BY c ORDER BY own, r ROWS UNBOUNDED PRECEDING)
   UNION ALL SELECT c, 0, 0, '', (SELECT count(*) FROM rebuilt b WHERE b.c = ids.c) FROM ids),
@@ -170,8 +175,49 @@ SELECT m.conv_id, m.d AS depth, up.conv_id AS parent_conv_id, m.n AS n_convs, m.
 FROM marked m JOIN under ON under.k = m.k LEFT JOIN nodes up ON m.d > 0 AND up.k = left(m.k, 32 * (m.d - 1))
 """
 
+def _way(cost: str, letter: str, line: str, *froms: str) -> list[str]:
+    """Ways on from states, as DuckDB structs of cost, audit and lines, which compare in this order."""
+    more = f" || chr(10) || {line}" if line else ""
+    return [f"{{'c': {q}.c + {cost}, 'a': {q}.a || '{letter}', 't': {q}.t{more}}}" for q in froms]
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE hashed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {CRC_SQL.format(text="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS does FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE does WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE does WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE does WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE does <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS r FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 AS again,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY r) AS last_role FROM placed),
+turns AS (SELECT conv_id, turn, r, role, text, left(role, 1) AS k, last_role || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'fine' END AS fault FROM seen),
+priced AS (SELECT *, CASE fault WHEN 'truncated' THEN 1 WHEN 'fine' THEN 0 ELSE 1000000 END AS p FROM turns),
+ways AS (SELECT conv_id, 0::BIGINT AS r, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS q0, {{'c': 1000000::BIGINT, 'a': '', 't': ''}} AS qs,
+  {{'c': 2::BIGINT, 'a': 'I', 't': chr(10) || 'user:'}} AS qu, {{'c': 4::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS qa
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, r, n0, ns, nu, {_least("ma", *_way("2", "I", "'assistant:'", "nu"))} FROM (
+    SELECT *, {_least("mu", *_way("2", "I", "'user:'", "n0", "ns", "ma"))} AS nu FROM (
+      SELECT w.conv_id, t.r, {_way("3", "D", "", "q0")[0]} AS n0,
+        {_least(*_way("3", "D", "", "qs"), *_way("p + if(k = 's', 0, 1000000)", "K", "role || ':' || text", "q0"))} AS ns,
+        {_least(*_way("3", "D", "", "qu"), *_way("p + if(k = 'u', 0, 1000000)", "K", "role || ':' || text", "q0", "qs", "qa"), *_way("p + 2", "R", "'user:' || text", "q0", "qs", "qa"))} AS mu,
+        {_least(*_way("3", "D", "", "qa"), *_way("p + if(k = 'a', 0, 1000000)", "K", "role || ':' || text", "qu"), *_way("p + 2", "R", "'assistant:' || text", "qu"))} AS ma
+      FROM ways w JOIN priced t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.r = w.r + 1))),
+ended AS (SELECT conv_id, r, {_least("q0", "qa")} AS q FROM ways),
+counts AS (SELECT conv_id, max(r) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM turns GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, q.c AS cost, q.a AS audit, sha256(substr(q.t, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.r = coalesce(n, 0)
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_lm_scores, op3_license_scan, op4_weighted_fingerprints, op5_benchmark_leaks, op6_suffix_dedup,
     op7_chat_repair, op8_source_mix, op9_toxicity, op10_url_filter,
-    op13_prefix_trie)}
-ORACLE = {"op6_suffix_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op3_license_scan": OP3_SQL, "op10_url_filter": OP10_SQL, "op13_prefix_trie": OP13_SQL}
+    op12_turn_repair, op13_prefix_trie)}
+ORACLE = {"op6_suffix_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op3_license_scan": OP3_SQL, "op10_url_filter": OP10_SQL, "op12_turn_repair": OP12_SQL, "op13_prefix_trie": OP13_SQL}

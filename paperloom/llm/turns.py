@@ -15,6 +15,7 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str)
     have begun in an earlier range, so there is at most one offset for each range, and the broadcast has that bound.
     `order` ascends, NULL first; equal rows go in any order. Groups must not be NULL.
     """
+    order = [*order, F.monotonically_increasing_id()]  # so that equal rows can lie in several ranges
     keys = [f"_o{i}" for i in range(len(order))]
     dealt = rows.select("*", *[c.alias(k) for c, k in zip(order, keys)])
     dealt = stored(dealt.repartitionByRange(*group, *keys).withColumn("_pid", F.spark_partition_id()))
