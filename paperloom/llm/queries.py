@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, decontaminate, fingerprints, licenses, mixing, ngramlm, prefixtrie, simhash, suffixdedup, toxicity, turnrepair, urlfilter
+from paperloom.llm import chat, decontaminate, fingerprints, licenses, mixing, ngramlm, personal, prefixtrie, simhash, suffixdedup, toxicity, turnrepair, urlfilter
 from paperloom.llm.common import read
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -57,6 +57,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.span_digests(personal.personal_spans(read(spark, sf_dir, "documents")))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnrepair.repair_damaged(read(spark, sf_dir, "conversations"))
 
@@ -219,5 +223,5 @@ FROM ended e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id WHER
 QUERIES = {f.__name__: f for f in (
     op1_simhash_dedup, op2_lm_scores, op3_license_scan, op4_weighted_fingerprints, op5_benchmark_leaks, op6_suffix_dedup,
     op7_chat_repair, op8_source_mix, op9_toxicity, op10_url_filter,
-    op12_turn_repair, op13_prefix_trie)}
+    op11_personal_data, op12_turn_repair, op13_prefix_trie)}
 ORACLE = {"op6_suffix_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op3_license_scan": OP3_SQL, "op10_url_filter": OP10_SQL, "op12_turn_repair": OP12_SQL, "op13_prefix_trie": OP13_SQL}
