@@ -1,15 +1,17 @@
 """Keyword tagging: matches, scores, bonuses and the best topics per text.
 
-Words of the dictionary are found with one equi-join, not by trying every word
-on every text. A word is filed under the start of its longest run of letters or
-of other signs; a text yields, in one pass, the distinct starts of all runs it
-holds. Where they meet, the word is looked up in the text once and every question
-about it is answered there: does it stand alone, have an ending, count as a
-mention. Words without a run of 3 characters are looked up in every text. All
-steps from matching to relevance read that one table of found words.
-
-Anchors are salted by the text, so a common one is no hot key; ids and words are
-what the join moves, and whether the dictionary is broadcast is up to its bytes.
+Words of the dictionary are found by seeds, not by trying every word on every
+text. A word's seed is that of its 5-character pieces (all of it, if shorter)
+that the texts hold least often. Texts are cut into small pieces with a margin as
+long as the longest word; every place of a piece shows its seed candidates, an
+equi-join finds the words, and a look at that place decides: is the word there,
+does it stand alone, has it an ending, does it count as a mention. So no word is
+ever searched for in a text. All steps from matching to relevance read that one
+table of found words.
+
+A dictionary within the session's broadcast limit, by its bytes, meets the places
+where the texts lie; beyond it, places and seeds are shuffled, and the few places
+that meet a word fetch their piece by (text, piece).
 
 Word boundaries are ASCII: a word character is a letter a-z, a digit or '_'.
 """
@@ -20,11 +22,11 @@ from pyspark.sql import functions as F
 from paperloom.functions.features import contains_any, is_computational
 from paperloom.functions.names import first_case
 from paperloom.operators.taxonomy import title_phrases
-from paperloom.plans.scale import cut_lineage, top_per_group
+from paperloom.plans.scale import cut_lineage, stored_table, top_per_group
 
-PIECE, SHORT = 5, 3
+SEED = 5
+PIECES = (1 << 20, 1 << 12, 1 << 6)  # characters of what texts are cut into, step by step
 PARTIAL_LENGTH = 5
-SALTS = 8
 
 # Clear synonyms; every inner list needs one hit.
 RELATED = {
@@ -46,47 +48,80 @@ CONCEPT_BONUS, MENTION_BONUS = 2.0, 5.0
 KEYWORD_THRESHOLD = 2.0
 
 
-RUN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
-STARTS = rf"(?=([\p{{L}}\p{{N}}_]{{{SHORT},{PIECE}}}|[^\p{{L}}\p{{N}}_\s]{{{SHORT},{PIECE}}}))"
 ENDINGS = ["s ", "ing", "ed", "'s"]
 
 
-def anchors(text: Column) -> Column:
-    """Distinct starts, 3 to 5 characters long, of what a word's run could be in the text, and the empty one."""
-    longest = F.array_distinct(F.regexp_extract_all(text, F.lit(STARTS), F.lit(1)))
-    starts = F.transform(longest, lambda p: F.array(*[F.substring(p, 1, n) for n in range(SHORT, PIECE + 1)]))
-    return F.array_distinct(F.concat(F.flatten(starts), F.array(F.lit(""))))
-
-
-def word_anchor(word: Column) -> Column:
-    """The start of the longest run; empty if that has fewer than 3 characters."""
-    runs = F.regexp_extract_all(word, F.lit(RUN), F.lit(0))
-    run = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
-    return F.when(F.length(run) >= SHORT, F.substring(run, 1, PIECE)).otherwise("")
-
-
-def is_bounded(text: Column, word: Column) -> Column:
-    """Non-word characters on both sides; NULL for a word with other edges."""
-    bounded = F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9_])\Q"), word, F.lit(r"\E(?![a-z0-9_])")))
-    return F.when(word.rlike("(?s)^[a-z0-9_](.*[a-z0-9_])?$"), bounded)
-
-
-def is_exact(text: Column, word: Column, bounded: Column, in_brackets: bool = True) -> Column:
-    """`bounded`, the outcome of `is_bounded`; a word with other edges needs one of the listed delimiters."""
-    def around(before, after):
-        return text.contains(F.concat(F.lit(before), word, F.lit(after)))
+def _pieces(texts: DataFrame, margin: int) -> DataFrame:
+    """(id, at, size, own, lead, piece): each text as pieces of `size` places from `at` on.
 
-    delimited = (around(" ", " ") | around(" ", ",") | around(" ", ".")
-                 | text.startswith(F.concat(word, F.lit(" "))) | text.endswith(F.concat(F.lit(" "), word)))
-    if in_brackets:
-        delimited = delimited | around("(", ")")
-    return F.when(bounded.isNull(), delimited).otherwise(bounded)
-
-
-def is_partial(text: Column, word: Column) -> Column:
-    """The word is followed by a plural, tense or genitive ending."""
-    followed = [text.contains(F.concat(word, F.lit(e))) for e in ENDINGS]
-    return followed[0] | followed[1] | followed[2] | followed[3]
+    `own` is the piece with the rest of a seed that begins in it, `piece` has a margin of `lead` characters before it and
+    `margin` behind it. Reaching a place takes as long as what stands before it, so a text is cut in steps.
+    """
+    rows = texts.filter(F.length("text") > 0).select(
+        "id", F.lit(0).alias("at"), F.length("text").alias("size"), F.lit(0).alias("lead"), F.col("text").alias("piece"))
+    for size in PIECES:
+        parts = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(size))).alias("in"))
+        start = F.col("lead") + F.col("in")
+        lead = F.least(F.lit(margin), start)
+        rows = parts.select("id", (F.col("at") + F.col("in")).alias("at"), F.least(F.lit(size), F.col("size") - F.col("in")).alias("size"),
+                            lead.alias("lead"), F.substr("piece", start - lead + 1, F.lit(size + margin) + lead).alias("piece"))
+    return rows.withColumn("own", F.substr("piece", F.col("lead") + 1, F.lit(PIECES[-1] + SEED - 1)))
+
+
+def _places(pieces: DataFrame, lengths: list[int], *carried: str) -> DataFrame:
+    """(carried, i, gram): what stands at each place of a piece, in each of the lengths."""
+    rows = pieces.select("own", *carried, F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
+    if len(lengths) == 1:
+        return rows.select(*carried, "i", F.substr("own", F.col("i") + 1, F.lit(lengths[0])).alias("gram"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("len"))
+    return rows.select(*carried, "i", F.substr("own", F.col("i") + 1, F.col("len")).alias("gram"))
+
+
+def _seeds(pieces: DataFrame, words: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(gram, word, offset): each word's rarest piece; words with a piece that no text has are left out."""
+    size = F.least(F.length("word"), F.lit(SEED))
+    grams = words.select("word", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.length("word") - size), lambda o: F.substr(F.col("word"), o + 1, size))).alias("offset", "gram"))
+    grams = stored_table(grams)
+    lengths = sorted(r[0] for r in grams.select(F.length("gram")).distinct().collect())  # at most SEED numbers
+    if not lengths:
+        return grams.select("gram", "word", "offset"), [SEED]
+    counts = _places(pieces, lengths).select("gram").join(grams.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    known = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = known.groupBy("word").agg(F.min(F.struct("n", "offset", "gram")).alias("s")).filter("s.n > 0")
+    return stored_table(rarest.select("s.gram", "word", "s.offset")), lengths
+
+
+def _fits_broadcast(df: DataFrame) -> bool:
+    """Whether the rows, counted with their strings, are within the session's broadcast limit."""
+    limit = int(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b"))
+    size = df.agg(F.sum(F.octet_length("gram") + F.octet_length("word") + 64)).first()[0] or 0
+    return size <= limit
+
+
+def _occurrences(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, word, before, after): every place of a word, with the character before it and the three after it."""
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    pieces = _pieces(texts, longest + 4)
+    seeds, lengths = _seeds(pieces, words)
+    if _fits_broadcast(seeds):
+        met = _places(pieces, lengths, "id", "piece", "lead").join(F.broadcast(seeds), "gram")
+    else:
+        met = _places(pieces, lengths, "id", "at").join(seeds, "gram").join(pieces.select("id", "at", "lead", "piece"), ["id", "at"])
+    start, size = F.col("lead") + F.col("i") - F.col("offset"), F.length("word")
+    # One look for the word and its neighbours; the first place of a text has nothing before it.
+    near = F.when(start > 0, F.substr("piece", start, size + 4)).otherwise(F.substr("piece", F.lit(1), size + 3))
+    there = met.filter(start >= 0).select("id", "word", F.when(start > 0, 1).otherwise(0).alias("skip"), near.alias("near"))
+    there = there.filter(F.substr("near", F.col("skip") + 1, size) == F.col("word"))
+    return there.select("id", "word", F.substr("near", F.lit(1), F.col("skip")).alias("before"),
+                        F.substr("near", F.col("skip") + 1 + size, F.lit(3)).alias("after"))
+
+
+def _delimited(in_brackets: bool) -> Column:
+    """Listed delimiters around an occurrence, or a blank on one side and the text's edge on the other."""
+    before, after = F.col("before"), F.col("after")
+    around = ((before == " ") & ((after == "") | F.substr(after, F.lit(1), F.lit(1)).isin(" ", ",", "."))) | ((before == "") & after.startswith(" "))
+    return around | ((before == "(") & after.startswith(")")) if in_brackets else around
 
 
 def _related_words(text: Column) -> Column:
@@ -102,48 +137,40 @@ def _all(text: Column, groups: list[list[str]]) -> Column:
     return condition
 
 
-def is_reasonable_mention(text: Column, keyword: Column) -> Column:
-    """Delimited on both sides, or longer than 5 characters and anywhere in the text."""
-    def around(before, after):
-        return text.contains(F.concat(F.lit(before), keyword, F.lit(after)))
-
-    delimited = (around(" ", " ") | text.startswith(F.concat(keyword, F.lit(" ")))
-                 | text.endswith(F.concat(F.lit(" "), keyword)) | around(" ", ",") | around(" ", ".") | around("(", ")"))
-    return text.contains(keyword) & ((F.length(keyword) > 5) | delimited)
-
-
 def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     """(id, computational, word, present, exact, bare, partial, mention, related), stored.
 
     `texts` has unique ids, text and maybe computational; `words` has word, in
     lower case. A row says that the word is in the text (present) or is related
-    to it by a synonym, and which tests it passes; `bare` is exact without
-    brackets as delimiters. Texts are cut into anchors once.
+    to it by a synonym, and which tests it passes: `exact` words stand between
+    non-word characters, or, if their own edges are others, between the listed
+    delimiters; `bare` is exact without brackets as delimiters; `partial` ones have
+    a plural, tense or genitive ending; a `mention` is longer than 5 characters or
+    delimited. Empty words are in no text.
     """
     text, word = F.col("text"), F.col("word")
     flag = F.col("computational") if "computational" in texts.columns else is_computational(text)
-    # Dealt by id once: cutting, meeting and looking up all stay in that partitioning.
-    lowered = texts.filter(text.isNotNull()).select("id", flag.alias("computational"), F.lower(text).alias("text")).repartition("id")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    filed = words.filter(word.isNotNull()).select("word").distinct().select("word", word_anchor(word).alias("anchor"), salts)
-    shown = lowered.select("id", F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"), F.explode(anchors(text)).alias("anchor"))
-    meets = shown.join(filed, ["anchor", "salt"]).groupBy("id").agg(F.collect_list("word").alias("words"))
-    synonyms = _related_words(text)
-    rows = lowered.join(meets, "id", "left").select(
-        "id", "computational", "text", synonyms.alias("synonyms"),
-        F.explode(F.array_union(F.coalesce("words", F.expr("cast(array() as array<string>)")), synonyms)).alias("word"))
-    present = text.contains(word)
-    related = F.array_contains("synonyms", word)
-    # Each look at the text is a column of its own, so that no test repeats it.
-    met = rows.select("*", present.alias("present"), related.alias("related")).filter("present or related")
-    met = met.withColumn("bounded", F.when(F.col("present"), is_bounded(text, word)))
-    bounded, there = F.col("bounded"), F.col("present")
-    found = met.select(
-        "id", "computational", "word", "present", (there & is_exact(text, word, bounded)).alias("exact"),
-        (there & is_exact(text, word, bounded, False)).alias("bare"),
-        (there & (F.length(word) >= PARTIAL_LENGTH) & is_partial(text, word)).alias("partial"),
-        (there & is_reasonable_mention(text, word)).alias("mention"), "related")
-    return cut_lineage(found)
+    # Dealt by id once: cutting, meeting, looking and folding all stay in that partitioning. Its number of
+    # partitions is given, as the work on a text is large beside its bytes, by which partitions would be merged.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lowered = texts.filter(text.isNotNull()).select("id", flag.alias("computational"), F.lower(text).alias("text")).repartition(tasks, "id")
+    listed = stored_table(words.filter(F.length("word") > 0).select("word").distinct())
+    open_left, open_right = ~F.col("before").rlike("[a-z0-9_]"), ~F.col("after").rlike("^[a-z0-9_]")
+    plain = word.rlike("(?s)^[a-z0-9_](.*[a-z0-9_])?$")
+    followed = F.col("after").startswith(ENDINGS[0])
+    for ending in ENDINGS[1:]:
+        followed = followed | F.col("after").startswith(ending)
+    tests = {"exact": F.when(plain, open_left & open_right).otherwise(_delimited(True)),
+             "bare": F.when(plain, open_left & open_right).otherwise(_delimited(False)),
+             "partial": (F.length(word) >= PARTIAL_LENGTH) & followed, "mention": (F.length(word) > 5) | _delimited(True)}
+    seen = _occurrences(lowered.select("id", "text"), listed).select("id", "word", *[t.alias(n) for n, t in tests.items()])
+    folded = seen.groupBy("id", "word").agg(F.lit(True).alias("present"), *[F.bool_or(n).alias(n) for n in tests])
+    no = [F.lit(False).alias(n) for n in ("present", *tests)]
+    synonyms = lowered.select("id", F.explode(_related_words(text)).alias("word")).select("id", "word", *no, F.lit(True).alias("related"))
+    both = folded.withColumn("related", F.lit(False)).unionByName(synonyms)
+    flags = ["present", *tests, "related"]
+    found = both.groupBy("id", "word").agg(*[F.bool_or(n).alias(n) for n in flags]).join(lowered.select("id", "computational"), "id")
+    return cut_lineage(found.select("id", "computational", "word", *flags))
 
 
 def keyword_words(keywords: DataFrame) -> DataFrame:

@@ -111,6 +111,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored_table(df: DataFrame) -> DataFrame:
+    """The rows written below the session's shared folder and read again, so that lineage ends and the planner knows their size."""
+    path = scratch_folder(df)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_folder(df_or_spark) -> str:
     """A new folder for written tables below the session's shared folder (local scratch in local mode)."""
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)

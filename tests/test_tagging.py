@@ -1,5 +1,6 @@
 """Tagging against a plain Python reading of the rules."""
 
+import random
 import re
 
 import pytest
@@ -165,7 +166,7 @@ def test_words_in_other_scripts_and_signs(spark):
     assert {(1, "спрос", "EXACT"), (2, "+++++", "EXACT"), (3, "word)", "PARTIAL"), (4, "rise c++", "PARTIAL")} <= expected
 
 
-def test_texts_are_cut_into_anchors_once(spark, texts, keywords, monkeypatch):
+def test_no_word_is_searched_for_in_a_whole_text(spark, texts, keywords, monkeypatch):
     plans = []
     monkeypatch.setattr(cl, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     monkeypatch.setattr(lb, "cut_lineage", lambda df: df)
@@ -177,7 +178,30 @@ def test_texts_are_cut_into_anchors_once(spark, texts, keywords, monkeypatch):
     lb.assign_topics(questions, taxonomy(spark), keywords, concepts, offered)
     assert len(plans) == 2
     for plan in plans:
-        assert plan.count("{3,5}|[^") == 1 and "NestedLoop" not in plan
+        assert "NestedLoop" not in plan and not re.search(r"(contains|instr|locate|RLIKE)[^,]*text[^,]*, *(concat\()?[^,]*word#", plan, re.I)
+
+
+@pytest.mark.parametrize("limit", ["10485760", "-1"])
+@pytest.mark.parametrize("steps", [(1 << 20, 1 << 12, 1 << 6), (50, 7), (9, 3)])
+def test_places_over_piece_edges(spark, monkeypatch, limit, steps):
+    """Words at the edges of pieces and texts, longer than pieces, repeated, overlapping and beside characters of any width."""
+    monkeypatch.setattr(cl, "PIECES", steps)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    rng = random.Random(steps[-1])
+    parts = ["demand", "aggregate demand", "ing", "ed", "'s", "s ", " ", " ", ",", ".", "(", ")", "é", "😀", "xxxx", "a", "tax gap", "c+i+g", "\n"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randrange(0, 60)))) for i in range(150)] + [(150, "demand"), (151, "x"), (152, None), (153, "xxxxxxx")]
+    words = ["demand", "aggregate demand", "tax gap", "c+i+g", "xx", "xxxx", "a", "é", "😀", "tax", "gap", "(a)", "nowhere", "demand demand aggregate demand and much more of it"]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    got = {(r.id, r.word): (r.exact, r.partial, r.mention) for r in cl.find_words(texts, spark.createDataFrame([(w,) for w in words], "word string")).collect() if r.present}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    expected = {}
+    for i, text in rows:
+        for w in words:
+            if text and w in text:
+                listed = any(s in text for s in (f" {w} ", f" {w},", f" {w}.", f"({w})")) or text.startswith(w + " ") or text.endswith(" " + w)
+                partial = len(w) > 4 and any(w + e in text for e in ("s ", "ing", "ed", "'s"))
+                expected[i, w] = (kind(text, w) == "EXACT", partial, len(w) > 5 or listed)
+    assert got == expected
 
 
 def test_any_number_of_labels(spark):
