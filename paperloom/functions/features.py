@@ -72,8 +72,9 @@ def estimate_marks(text: Column, parity: bool = False) -> Column:
     rules = []
     for n in ESTIMATE_VALUES:
         unit = "mark" if n == 1 else "marks"
-        said = (text.contains(f"{n} {unit}") if parity
-                else text.rlike(rf"(^|[^0-9]){n} {unit}" + ("([^s]|$)" if n == 1 else "")))
+        said = text.contains(f"{n} {unit}")
+        if not parity:  # the pattern is tried where the words are
+            said = said & text.rlike(rf"(^|[^0-9]){n} {unit}" + ("([^s]|$)" if n == 1 else ""))
         rules.append((text.contains(f"({n})") | said, F.lit(n)))
     low = F.lower(text)
     rules += [(is_computational(text), F.lit(3)), (low.contains("explain one"), F.lit(3)),
