@@ -97,6 +97,36 @@ for _n in ("1", "2", "6"):
         lambda spark, sf, n=_n: sg.split_subquestions(t.exam_pages(spark, sf), n))
 
 
+_ALL_STARTS = _LINES + f""", heads AS MATERIALIZED (SELECT DISTINCT doc_id, page_no, regexp_extract({trim_sql('line')}, '^(\\d+)\\s', 1) AS number
+  FROM line_rows WHERE regexp_matches({trim_sql('line')}, '^\\d+\\s')),
+ starts AS MATERIALIZED (SELECT doc_id, number, min(page_no) AS start_page FROM heads GROUP BY ALL)"""
+
+
+@query("all_question_starts", f"WITH {P}{_ALL_STARTS} SELECT * FROM starts")
+def _(spark, sf):
+    return sg.question_starts(sg.page_marks(t.exam_pages(spark, sf)))
+
+
+@query("all_context_ranges", f"""WITH {P}{_ALL_STARTS} SELECT doc_id, number, CASE number WHEN '1' THEN 'extract1' WHEN '2' THEN 'extract2'
+ ELSE 'extract' END AS extract, 1 AS first_page, start_page - 1 AS last_page FROM starts WHERE start_page > 1""")
+def _(spark, sf):
+    return sg.context_ranges(sg.question_starts(sg.page_marks(t.exam_pages(spark, sf))))
+
+
+@query("all_subquestions", f"""WITH {P}{_ALL_STARTS},
+ letters AS (SELECT doc_id, page_no, regexp_extract(text, '\\(([a-z])\\)', 1) AS letter FROM pages_text),
+ stops AS (SELECT s.doc_id, s.number, s.start_page, coalesce((SELECT min(h.page_no) FROM heads h WHERE h.doc_id = s.doc_id AND h.page_no > s.start_page
+    AND s.number <> '2' AND CASE WHEN s.number = '6' THEN regexp_matches(h.number, '^([7-9]|[1-9][0-9])$')
+     ELSE h.number = CAST(CAST(s.number AS HUGEINT) + 1 AS VARCHAR) END),
+   (SELECT max(page_no) + 1 FROM pages_text p WHERE p.doc_id = s.doc_id)) AS stop FROM starts s),
+ openers AS (SELECT s.doc_id, s.number, l.page_no, letter, stop, lead(l.page_no) OVER (PARTITION BY s.doc_id, s.number ORDER BY l.page_no) AS nxt
+  FROM stops s JOIN letters l ON l.doc_id = s.doc_id AND l.page_no > s.start_page AND l.page_no < stop WHERE letter <> '')
+ SELECT doc_id, number, letter, page_no AS start_page, CAST(coalesce(nxt, stop) - 1 AS INTEGER) AS end_page FROM openers
+ QUALIFY row_number() OVER (PARTITION BY doc_id, number, letter ORDER BY page_no) = 1""")
+def _(spark, sf):
+    return sg.question_parts(sg.page_marks(t.exam_pages(spark, sf)))
+
+
 @query("split_conversation_parts", """WITH p AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_no, role FROM conversations),
  o AS (SELECT *, lead(page_no) OVER (PARTITION BY doc_id ORDER BY page_no) AS nxt FROM p WHERE role = 'user'),
  n AS (SELECT doc_id, max(page_no) AS last FROM p GROUP BY doc_id)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.plans.scale import first_per_key, next_position, null_safe_join
+from paperloom.plans.scale import first_per_key, next_position, null_safe_join, stored_table
 
 # Phrases of the page tests.
 PAPER3_QUESTIONS = ["paper 3", "paper three"]
@@ -30,6 +30,11 @@ TOTAL = r"Total for Question (\d+) = \d+ marks"
 SUBQUESTION = r"([12])\s*\(([a-e])\)"
 TABLE_KEY = r"(\d+)\s*\(([a-z])\)"
 OPENER = r"\(([a-z])\)"
+OPENING = r"^\s*(\d+)(\s|$)"
+#: A line that opens with a number and a blank once control characters and blanks are cut from its ends.
+HEAD = r"^[\x00-\x20]*(\d+)\s[\x00-\x20]*[^\x00-\x20]"
+#: What ends question 6, which has no single next number.
+AFTER_SIX = r"^([7-9]|[1-9][0-9])$"
 
 
 def trimmed(text: Column) -> Column:
@@ -64,29 +69,98 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_no", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
 
 
-def find_questions_by_totals(pages: DataFrame) -> DataFrame:
+def page_marks(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line_no, idx, kind, value), stored: all marks that questions are cut by, from one scan of the pages.
+
+    Kinds: `opening` and `head` (a number that a line opens with, at its edge or before a blank), `total` (the number of a
+    "Total for Question" mark) and, once a page, `letter`: that of its first "(a)", empty if it has none. Nothing later
+    reads a text.
+    """
+    def mark(kind: str, number: Column, idx: Column) -> Column:
+        return F.struct(idx.alias("idx"), F.lit(kind).alias("kind"), number.alias("value"))
+
+    def of_line(line: Column, at: Column) -> Column:
+        opening, head = F.regexp_extract(line, OPENING, 1), F.regexp_extract(line, HEAD, 1)
+        numbers = F.filter(F.array(mark("opening", opening, F.lit(0)), mark("head", head, F.lit(0))), lambda m: m["value"] != "")
+        totals = F.transform(F.regexp_extract_all(line, F.lit(TOTAL), F.lit(1)), lambda n, i: mark("total", n, i + 1))
+        return F.transform(F.concat(numbers, totals), lambda m: F.struct(at.alias("line_no"), m["idx"].alias("idx"), m["kind"].alias("kind"), m["value"].alias("value")))
+
+    letter = F.struct(F.lit(-1).alias("line_no"), F.lit(0).alias("idx"), F.lit("letter").alias("kind"), F.regexp_extract("text", OPENER, 1).alias("value"))
+    marks = F.concat(F.array(letter), F.flatten(F.transform(F.split("text", r"\r?\n"), of_line)))
+    return stored_table(pages.filter(F.col("text").isNotNull()).select("doc_id", "page_no", F.explode(marks).alias("m")).select("doc_id", "page_no", "m.*"))
+
+
+def questions_by_totals(marks: DataFrame) -> DataFrame:
     """(doc_id, number, start_page, end_page) of questions closed by a "Total for Question N" mark.
 
     A question starts at the first line opening with its number after the mark
     before it: every numbered line is tied to the nearest mark that follows and
     kept when the numbers agree.
     """
-    opening = F.regexp_extract("line", r"^\s*(\d+)(\s|$)", 1)
-    items = F.concat(
-        F.filter(F.array(F.struct(opening.alias("number"), F.lit(False).alias("is_end"))), lambda i: i["number"] != ""),
-        F.transform(F.regexp_extract_all("line", F.lit(TOTAL), F.lit(1)),
-                    lambda n: F.struct(n.alias("number"), F.lit(True).alias("is_end"))))
-    marks = page_lines(pages).select("doc_id", "page_no", "line_no", F.posexplode(items).alias("idx", "i")).select(
-        "doc_id", "page_no", "line_no", "idx", "i.number", "i.is_end")
+    rows = marks.filter(F.col("kind").isin("opening", "total"))
     stream = next_position(
-        marks, ["doc_id"], "page_no", ["page_no", "line_no", "idx"], F.col("is_end"), "end",
-        F.struct("page_no", "line_no", "idx", "number"))
-    hits = stream.filter(~F.col("is_end") & (F.col("number") == F.col("end.number")))
+        rows, ["doc_id"], "page_no", ["page_no", "line_no", "idx"], F.col("kind") == "total", "end",
+        F.struct("page_no", "line_no", "idx", F.col("value").alias("number")))
+    hits = stream.filter((F.col("kind") == "opening") & (F.col("value") == F.col("end.number")))
     return hits.groupBy("doc_id", "end").agg(F.min("page_no").alias("start_page")).select(
         "doc_id", F.col("end.number").try_cast("int").alias("number"), "start_page",
         F.col("end.page_no").alias("end_page"))
 
 
+def find_questions_by_totals(pages: DataFrame) -> DataFrame:
+    """`questions_by_totals` of pages."""
+    return questions_by_totals(page_marks(pages))
+
+
+def question_starts(marks: DataFrame) -> DataFrame:
+    """(doc_id, number, start_page): the first page that every number heads a line of."""
+    return (marks.filter("kind = 'head'").groupBy("doc_id", F.col("value").alias("number"))
+            .agg(F.min("page_no").alias("start_page")))
+
+
+def context_ranges(starts: DataFrame) -> DataFrame:
+    """(doc_id, number, extract, first_page, last_page): the pages before each question, as ranges."""
+    name = F.when(F.col("number").isin("1", "2"), F.concat(F.lit("extract"), F.col("number"))).otherwise("extract")
+    return starts.filter("start_page > 1").select(
+        "doc_id", "number", name.alias("extract"), F.lit(1).alias("first_page"), (F.col("start_page") - 1).alias("last_page"))
+
+
+def question_stops(marks: DataFrame, starts: DataFrame) -> DataFrame:
+    """(doc_id, number, start_page, stop): the page at which the next main question heads a line, else one past the last page.
+
+    Question 2 has no next one; 6 ends at any number from 7 to 99. Each head is looked for by the one number before it, so
+    the join is linear in the heads.
+    """
+    heads = marks.filter("kind = 'head'").select("doc_id", F.col("value").alias("key"), "page_no")
+    ends = heads.unionByName(heads.filter(F.col("key").rlike(AFTER_SIX)).withColumn("key", F.lit("after 6")))
+    following = F.when(F.col("number") == "6", "after 6").otherwise((F.col("number").try_cast("decimal(38,0)") + 1).cast("string"))
+    wanted = starts.filter("number <> '2'").withColumn("key", following)
+    met = wanted.join(ends, ["doc_id", "key"]).filter("page_no > start_page").groupBy("doc_id", "number").agg(F.min("page_no").alias("next"))
+    last = marks.groupBy("doc_id").agg(F.max("page_no").alias("last_page"))
+    return starts.join(met, ["doc_id", "number"], "left").join(last, "doc_id").select(
+        "doc_id", "number", "start_page", F.coalesce("next", F.col("last_page") + 1).alias("stop"))
+
+
+def question_parts(marks: DataFrame) -> DataFrame:
+    """(doc_id, number, letter, start_page, end_page): the lettered parts of every main question at once.
+
+    After a question's start page, a page with "(a)".."(z)" opens a part that runs to the page before the next opener; the
+    first page of the next main question ends the search. The first part of each letter is kept, so a question needs, for
+    each letter of its document, the nearest opener after its start: starts are dealt to the at most 26 letters and look
+    ahead in page blocks. No page ever meets all questions around it.
+    """
+    limits = question_stops(marks, question_starts(marks))
+    openers = marks.filter("kind = 'letter' and value <> ''").select("doc_id", F.col("value").alias("letter"), "page_no")
+    asked = limits.join(openers.select("doc_id", "letter").distinct(), "doc_id").select(
+        "doc_id", "letter", F.col("start_page").alias("page_no"), "number", "stop", F.lit(1).alias("asks"))
+    nobody = openers.select("doc_id", "letter", "page_no", F.lit(None).cast("string").alias("number"), F.lit(None).cast("int").alias("stop"), F.lit(0).alias("asks"))
+    ahead = next_position(asked.unionByName(nobody), ["doc_id", "letter"], "page_no", ["page_no", "asks"], F.col("asks") == 0, "opens", F.col("page_no"))
+    firsts = ahead.filter("asks = 1 and opens < stop").select("doc_id", "number", "letter", F.col("opens").alias("start_page"), "stop")
+    nexts = next_position(openers.select("doc_id", "page_no"), ["doc_id"], "page_no", ["page_no"], F.lit(True), "closes", F.col("page_no"))
+    return firsts.join(nexts.withColumnRenamed("page_no", "start_page"), ["doc_id", "start_page"]).select(
+        "doc_id", "number", "letter", "start_page", (F.least("closes", "stop") - 1).alias("end_page"))
+
+
 def find_question_start(pages: DataFrame, number: str) -> DataFrame:
     """(doc_id, start_page): first page with a trimmed line opening with the number and a blank."""
     opens = F.exists(F.split("text", r"\r?\n"), lambda line: trimmed(line).rlike(rf"^{number}\s"))

@@ -77,15 +77,16 @@ def next_position(df: DataFrame, group: list[str], page: str, order: list[str],
     """
     blocked = df.withColumn("_blk", F.floor(F.col(page) / BLOCK))
     flagged = blocked.withColumn("_val", F.when(mark, value))
-    after = (Window.partitionBy(*group, "_blk").orderBy(*order)
-             .rowsBetween(1, Window.unboundedFollowing))
+    # The nearest later mark, read backwards, so that each row is looked at once.
+    after = (Window.partitionBy(*group, "_blk").orderBy(*[F.col(o).desc() for o in order])
+             .rowsBetween(Window.unboundedPreceding, -1))
     first_mark = F.when(F.col("_val").isNotNull(), F.struct(*order, F.col("_val").alias("_v")))
     marked = flagged.groupBy(*group, "_blk").agg(F.min(first_mark).getField("_v").alias("_head"))
-    later = (Window.partitionBy(*group).orderBy("_blk")
-             .rowsBetween(1, Window.unboundedFollowing))
-    ahead = (marked.withColumn("_ahead", F.first("_head", ignorenulls=True).over(later))
+    later = (Window.partitionBy(*group).orderBy(F.col("_blk").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    ahead = (marked.withColumn("_ahead", F.last("_head", ignorenulls=True).over(later))
              .drop("_head"))
-    return (flagged.withColumn("_near", F.first("_val", ignorenulls=True).over(after))
+    return (flagged.withColumn("_near", F.last("_val", ignorenulls=True).over(after))
             .join(ahead, group + ["_blk"], "left")
             .withColumn(out, F.coalesce("_near", "_ahead"))
             .drop("_blk", "_val", "_near", "_ahead"))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from paperloom.operators import segment as sg
@@ -85,3 +87,32 @@ def test_next_position_across_blocks(spark, monkeypatch):
     for doc, page, _ in data:
         later = [p for d, p, h in data if d == doc and h and p > page]
         assert got[(doc, page)] == (min(later) if later else None)
+
+
+def test_all_numbers_come_from_one_scan(spark, monkeypatch):
+    """Parts of every number, over small page blocks, equal those found for each number by itself; no text is read twice."""
+    monkeypatch.setattr(scale, "BLOCK", 4)
+    rng = random.Random(2)
+    docs = [(d, p + 1, "\n".join(rng.choice(["plain", f"{rng.choice([1, 2, 3, 6, 7, 10])} main", "  6\tx ", "6", "(a) x", "(b) y", "then (c)", "06 odd"])
+                                 for _ in range(rng.randrange(3)))) for d in range(9) for p in range((1, 5, 40)[d % 3])]
+    p = spark.createDataFrame(docs, "doc_id bigint, page_no int, text string").repartition(3)
+    marks = sg.page_marks(p)
+    parts = sg.question_parts(marks)
+    got = {}
+    for r in parts.collect():
+        got.setdefault(r.number, []).append((r.doc_id, r.letter, r.start_page, r.end_page))
+    starts = {}
+    for r in sg.question_starts(marks).collect():
+        starts.setdefault(r.number, []).append((r.doc_id, r.start_page))
+    assert set(starts) >= {"1", "2", "3", "6", "06", "7", "10"}
+    for number in starts:
+        assert sorted(starts[number]) == rows(sg.find_question_start(p, number), "doc_id", "start_page")
+        assert sorted(got.get(number, [])) == rows(sg.split_subquestions(p, number), "doc_id", "letter", "start_page", "end_page")
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "NestedLoop" not in plan
+
+
+def test_marks_of_empty_pages(spark):
+    assert sg.question_parts(sg.page_marks(pages(spark, None, "", "\n"))).count() == 0
+    none = pages(spark, "1 x").limit(0)
+    assert sg.question_parts(sg.page_marks(none)).count() == sg.questions_by_totals(sg.page_marks(none)).count() == 0
