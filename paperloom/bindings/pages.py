@@ -174,8 +174,7 @@ def _(spark, sf):
 
 
 def _extended(spark, sf):
-    pages = t.exam_pages(spark, sf)
-    return sg.extend_section_end(sg.subquestion_sections(pages), pages)
+    return sg.markscheme_sections(t.exam_pages(spark, sf))
 
 
 @query("extend_section_end", f"WITH {EXTENDED_SQL} SELECT * FROM extended")

@@ -221,20 +221,28 @@ def is_markscheme_content(text: Column) -> Column:
     return (F.length(trimmed(text)) >= 30) & (_any(F.lower(text), MARKSCHEME_WORDS) | _any(text, MARKSCHEME_SIGNS))
 
 
-def subquestion_sections(pages: DataFrame) -> DataFrame:
+def page_flags(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, content, short, keys), stored: what mark-scheme sections are cut by, from one scan of the pages.
+
+    `keys` are the "1 (a)"-like marks in order, none on guidance pages.
+    """
+    text = F.col("text")
+    zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(SUBQUESTION), F.lit(1)).alias("n"),
+                          F.regexp_extract_all("text", F.lit(SUBQUESTION), F.lit(2)).alias("l"))
+    keys = F.when(~is_guidance(text), F.transform(zipped, lambda z: F.concat(z["n"], z["l"])))
+    return stored_table(pages.select("doc_id", "page_no", is_markscheme_content(text).alias("content"),
+                                     (F.length(trimmed(text)) < 50).alias("short"), keys.alias("keys")))
+
+
+def flagged_sections(flags: DataFrame) -> DataFrame:
     """(doc_id, key, start_page, max_end): the last "1 (a)"-like mark of each key and how far it may run.
 
     Marks are ordered by page and by place in the page; guidance pages have
     none. A section may run to the page before the next mark, or stays on its
     page when the next mark is there too.
     """
-    body = drop_guidance_pages(pages)
-    keys = F.transform(
-        F.arrays_zip(F.regexp_extract_all("text", F.lit(SUBQUESTION), F.lit(1)).alias("n"),
-                     F.regexp_extract_all("text", F.lit(SUBQUESTION), F.lit(2)).alias("l")),
-        lambda z: F.concat(z["n"], z["l"]))
-    marks = body.select("doc_id", "page_no", F.posexplode(keys).alias("idx", "key"))
-    last_page = pages.groupBy("doc_id").agg(F.max("page_no").alias("last_page"))
+    marks = flags.select("doc_id", "page_no", F.posexplode("keys").alias("idx", "key"))
+    last_page = flags.groupBy("doc_id").agg(F.max("page_no").alias("last_page"))
     ahead = next_position(marks, ["doc_id"], "page_no", ["page_no", "idx"], F.lit(True), "next_page", F.col("page_no"))
     last = first_per_key(ahead, ["doc_id", "key"], [-F.col("page_no"), -F.col("idx")])
     return last.join(last_page, "doc_id").select(
@@ -243,26 +251,39 @@ def subquestion_sections(pages: DataFrame) -> DataFrame:
         .otherwise(F.greatest(F.col("page_no"), F.col("next_page") - 1)).alias("max_end"))
 
 
-def extend_section_end(sections: DataFrame, pages: DataFrame) -> DataFrame:
+def subquestion_sections(pages: DataFrame) -> DataFrame:
+    """`flagged_sections` of pages."""
+    return flagged_sections(page_flags(pages))
+
+
+def grown_sections(sections: DataFrame, flags: DataFrame) -> DataFrame:
     """(doc_id, key, start_page, end_page): sections grown over their mark-scheme pages.
 
     Growth passes over long pages without mark-scheme words and stops at a short
     one. A document has at most ten section keys, so each page meets at most ten.
     """
-    flags = pages.select(
-        "doc_id", "page_no", is_markscheme_content(F.col("text")).alias("content"),
-        (F.length(trimmed(F.col("text"))) < 50).alias("short"))
-    inside = sections.join(flags, "doc_id").filter(
+    inside = sections.join(flags.select("doc_id", "page_no", "content", "short"), "doc_id").filter(
         (F.col("page_no") > F.col("start_page")) & (F.col("page_no") <= F.col("max_end")))
-    stops = inside.filter(~F.col("content") & F.col("short")).groupBy("doc_id", "key").agg(
-        F.min("page_no").alias("stop"))
-    ends = (inside.filter("content").join(stops, ["doc_id", "key"], "left")
+    stops = F.min(F.when(~F.col("content") & F.col("short"), F.col("page_no")))
+    seen = inside.groupBy("doc_id", "key").agg(stops.alias("stop"))
+    ends = (inside.filter("content").join(seen, ["doc_id", "key"])
             .filter(F.col("stop").isNull() | (F.col("page_no") < F.col("stop")))
             .groupBy("doc_id", "key").agg(F.max("page_no").alias("grown")))
     return sections.join(ends, ["doc_id", "key"], "left").select(
         "doc_id", "key", "start_page", F.coalesce("grown", "start_page").alias("end_page"))
 
 
+def extend_section_end(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """`grown_sections` of pages."""
+    return grown_sections(sections, page_flags(pages))
+
+
+def markscheme_sections(pages: DataFrame) -> DataFrame:
+    """(doc_id, key, start_page, end_page): sections found and grown on one scan of the pages."""
+    flags = page_flags(pages)
+    return grown_sections(flagged_sections(flags), flags)
+
+
 def group_sections_by_main(sections: DataFrame) -> DataFrame:
     """(doc_id, main, page_no): union of the pages of each main question's sections."""
     return sections.select(

@@ -43,6 +43,9 @@ def test_markscheme_sections(spark):
     assert rows(sections, "key", "start_page", "max_end") == [("1a", 1, 3), ("1b", 5, 9), ("2a", 4, 4)]
     ended = sg.extend_section_end(sections, p)
     assert rows(ended, "key", "start_page", "end_page") == [("1a", 1, 2), ("1b", 5, 6), ("2a", 4, 4)]
+    grown = sg.markscheme_sections(p)
+    assert rows(grown, *grown.columns) == rows(ended, *ended.columns)
+    assert "text" not in grown._jdf.queryExecution().optimizedPlan().toString()
     assert rows(sg.group_sections_by_main(ended), "main", "page_no") == [("1", 1), ("1", 2), ("1", 5), ("1", 6), ("2", 4)]
 
 
