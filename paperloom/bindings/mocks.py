@@ -155,7 +155,26 @@ def single_topic_mock(spark, sf):
     return _single(spark, sf)
 
 
-@query("topic_mocks")
+@query("topic_mocks", f"""WITH RECURSIVE {BT}, u AS (SELECT * FROM by_topic
+  QUALIFY row_number() OVER (PARTITION BY qualification, topic, content_md5 ORDER BY question_id) = 1),
+ totals AS (SELECT qualification, topic, CAST(least(greatest(coalesce(sum(marks), 0) // 60, 1), 4) AS BIGINT) AS n FROM u GROUP BY ALL),
+ r AS (SELECT qualification, topic, question_id, marks, {_ESSAY} AS essay, md5(question_id || '|{SEED}') AS ord FROM u
+  WHERE coalesce(marks, 2147483647) >= 1),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY qualification, topic, essay ORDER BY ord) AS rn FROM r),
+ mocks AS (SELECT qualification, topic, unnest(range(1, n + 1)) AS mock FROM totals),
+ needs AS (SELECT m.qualification, m.topic, list(greatest(50 - coalesce(CASE WHEN e.rn IS NULL THEN 0 ELSE coalesce(e.marks, 2147483647) END, 0), 0)
+   ORDER BY mock) AS need FROM mocks m LEFT JOIN ranked e ON e.qualification = m.qualification AND e.topic = m.topic AND e.essay AND e.rn = m.mock
+  GROUP BY ALL),
+ fill AS (SELECT qualification, topic, need, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS mock, CAST(0 AS BIGINT) AS used FROM needs
+  UNION ALL SELECT f.qualification, f.topic, f.need, f.i + 1, f.nxt, CASE WHEN f.nxt = f.mock THEN f.used ELSE 0 END + s.marks FROM (
+   SELECT *, CASE WHEN used < need[mock] THEN mock ELSE list_filter(range(mock + 1, len(need) + 1), lambda j: need[j] > 0)[1] END AS nxt FROM fill) f
+  JOIN ranked s ON s.qualification = f.qualification AND s.topic = f.topic AND NOT s.essay AND s.rn = f.i + 1 WHERE f.nxt IS NOT NULL),
+ dealt AS (SELECT e.qualification, e.topic, e.rn AS mock, 'essay' AS kind, question_id, marks FROM ranked e JOIN totals t USING (qualification, topic)
+   WHERE essay AND rn <= n
+  UNION ALL SELECT f.qualification, f.topic, f.mock, 'short', question_id, marks FROM fill f JOIN ranked s
+   ON s.qualification = f.qualification AND s.topic = f.topic AND NOT s.essay AND s.rn = f.i)
+ SELECT qualification, topic, CAST(mock AS INTEGER) AS mock, kind, question_id, marks,
+  CASE WHEN marks >= 15 THEN CAST(round(marks * 2.5) AS INTEGER) ELSE marks * 2 END AS minutes FROM dealt""")
 def _(spark, sf):
     return am.topic_mocks(_by_topic(spark, sf), SCOPE, 60, 4, SEED)
 

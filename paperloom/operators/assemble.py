@@ -16,7 +16,7 @@ from paperloom.functions.features import (estimated_minutes, is_context_based, i
 from paperloom.functions.text import exam_month, original_question_number, seeded_order, trim_topic
 from paperloom.operators.dedupe import dedupe_by_content, dedupe_questions, with_question_key
 from paperloom.operators.stats import by_topic
-from paperloom.plans.scale import first_per_key, null_safe_join, running_total, top_per_group
+from paperloom.plans.scale import first_per_key, null_safe_join, running_total, stored_table, top_per_group
 
 # Sections of each theme, papers each theme may use, limits.
 THEME_SECTIONS = {1: ["1.1", "1.2", "1.3", "1.4"],
@@ -28,6 +28,8 @@ ESSAY_MARKS = 10
 UNIT_MINUTES = 75
 SINGLE_TARGETS = (60, 90)
 INDEX_ROWS = 25
+# Rows drawn beyond those that a random order needs: so many standard deviations, and some more.
+SPREAD, SPARE = 8.0, 16
 
 
 def _in_question_order(df: DataFrame, scope: list[str], md5: str, value: Column, out: str) -> DataFrame:
@@ -130,6 +132,40 @@ def select_ascending_to_target(questions: DataFrame, group: list[str], target: i
         *group, "question_id", "marks", "seq")
 
 
+def _drawn(tries: DataFrame, group: list[str], seed: int, most: int) -> DataFrame:
+    """Each restart's rows that its budget can take, ranked by the random order within their class."""
+    ordered = tries.withColumn("ord", seeded_order(seed, F.col("question_id"), F.col("restart")))
+    if "limit" in tries.columns:
+        ordered = ordered.filter(F.col("ord") < F.col("limit"))
+    ranked = top_per_group(ordered.select(*group, "_target", "kind", "length", "restart", "question_id", "marks", "minutes", "take", "ord"),
+                           ["restart", "kind", "length", *group], [F.col("ord"), F.col("question_id")], most)
+    return ranked.filter(F.col("rank") <= F.col("take")).drop("rank")
+
+
+def _near(rows: DataFrame, group: list[str], seed: int, restarts: int, most: int) -> DataFrame:
+    """The first `take` rows of each class (group, kind, length) in every restart's order, stored.
+
+    A class of n rows needs its `take` least random numbers, so only rows whose number is below a share of all numbers a
+    little over take / n are ordered. Classes and restarts for which too few were below it are counted and drawn again from
+    all their rows: the share saves work, it decides nothing.
+    """
+    keys = [*group, "kind", "length"]
+    classes = stored_table(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.first("take").alias("take")))
+    share = (F.col("take") + SPREAD * F.sqrt(F.col("take").cast("double")) + SPARE) / F.col("n")
+    # A bound on the hexadecimal digits of the random number; "g" is above all of them.
+    limit = F.when(share >= 1, "g").otherwise(F.lpad(F.lower(F.hex(F.floor(F.greatest(share, F.lit(0.0)) * (1 << 52)).cast("bigint"))), 13, "0"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")
+    limited = null_safe_join(rows, classes.select(*keys, limit.alias("limit")), keys)
+    near = stored_table(_drawn(limited.select("*", each), group, seed, most))
+    counts = near.groupBy(*keys, "restart").agg(F.count("*").alias("found"))
+    due = classes.select(*keys, F.least("n", "take").alias("due"), each)
+    short = stored_table(null_safe_join(due, counts, [*keys, "restart"], "left").filter(F.coalesce("found", F.lit(0)) < F.col("due")).select(*keys, "restart"))
+    if not short.limit(1).count():
+        return near
+    again = _drawn(null_safe_join(rows, short, keys), group, seed, most)
+    return null_safe_join(near, short, [*keys, "restart"], "left_anti").unionByName(again)
+
+
 def select_time_budget(questions: DataFrame, group: list[str], target: Column, seed: int,
                        tol: int = 15, restarts: int = 50) -> DataFrame:
     """(group, restart, question_id, marks, minutes, seq): the best of `restarts` random greedy fills.
@@ -145,21 +181,19 @@ def select_time_budget(questions: DataFrame, group: list[str], target: Column, s
     first of their kind, at most target - tol. Time used only grows, so once a
     longer question of t minutes does not fit, no later one of t minutes does:
     the ones taken are the first of their kind and length, at most
-    (target + tol) / t.
+    (target + tol) / t. Of each kind and length only the rows that can be among
+    those first ones are ordered.
     """
     cap = F.col("_target") + tol
     rows = questions.select(
         *group, target.alias("_target"), F.when(F.col("is_short"), 0).otherwise(1).alias("kind"), "question_id",
         "marks", "minutes").filter((F.col("minutes") >= 1) & (F.col("minutes") <= cap))
     length = F.when(F.col("minutes") > 2 * tol, F.col("minutes")).otherwise(0)
+    rows = rows.withColumn("length", length).withColumn("take", F.when(
+        F.col("length") == 0, F.greatest(F.col("_target") - tol, F.lit(0))).otherwise(F.floor(cap / F.greatest("length", F.lit(1)))).cast("int"))
+    rows = stored_table(rows)  # read to count classes, to draw and, if need be, to draw again
     largest = rows.agg(F.max("_target")).first()[0] or 0
-    tries = rows.select("*", length.alias("length"), F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
-    ranked = top_per_group(
-        tries.withColumn("ord", seeded_order(seed, F.col("question_id"), F.col("restart"))),
-        ["restart", "kind", "length", *group], [F.col("ord"), F.col("question_id")],
-        max(largest - tol, (largest + tol) // (2 * tol + 1), 1))
-    near = ranked.filter(F.when(F.col("length") == 0, F.col("rank") <= F.col("_target") - tol)
-                         .otherwise(F.col("rank") * F.col("length") <= cap))
+    near = _near(rows, group, seed, restarts, max(largest - tol, (largest + tol) // (2 * tol + 1), 1))
     lists = near.groupBy(*group, "restart").agg(
         F.first("_target").alias("_target"),
         F.array_sort(F.collect_list(F.struct("kind", "ord", "question_id", "minutes", "marks"))).alias("items"))
@@ -198,22 +232,28 @@ def single_topic_mock(questions: DataFrame, extracts: DataFrame, seed: int, rest
     """One mock per qualification and topic, labelled 60 or 90 minutes at random.
 
     Distinct questions of up to 10 marks; those that read no context are short.
+    Where none can be selected, all are used, in the order of a hash of their
+    ids, with no restart.
     """
     scope = ["qualification", "topic"]
     rows = by_topic(with_context(with_question_key(questions), extracts).select(
         "qualification", "question_id", "question_key", "question_number", "marks", "reads_context", "topics"))
     pool = dedupe_questions(rows, scope).filter(F.col("marks") <= 10)
-    timed = pool.withColumn("minutes", estimated_minutes(F.col("marks"), F.col("reads_context"), "single")).withColumn(
-        "is_short", ~F.col("reads_context"))
+    timed = stored_table(pool.select(*scope, "question_id", "marks", "reads_context").withColumns({
+        "minutes": estimated_minutes(F.col("marks"), F.col("reads_context"), "single"), "is_short": ~F.col("reads_context")}))
     coin = F.substring(seeded_order(seed, F.col("qualification"), F.col("topic")), 1, 1) < "8"
     target = F.when(coin, SINGLE_TARGETS[0]).otherwise(SINGLE_TARGETS[1])
     picked = select_time_budget(timed, scope, target, seed, tol, restarts)
-    return picked.withColumn("label_minutes", target)
+    left = null_safe_join(timed, picked.select(*scope).distinct(), scope, "left_anti").withColumn("_h", F.md5("question_id"))
+    numbered = running_total(left, scope, [F.substring("_h", 1, 2)], [F.col("_h"), F.col("question_id")], F.lit(1), "before")
+    everything = numbered.select(*scope, F.lit(None).cast("int").alias("restart"), "question_id", F.col("marks").cast("int").alias("marks"),
+                                 F.col("minutes").cast("int").alias("minutes"), (F.col("before") + 1).cast("int").alias("seq"))
+    return picked.unionByName(everything).withColumn("label_minutes", target)
 
 
 def topic_mocks(questions: DataFrame, group: list[str], target: int, max_mocks: int, seed: int,
                 tol: int = 10) -> DataFrame:
-    """(group, mock, kind, question_id, marks): balanced mocks drawn without replacement.
+    """(group, mock, kind, question_id, marks, minutes): balanced mocks drawn without replacement.
 
     A group gets one mock per `target` marks it holds, at least one and at most
     `max_mocks`. One random order serves all mocks: mock i takes the i-th essay,
@@ -263,7 +303,8 @@ def topic_mocks(questions: DataFrame, group: list[str], target: int, max_mocks:
         s["mock"].alias("mock"), F.lit("short").alias("kind"), s["question_id"].alias("question_id"),
         s["marks"].alias("marks")))
     return dealt.select(*group, F.explode(F.concat(from_essays, from_shorts)).alias("q")).select(
-        *group, (F.col("q.mock") + 1).alias("mock"), "q.kind", "q.question_id", "q.marks")
+        *group, (F.col("q.mock") + 1).alias("mock"), "q.kind", "q.question_id", "q.marks",
+        estimated_minutes(F.col("q.marks"), F.lit(False), "marks").alias("minutes"))
 
 
 def unit_mock_topics(topics: DataFrame, n_mocks: int, seed: int) -> DataFrame:

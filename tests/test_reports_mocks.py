@@ -56,6 +56,9 @@ def test_running_total(spark, pool):
         assert {r["question_id"]: r["before"] for r in got if r["g"] == g} == want
 
 
+top = am.top_per_group
+
+
 def test_select_time_budget(pool):
     got = {}
     for r in am.select_time_budget(pool, ["g"], F.lit(60), seed=3, restarts=6).collect():
@@ -76,6 +79,34 @@ def test_select_time_budget(pool):
         assert [q for _, q in sorted(got[g])] == best[1]
 
 
+def test_too_few_drawn_are_drawn_again(pool, monkeypatch):
+    """However few rows pass the threshold, the selection stays the same."""
+    whole = sorted(map(tuple, am.select_time_budget(pool, ["g"], F.lit(60), seed=3, restarts=6).collect()), key=str)
+    for spread, spare in ((-3.0, 0), (-1e9, 0), (1e9, 0)):
+        monkeypatch.setattr(am, "SPREAD", spread)
+        monkeypatch.setattr(am, "SPARE", spare)
+        assert sorted(map(tuple, am.select_time_budget(pool, ["g"], F.lit(60), seed=3, restarts=6).collect()), key=str) == whole
+
+
+def test_only_drawn_rows_are_ordered(spark, monkeypatch):
+    """Of 20,000 questions of one group at most a few hundred a restart reach the sort."""
+    seen = []
+    monkeypatch.setattr(am, "top_per_group", lambda df, *a, **k: seen.append(df.count()) or top(df, *a, **k))
+    rows = spark.range(20000).selectExpr("'g' as g", "cast(id as string) as question_id", "4 as marks", "4 as minutes", "true as is_short")
+    picked = am.select_time_budget(rows, ["g"], F.lit(60), seed=2, restarts=4)
+    assert len(seen) == 1 and 4 * 45 <= seen[0] < 4 * 200 and picked.agg(F.sum("minutes")).first()[0] in range(45, 76)
+
+
+def test_single_mock_uses_all_where_none_can_be_selected(spark):
+    rows = [("as", f"q{i}", "question3", m, ["1.1.1 A"], f"c{i}") for i, m in enumerate([0, 0, 20])] + [("as", "p", "question3", 5, ["1.1.2 B"], "d")]
+    questions = spark.createDataFrame(rows, "qualification string, question_id string, question_number string, marks int, topics array<string>, content_md5 string")
+    questions = questions.withColumns({c: F.lit("x") for c in ("board", "year", "paper")})
+    extracts = questions.select("board", "qualification", "year", "paper").limit(0)
+    got = {(r.topic, r.seq): (r.question_id, r.restart is None, r.minutes) for r in am.single_topic_mock(questions, extracts, 1).collect()}
+    assert got[("1.1.2 B", 1)] == ("p", False, 5) and len(got) == 3
+    assert {got[("1.1.1 A", i)] for i in (1, 2)} == {("q0", True, 0), ("q1", True, 0)}
+
+
 def test_skipping_in_order(spark):
     """40 and 40 minutes, then 20: the second does not fit 75 and is passed over."""
     rows = spark.createDataFrame([("g", f"q{i}", 8, m, False) for i, m in enumerate([40, 40, 20])],
@@ -112,6 +143,7 @@ def test_topic_mocks(pool):
     questions = pool.withColumns({"content_md5": F.col("question_id"), "year": F.lit("2019"), "board": F.lit("aqa")})
     for r in am.topic_mocks(questions, ["g"], 40, 3, 11).collect():
         got.setdefault((r["g"], r["mock"]), set()).add(r["question_id"])
+        assert r["minutes"] == (None if r["marks"] is None else int(r["marks"] * 2.5 + 0.5) if r["marks"] >= 15 else r["marks"] * 2)
     want = {}
     for g, rows in grouped(pool).items():
         ordered = sorted(rows, key=lambda r: md5(r["question_id"], 11))
