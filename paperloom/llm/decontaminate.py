@@ -6,13 +6,15 @@ matches over at most two edits (`needed`). Such triples of words, under all
 spacings, are the keys of an item's places. Texts are scanned once; a bitmap of
 fixed size, filled from the items, lets nearly nothing but item keys through,
 and those hits are counted over the whole corpus. Of an item's places the seeds
-are the rarest, all but one fewer than the needed number: a text that aligns hits
-one of them, whatever the counts, while common word sequences are left out. A text and an item that share a
-seed are aligned word by word around the seeds' diagonals; the local alignment's
+are the rarest, all but half the needed number: a text that aligns hits the other
+half among them, whatever the counts, while common word sequences are left out.
+An alignment has a bounded number of gaps, so these hits lie on near diagonals:
+pairs without enough different seeds in two neighbouring bands of diagonals are
+left before any text moves. The rest are aligned word by word around the seeds' diagonals; the local alignment's
 score over the item's own is the similarity. Copies, edits, insertions and
 dropped words keep most of it.
 
-No pair of a text and an item is looked at without a common seed, and no group
+No pair of a text and an item is looked at without common seeds, and no group
 of texts or items is gathered: all steps are joins that Spark may split.
 """
 
@@ -28,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.blobs import release
 from paperloom.llm.common import stored
 
 WORDS = re.compile(r"\w+")
@@ -41,10 +44,10 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27
 
 
 class _Codes(dict):
-    """A word's 64-bit code, kept once worked out; forgets all when it grows over its bound."""
+    """A word's 64-bit code, kept once worked out; forgets all when it grows over its bound (some 40 MB)."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         code = self[word] = xxhash.xxh64_intdigest(word)
         return code
@@ -88,8 +91,13 @@ def spaced_hashes(codes: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def slack(m: int, least: float) -> int:
+    """More than the gaps of any alignment of m item words to at least `least`."""
+    return math.ceil(2 * (1 - least) * m) + GRAM
+
+
 def _item_grams(gram: int, least: float):
-    """Maps items to their keys (_item, at, gram), their size and the number of places that are to be seeds."""
+    """Maps items to their keys (_item, at, gram), their size, how many places are to be seeds and be hit, and their slack."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for batch in batches:
@@ -100,9 +108,10 @@ def _item_grams(gram: int, least: float):
                 size, places = needed(len(words), least)
                 hashes = spaced_hashes(words, size)
                 at = np.concatenate([np.arange(len(h)) for h in hashes])
-                taken = len(words) - size + 1 - places + 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int64)) for x in (k, size, taken)]
-                                                 + [pa.array(at), pa.array(np.concatenate(hashes).view(np.int64))], ["_item", "size", "taken", "at", "gram"])
+                due = (places + 1) // 2
+                taken = len(words) - size + 1 - places + due
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int64)) for x in (k, size, taken, due, slack(len(words), least))]
+                                                 + [pa.array(at), pa.array(np.concatenate(hashes).view(np.int64))], ["_item", "size", "taken", "due", "slack", "at", "gram"])
 
     return run
 
@@ -125,6 +134,9 @@ def _hits(sizes: list[int], bits: np.ndarray):
                             hashes.append(found[at].view(np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, places, hashes)], ["_doc", "at", "gram"])
+        codes.clear()
+        del bitmap
+        release()
 
     return run
 
@@ -159,12 +171,12 @@ def _aligned(least: float):
                 spans = [(m.start(), m.end()) for m in WORDS.finditer(text)]
                 words = coded([text[a:b] for a, b in spans], codes)
                 sought = coded(WORDS.findall(item.as_py().lower()), codes)
-                slack = math.ceil(2 * (1 - least) * len(sought)) + GRAM  # no alignment has more gaps
+                gaps = slack(len(sought), least)
                 at = np.sort(np.array(diagonals.as_py()))
                 found = (0.0, 0, 0)
-                for near in np.split(at, np.flatnonzero(np.diff(at) > 2 * slack) + 1):
-                    first = max(0, int(near[0]) - slack)
-                    score, a, b = align(sought, words[first:int(near[-1]) + len(sought) + slack])
+                for near in np.split(at, np.flatnonzero(np.diff(at) > 2 * gaps) + 1):
+                    first = max(0, int(near[0]) - gaps)
+                    score, a, b = align(sought, words[first:int(near[-1]) + len(sought) + gaps])
                     found = max(found, (score, first + a, first + b), key=lambda x: (x[0], -x[1]))
                 score, a, b = found
                 if score >= least:
@@ -173,6 +185,9 @@ def _aligned(least: float):
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
                                              ["doc_id", "item_id", "score", "n_words", "start_char", "end_char"])
+        codes.clear()
+        release()
+
     return run
 
 
@@ -191,7 +206,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST,
     items = items.withColumn("_item", F.xxhash64("item_id", "item")).dropDuplicates(["_item"])
     keyed = texts.withColumn("_doc", F.xxhash64("doc_id", "text"))
     of_items = stored(items.select("_item", F.col("item").alias("text")).mapInArrow(
-        _item_grams(gram, least), "_item bigint, size bigint, taken bigint, at bigint, gram bigint"))
+        _item_grams(gram, least), "_item bigint, size bigint, taken bigint, due bigint, slack bigint, at bigint, gram bigint"))
     bits = np.zeros(BITMAP, bool)
     places = of_items.select(F.expr(f"pmod(gram, {BITMAP})").alias("b")).distinct().toArrow()["b"].to_numpy()
     bits[places.astype(np.int64)] = True
@@ -201,9 +216,14 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST,
     by_item = Window.partitionBy("_item").orderBy("_count", "at")
     rare = (of_items.join(counts, "gram", "left").groupBy("_item", "taken", "at").agg(F.sum(F.coalesce("_count", F.lit(0))).alias("_count"))
             .withColumn("_rank", F.row_number().over(by_item)).filter("_rank <= taken").select("_item", "at"))
-    seeds = of_items.join(rare, ["_item", "at"]).select("gram", "_item", F.col("at").alias("_of_item")).distinct()
-    pairs = (hits.join(seeds, "gram").groupBy("_doc", "_item")
-             .agg(F.collect_set(F.col("at") - F.col("_of_item")).alias("diagonals")))
+    seeds = of_items.join(rare, ["_item", "at"]).select("gram", "_item", "due", "slack", F.col("at").alias("_of_item")).distinct()
+    # All diagonals of an alignment lie in two neighbouring bands as wide as its slack.
+    diagonal, band = F.col("at") - F.col("_of_item"), F.floor(F.col("_diagonal") / F.col("slack"))
+    met = hits.join(seeds, "gram").select("_doc", "_item", "due", "slack", "_of_item", diagonal.alias("_diagonal"))
+    met = met.select("_doc", "_item", "due", "_of_item", "_diagonal", F.explode(F.array(band, band - 1)).alias("_band"))
+    bands = met.groupBy("_doc", "_item", "_band").agg(F.collect_set("_of_item").alias("_places"), F.collect_set("_diagonal").alias("_diagonals"), F.first("due").alias("due"))
+    pairs = (bands.filter(F.size("_places") >= F.col("due")).groupBy("_doc", "_item")
+             .agg(F.array_distinct(F.flatten(F.collect_list("_diagonals"))).alias("diagonals")))
     wanted = keyed.join(pairs, "_doc").join(items, "_item")
     return wanted.select("doc_id", "text", "item_id", "item", "diagonals").mapInArrow(
         _aligned(least), "doc_id bigint, item_id bigint, score double, n_words bigint, start_char bigint, end_char bigint")
@@ -211,5 +231,5 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST,
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of `docs`, all columns, that no test item aligns with; rows without an id stay."""
-    leaked = benchmark_leaks(docs.filter("doc_id is not null"), benchmark, least).select("doc_id").distinct()
-    return docs.join(leaked.withColumnRenamed("doc_id", "_leaked"), docs["doc_id"] == F.col("_leaked"), "left_anti")
+    leaked = benchmark_leaks(docs.filter("doc_id is not null"), benchmark, least).select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")
