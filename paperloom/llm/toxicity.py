@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.blobs import release
 from paperloom.llm.common import remainder, stored
 from paperloom.llm.mixing import seeded
 
@@ -95,7 +96,7 @@ class Restorer:
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
-        self._short = lru_cache(1 << 16)(self._read)
+        self._short = lru_cache(1 << 14)(self._read)
         self.tokens = _Tokens(self._token)
 
     def read(self, span: str) -> str:
@@ -167,7 +168,7 @@ class _Tokens(dict):
         self.read = read
 
     def __missing__(self, token: str) -> str:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         said = self[token] = self.read(token)
         return said
@@ -198,6 +199,7 @@ def marking_words(docs: DataFrame, labels: DataFrame, restorer, held_out_of: int
                 pairs = list({*zip(words, ["", *words])})
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string()),
                                                   pa.array([int(toxic > 0)] * len(pairs), pa.int32())], ["word", "before", "toxic"])
+        restorer.forget()
 
     found = rows.mapInArrow(places, "word string, before string, toxic int")
     # A place is the word and the hash of the word before it.
@@ -236,7 +238,7 @@ class _Chances(dict):
         self.marks = marks
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         chance = self.marks.get(word)
         if chance is None:
@@ -271,6 +273,8 @@ def score_texts(docs: DataFrame, corpus: DataFrame, labels: DataFrame, held_out_
         for batch in batches:
             scores = [text_score(t.as_py(), restorer.made, chances) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], ["doc_id", "score"])
+        chances.clear()
+        restorer.forget()
 
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id"), held_out_of) == 0).alias("held_out"), "score",
@@ -295,6 +299,11 @@ class _Sent:
     def restore(self, text: str) -> str:
         return self.made.restore(text)
 
+    def forget(self) -> None:
+        """Drops what the worker keeps and gives its memory back; workers live on."""
+        self.__dict__.pop("_made", None)
+        release()
+
 
 def clean_only(docs: DataFrame, corpus: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, whose text scores under 0.5; scored row by row, so rows without an id are judged too."""
@@ -306,5 +315,7 @@ def clean_only(docs: DataFrame, corpus: DataFrame, labels: DataFrame) -> DataFra
         for batch in batches:
             kept = [text_score(t.as_py(), restorer.made, chances) < 0.5 for t in batch["text"]]
             yield batch.filter(pa.array(kept, pa.bool_()))
+        chances.clear()
+        restorer.forget()
 
     return docs.mapInArrow(run, docs.schema)
