@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.blobs import release
 from paperloom.llm.common import stored
 from paperloom.llm.components import components, labels
 from paperloom.llm.decontaminate import gram_hashes
@@ -273,6 +274,7 @@ def _with_bands(words: int):
                 keys.append(band_keys(grams) if len(grams) else grams)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(np.array(node, np.uint64).view(np.int64)),
                                               pa.array(n, pa.int64()), _listed(keys)], ["doc_id", "row", "node", "n", "keys"])
+        release()
 
     return run
 
@@ -286,6 +288,7 @@ def _with_sets(words: int, bitmap: np.ndarray):
                 part = part.filter(pa.array(bitmap[part["row"].to_numpy() % BITMAP]))
                 if part.num_rows:
                     yield pa.RecordBatch.from_arrays([part["row"], _listed([shingles(t.as_py(), words) for t in part["text"]])], ["row", "grams"])
+        release()
 
     return run
 
@@ -305,6 +308,7 @@ def _similar(similarity: float):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 kept.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        release()
 
     return run
 
@@ -355,6 +359,8 @@ def _compared(similarity: float):
                 kept.append((node, label, grams.copy()))
         if len(kept) > 1:
             yield out(kept)
+        kept = []
+        release()
 
     return run
 
