@@ -64,19 +64,19 @@ def resolve_name_collisions(files: DataFrame) -> DataFrame:
 
     Every file of the folder claims its own name, whether it is renamed or not, so
     no existing file is overwritten; a name that no file has goes to the first
-    path that wants it. The keeper of each name is an aggregate joined back, so a
-    target wanted by a large share of the files is not gathered in one task.
-    Files without a target get no new name.
+    path that wants it. The keeper of each name is an aggregate, folded map-side,
+    and joined back by path and name: neither a target wanted by a large share of
+    the files nor the lack of one makes a key that many rows share. Files without
+    a target get no new name.
     """
     target, folder = F.col("target"), F.regexp_extract("path", r"^(.*)[/\\][^/\\]*$", 1)
     placed = files.withColumn("_folder", folder)
     wanted = placed.filter(target.isNotNull()).select("_folder", "target", "path", (F.col("name") != target).alias("late"))
     claims = wanted.unionByName(placed.select("_folder", F.col("name").alias("target"), "path", F.lit(False).alias("late")))
-    keeper = first_per_key(claims, ["_folder", "target"], [F.col("late"), F.col("path")]).select(
-        "_folder", "target", F.col("path").alias("keeper"))
+    keepers = first_per_key(claims, ["_folder", "target"], [F.col("late"), F.col("path")]).select(
+        "path", "target", F.lit(True).alias("keeps"))
     unique = F.concat(names.stem(target), F.lit("_"), F.md5("path"), names.extension(target))
-    return placed.join(keeper, ["_folder", "target"], "left").withColumn(
-        "new_name", F.when(F.col("path") == F.col("keeper"), target).otherwise(unique)).drop("keeper", "_folder")
+    return files.join(keepers, ["path", "target"], "left").withColumn("new_name", F.when(F.col("keeps"), target).otherwise(unique)).drop("keeps")
 
 
 def file_actions(files: DataFrame) -> DataFrame:

@@ -132,13 +132,16 @@ def url_filename(url: Column, prefix: str = "") -> Column:
 
 
 def unique_filenames(urls: DataFrame, prefix: str = "") -> DataFrame:
-    """One file name per URL: the first URL keeps a contested name, the others add their md5."""
+    """One file name per URL: the first URL keeps a contested name, the others add their md5.
+
+    The keepers are folded map-side and joined back by name and URL, so a name that most URLs want is no hot key.
+    """
     named = urls.select("url", url_filename(F.col("url"), prefix).alias("base"))
-    keeper = named.groupBy("base").agg(F.min("url").alias("keeper"))
+    keepers = named.groupBy("base").agg(F.min("url").alias("url")).withColumn("keeps", F.lit(True))
     stem = F.regexp_replace("base", r"\.[^.]*$", "")
     ext = F.regexp_extract("base", r"(\.[^.]*)$", 1)
-    return named.join(keeper, "base").select(
-        "url", "base", F.when(F.col("url") == F.col("keeper"), F.col("base"))
+    return named.join(keepers, ["base", "url"], "left").select(
+        "url", "base", F.when(F.col("keeps"), F.col("base"))
         .otherwise(F.concat(stem, F.lit("_"), F.md5("url"), ext)).alias("file_name"))
 
 

@@ -195,23 +195,28 @@ def questions_by_qualification_topic(questions: DataFrame) -> DataFrame:
 def topic_report(questions: DataFrame) -> DataFrame:
     """All counts of the analysis report in long form: (qualification, metric, key, n, marks, ...).
 
-    Questions are first summed into (qualification, year, board, number, marks)
-    cells and (qualification, topic) cells; the metrics are read off the cells.
+    One scan folds the questions, and each question's topics, into cells; one aggregate over the grouping sets of the
+    cells gives all metrics, told apart by which column a row is grouped by.
     """
-    def cell(metric, key):
-        return F.struct(F.lit(metric).alias("metric"), key.alias("key"))
-
-    figures = [F.sum("n").alias("n"), F.sum("marks").alias("marks"), F.min("lo").alias("min_marks"), F.max("hi").alias("max_marks")]
+    whole = F.struct(F.lit(True).alias("is_question"), F.lit(None).cast("string").alias("topic"), "year", "board", "question_number")
+    each = F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: F.struct(
+        F.lit(False).alias("is_question"), t.alias("topic"), *[F.lit(None).cast("string").alias(c) for c in ("year", "board", "question_number")]))
+    rows = questions.select("qualification", F.col("marks").alias("mark"), F.explode(F.concat(F.array(whole), each)).alias("c"))
+    cells = rows.select("qualification", "mark", "c.*").groupBy(
+        "qualification", "is_question", "topic", "year", "board", "question_number", "mark").agg(F.count("*").alias("n"))
     number = F.col("question_number")
-    cells = questions.groupBy("qualification", "year", "board", "question_number", F.col("marks").alias("mark")).agg(
-        F.count("*").alias("n")).withColumns({"marks": F.col("mark") * F.col("n"), "lo": F.col("mark"), "hi": F.col("mark")})
-    metrics = F.array(cell("year", F.col("year")), cell("board", F.col("board")),
-                      cell("question_type", question_type(number)), cell("number", number_label(number)),
-                      cell("marks_range", marks_range(F.col("mark"))), cell("all", F.lit("")))
-    by_cell = cells.select("qualification", F.explode(metrics).alias("c"), "n", "marks", "lo", "hi").select(
-        "qualification", "c.metric", "c.key", "n", "marks", "lo", "hi")
-    by_topics = by_topic(questions.select("qualification", "marks", "topics")).groupBy("qualification", "topic").agg(
-        F.count("*").alias("n"), F.sum("marks").alias("total"), F.min("marks").alias("lo"), F.max("marks").alias("hi")).select(
-        "qualification", F.lit("topic").alias("metric"), F.col("topic").alias("key"), "n", F.col("total").alias("marks"), "lo", "hi")
-    return by_cell.unionByName(by_topics).groupBy(
-        qualification_label(F.col("qualification")).alias("qualification"), "metric", "key").agg(*figures)
+    keys = {"topic": F.col("topic"), "year": F.col("year"), "board": F.col("board"), "question_type": question_type(number),
+            "number": number_label(number), "marks_range": marks_range(F.col("mark"))}
+    scope = ["label", "is_question"]
+    named = cells.select(qualification_label(F.col("qualification")).alias("label"), "is_question", "mark", "n",
+                         *[k.alias(f"by_{name}") for name, k in keys.items()])
+    columns = [f"by_{name}" for name in keys]
+    summed = named.groupingSets([scope, *[[*scope, c] for c in columns]], *scope, *columns).agg(
+        F.sum("n").alias("n"), F.sum(F.col("mark") * F.col("n")).alias("marks"), F.min("mark").alias("min_marks"), F.max("mark").alias("max_marks"),
+        *[F.grouping(c).alias(f"without_{c}") for c in columns])
+    metric, key = F.lit("all"), F.lit("")
+    for name, c in zip(keys, columns):
+        grouped = F.col(f"without_{c}") == 0
+        metric, key = F.when(grouped, name).otherwise(metric), F.when(grouped, F.col(c)).otherwise(key)
+    rows = summed.select(F.col("label").alias("qualification"), "is_question", metric.alias("metric"), key.alias("key"), "n", "marks", "min_marks", "max_marks")
+    return rows.filter(F.col("is_question") != (F.col("metric") == "topic")).drop("is_question")

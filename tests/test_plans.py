@@ -35,6 +35,29 @@ def test_scans_are_pruned(spark):
     assert "l_extendedprice" not in text.split("FileScan")[1]
 
 
+def test_claims_have_no_hot_key(spark):
+    """A third of the files want one target and a third have none; joins go by path, so no key is shared."""
+    from paperloom.operators import catalogue, links
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(f"in/f{i:03}.pdf", f"f{i:03}.pdf", "a_2019.pdf" if i % 3 == 0 else None if i % 3 == 1 else f"t{i}.pdf") for i in range(300)]
+    files = spark.createDataFrame(rows, "path string, name string, target string")
+    resolved = catalogue.resolve_name_collisions(files)
+    urls = spark.createDataFrame([(f"http://x/{i}/same.pdf" if i % 3 else f"http://x/{i}.pdf",) for i in range(300)], "url string")
+    named = links.unique_filenames(urls)
+    joins = [line for df in (resolved, named) for line in plan(df).splitlines() if "SortMergeJoin" in line]
+    got, names_ = {r.path: r.new_name for r in resolved.collect()}, [r.file_name for r in named.collect()]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(joins) == 2 and all("path#" in j or "url#" in j for j in joins)
+    assert got["in/f000.pdf"] == "a_2019.pdf" and got["in/f001.pdf"] is None and len(set(filter(None, got.values()))) == 200
+    assert len(set(names_)) == 300 and "same.pdf" in names_
+
+
+def test_report_reads_its_table_once(spark):
+    text = plan(entry.queries()["topic_report"](spark, SF))
+    assert text.count("Expand") == 1 and "Union" not in text
+    assert len([line for line in text.splitlines() if "FileScan" in line and "lineitem" in line]) <= 1
+
+
 def test_map_only_operators(spark):
     for name in ("extract_links", "links_by_section", "clean_text", "parse_exam_board"):
         assert "Exchange" not in plan(entry.queries()[name](spark, SF))
