@@ -42,13 +42,13 @@ _PHRASED = """concat('Calculate using Figure 1, ', replace(text, '. ', CASE doc_
  WHEN 1 THEN ' using the data from the Extract, ' WHEN 2 THEN ' SHOW YOUR WORKING ' ELSE ' marks available ' END))"""
 
 
-def _mask_sql(expr):
+def mask_sql(expr):
     for phrase in tx.IGNORE_PHRASES:
         expr = f"regexp_replace({expr}, '{phrase}', '{tx.MASK}', 'gi')"
     return expr
 
 
-@query("mask_phrases", f"SELECT doc_id, {_mask_sql(_PHRASED)} AS masked FROM documents")
+@query("mask_phrases", f"SELECT doc_id, {mask_sql(_PHRASED)} AS masked FROM documents")
 def _(spark, sf):
     return t.table(spark, sf, "documents").select("doc_id", tx.mask_phrases(F.expr(_PHRASED)).alias("masked"))
 

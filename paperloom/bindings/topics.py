@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperloom.bindings import tables as t
-from paperloom.bindings.texts import any_sql, estimate_sql
+from paperloom.bindings.texts import any_sql, estimate_sql, mask_sql
 from paperloom.functions import features as ft
 from paperloom.operators import classify as cl
 from paperloom.operators import labels as lb
@@ -266,7 +266,7 @@ def _(spark, sf):
 _MENTION = " OR ".join(["contains(low, ' ' || k || ' ')", "starts_with(low, k || ' ')", "ends_with(low, ' ' || k)",
                         "contains(low, ' ' || k || ',')", "contains(low, ' ' || k || '.')", "contains(low, '(' || k || ')')",
                         "(length(k) > 5 AND contains(low, k))"])
-_RELEVANCE_SQL = _PAIRS_SQL + f""", profiles AS (SELECT topic, [w FOR w IN regexp_split_to_array(regexp_replace(b, '[(),]', '', 'g'), '\\s+')
+_RELEVANCE_TAIL = f""", profiles AS (SELECT topic, [w FOR w IN regexp_split_to_array(regexp_replace(b, '[(),]', '', 'g'), '\\s+')
    IF length(w) > 3] AS words, (SELECT list(keyword) FROM keywords k WHERE k.topic = bare.topic) AS kws FROM bare),
  hits AS (SELECT p.*, CASE WHEN contains(low, lower(topic)) THEN 10 ELSE 0 END AS title,
    len([w FOR w IN words IF contains(low, w)]) AS h, least(len([k FOR k IN kws IF {_MENTION}]), 5) AS l
@@ -274,6 +274,7 @@ _RELEVANCE_SQL = _PAIRS_SQL + f""", profiles AS (SELECT topic, [w FOR w IN regex
  rated AS (SELECT *, 1 + title + h * 2 + CASE WHEN h > 1 THEN 3 ELSE 0 END + l AS base FROM hits),
  relevance AS (SELECT *, CASE WHEN topic IN ({', '.join(repr(x) for x in lb.OVERUSED)}) AND base < 8 THEN base * 0.7::DOUBLE
    ELSE base END + CASE WHEN est_marks >= 10 AND {any_sql('topic', lb.COMPLEX)} THEN 1.5::DOUBLE ELSE 0 END AS score FROM rated)"""
+_RELEVANCE_SQL = _PAIRS_SQL + _RELEVANCE_TAIL
 
 
 @query("score_relevance", f"WITH {_RELEVANCE_SQL} SELECT id, topic, CAST(round(score, 6) AS DOUBLE) AS score FROM relevance")
@@ -284,7 +285,7 @@ def _(spark, sf):
 
 
 _FUNDAMENTAL = any_sql("x", lb.FUNDAMENTAL)
-_SELECT_SQL = _RELEVANCE_SQL + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS rn,
+_SELECT_TAIL = f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS rn,
    CASE WHEN est_marks <= 2 THEN 2 WHEN est_marks <= 5 THEN 3 ELSE 4 END AS lim, CASE WHEN computational THEN 3 ELSE 2 END AS floor
   FROM relevance WHERE {_QUALITY_SQL}),
  chosen AS (SELECT id, coalesce(list(topic ORDER BY rn) FILTER (rn <= lim AND score > floor), [arg_min(topic, pos)]) AS t
@@ -293,6 +294,7 @@ _SELECT_SQL = _RELEVANCE_SQL + f""", ranked AS (SELECT *, row_number() OVER (PAR
    IF NOT (x = '{lb.GENERAL_DEMAND}' AND len([y FOR y IN t IF {any_sql('y', lb.SPECIFIC_DEMAND)}]) > 0)
    AND NOT (x = '{lb.GENERAL_SUPPLY}' AND len(t) > 2 AND len([y FOR y IN t IF {any_sql('y', lb.SPECIFIC_SUPPLY)}]) > 0)] AS topics
   FROM chosen)"""
+_SELECT_SQL = _RELEVANCE_SQL + _SELECT_TAIL
 
 
 @query("select_topics", f"WITH {_SELECT_SQL} SELECT id, array_to_string(topics, '|') AS topics FROM consistent")
@@ -313,7 +315,27 @@ def _masked_exam(spark, sf):
     return questions, offered
 
 
-@query("assign_topics")
+def _assign_sql(parity):
+    """The cascade: suggested labels, then keywords, then the fallback rules, each for what is still open."""
+    flag = any_sql("lower(text)" if parity else "lower(raw)", ft.COMPUTATIONAL)
+    labels = (", labels AS (SELECT topic AS label FROM topics)" + _OVERLAP_SQL + """, meant AS (SELECT label, arg_min(topic, ord) AS topic
+  FROM overlap GROUP BY label)""" if parity else ", meant AS (SELECT topic AS label, topic FROM topics)")
+    offered = " UNION ALL ".join(f"SELECT *, {pos} AS pos, {key} % 87 AS o FROM masked WHERE l_partkey % 3 <> 0"
+                                 for pos, key in enumerate(("l_suppkey", "l_partkey")))
+    return f"""WITH {t.EXAM_TEXTS_SQL}{_TITLES_SQL}, masked AS MATERIALIZED (SELECT id, l_partkey, l_suppkey, text, {flag} AS computational
+  FROM (SELECT id, l_partkey, l_suppkey, text AS raw, {mask_sql('text')} AS text FROM exam_texts)),
+ docs AS (SELECT id, lower(text) AS text, computational FROM masked){labels},
+ pairs AS (SELECT id, text, lower(text) AS low, computational, {estimate_sql('text', parity)} AS est_marks, meant.topic, min(pos) AS pos
+  FROM ({offered}) JOIN topics ON ord = o JOIN meant ON meant.label = topics.topic GROUP BY ALL)
+ {_RELEVANCE_TAIL}{_SELECT_TAIL}{SCORE_SQL}{MENTION_SQL}{TOP_SQL},
+ by_words AS (SELECT id, list(topic ORDER BY rank) AS topics FROM top WHERE rank <= CASE WHEN computational THEN 2 ELSE 3 END
+  {"AND id IN (SELECT id FROM pairs)" if parity else ""} GROUP BY id)
+ SELECT m.id AS question_id, array_to_string(coalesce(c.topics, w.topics, [{_fallback_sql('lower(m.text)')}]), '|') AS topics,
+  CASE WHEN c.id IS NOT NULL THEN 'suggested' WHEN w.id IS NOT NULL THEN 'keywords' ELSE 'fallback' END AS method
+ FROM masked m LEFT JOIN consistent c ON c.id = m.id LEFT JOIN by_words w ON w.id = m.id"""
+
+
+@query("assign_topics", _assign_sql(False))
 def _(spark, sf):
     topics, words, concepts = _exam_dictionary(spark)
     questions, offered = _masked_exam(spark, sf)
@@ -321,7 +343,7 @@ def _(spark, sf):
     return assigned.select("question_id", F.array_join("topics", "|").alias("topics"), "method")
 
 
-@query("assign_topics_parity")
+@query("assign_topics_parity", _assign_sql(True))
 def _(spark, sf):
     topics, words, concepts = _exam_dictionary(spark)
     questions, offered = _masked_exam(spark, sf)
