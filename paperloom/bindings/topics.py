@@ -8,6 +8,8 @@ from paperloom.functions import features as ft
 from paperloom.operators import classify as cl
 from paperloom.operators import labels as lb
 from paperloom.operators import taxonomy as tax
+from paperloom.plans.scale import scratch_folder
+from paperloom.streaming.incremental import tag_each_question_once
 
 QUERIES, ORACLE = {}, {}
 
@@ -315,12 +317,12 @@ def _masked_exam(spark, sf):
     return questions, offered
 
 
-def _assign_sql(parity):
+def _assign_sql(parity, suggested="l_partkey % 3 <> 0"):
     """The cascade: suggested labels, then keywords, then the fallback rules, each for what is still open."""
     flag = any_sql("lower(text)" if parity else "lower(raw)", ft.COMPUTATIONAL)
     labels = (", labels AS (SELECT topic AS label FROM topics)" + _OVERLAP_SQL + """, meant AS (SELECT label, arg_min(topic, ord) AS topic
   FROM overlap GROUP BY label)""" if parity else ", meant AS (SELECT topic AS label, topic FROM topics)")
-    offered = " UNION ALL ".join(f"SELECT *, {pos} AS pos, {key} % 87 AS o FROM masked WHERE l_partkey % 3 <> 0"
+    offered = " UNION ALL ".join(f"SELECT *, {pos} AS pos, {key} % 87 AS o FROM masked WHERE {suggested}"
                                  for pos, key in enumerate(("l_suppkey", "l_partkey")))
     return f"""WITH {t.EXAM_TEXTS_SQL}{_TITLES_SQL}, masked AS MATERIALIZED (SELECT id, l_partkey, l_suppkey, text, {flag} AS computational
   FROM (SELECT id, l_partkey, l_suppkey, text AS raw, {mask_sql('text')} AS text FROM exam_texts)),
@@ -349,3 +351,19 @@ def _(spark, sf):
     questions, offered = _masked_exam(spark, sf)
     assigned = lb.assign_topics(questions, topics, words, concepts, offered, parity=True)
     return assigned.select("question_id", F.array_join("topics", "|").alias("topics"), "method")
+
+
+@query("tags_of_replayed_bank", _assign_sql(False, "false").replace("m.id AS question_id", "m.id AS question_file"))
+def _(spark, sf):
+    """A bank that comes in two runs, two thirds of its questions in both; each question is tagged once."""
+    topics, words, concepts = _exam_dictionary(spark)
+    folder = scratch_folder(spark)
+    bank = t.exam_texts(spark, sf).select(
+        F.lit("1").alias("questionNumber"), F.lit("2020").alias("year"), F.lit("EDEXCEL").alias("board"), F.col("text").alias("questionText"),
+        F.lit("alevel").alias("qualification"), F.col("id").alias("questionFile"), "l_partkey")
+    offered = spark.createDataFrame([], "question_id string, labels array<string>")
+    for part in (bank.filter("l_partkey % 3 <> 0"), bank):
+        part.drop("l_partkey").write.mode("append").json(f"{folder}/bank")
+        tag_each_question_once(spark, f"{folder}/bank", f"{folder}/tags", f"{folder}/seen", topics, words, concepts, offered).awaitTermination()
+    tags = spark.read.schema("question_file string, topics array<string>, method string").parquet(f"{folder}/tags/epoch=*")
+    return tags.select("question_file", F.array_join("topics", "|").alias("topics"), "method")

@@ -2,6 +2,8 @@
 
 The batch rule "skip a year whose output exists" becomes a file-source stream:
 its checkpoint remembers the files already read, so each run tags new files only.
+`tag_each_question_once` also remembers the questions, as keyed state, so that one
+that comes again in a later file is not tagged again.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +38,26 @@ def tag_new_bank_files(spark: SparkSession, source: str, target: str, checkpoint
 
     return (questions.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def tag_each_question_once(spark: SparkSession, source: str, target: str, checkpoint: str, topics: DataFrame, keywords: DataFrame,
+                           concepts: DataFrame, suggestions: DataFrame, lines: bool = True) -> StreamingQuery:
+    """Appends (question_id, question_file, topics, method) of each question of the bank once, whatever files and runs it comes in.
+
+    The ids seen so far are the stream's state, kept by key under the checkpoint and carried from run to run; an id holds
+    the md5 of its text, so its copies are tagged alike and the first to come is as good as any. For a large bank, let
+    the session keep the state in RocksDB. Reads what is there and stops. Each batch owns one folder and overwrites it, so a
+    batch retried after a failure leaves no second copy. Rows that cannot be used and questions without a text are left
+    out. `lines` says that files hold an object per line, not one array.
+    """
+    rows = (spark.readStream.schema(BANK_JSON).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("pathGlobFilter", "*.json").json(source))
+    usable = bank_to_questions(rows).filter("reject is null").select(
+        "question_id", "question_file", clean_text(F.col("question_text")).alias("question_text"), F.lit(None).cast("array<string>").alias("topics"))
+    firsts = usable.dropDuplicates(["question_id"])
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        tagged = assign_topics(batch, topics, keywords, concepts, suggestions)
+        tagged.join(batch.select("question_id", "question_file"), "question_id").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+
+    return firsts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

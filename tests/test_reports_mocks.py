@@ -263,3 +263,24 @@ def test_incremental_stream(spark, tmp_path):
 
     assert arrive("a.json", "why inflation matters") == ["2.1.2 Inflation"]
     assert arrive("b.json", "on oligopoly") == ["2.1.2 Inflation", "3.4.4 Oligopoly"]
+
+
+def test_a_question_that_comes_again_is_tagged_once(spark, tmp_path):
+    """The same question in two files of two runs, beside new ones and copies in one file."""
+    from paperloom.operators.taxonomy import derived_keywords, taxonomy
+    from paperloom.streaming.incremental import tag_each_question_once
+    (tmp_path / "in").mkdir()
+    topics = taxonomy(spark)
+    concepts = spark.createDataFrame([], "concept string, topic string")
+    none = spark.createDataFrame([], "question_id string, labels array<string>")
+
+    def arrive(name, *texts):
+        rows = [f'{{"questionNumber": "question1", "year": "2019", "qualification": "as", "questionText": "{t}"}}' for t in texts]
+        (tmp_path / "in" / name).write_text("\n".join(rows) + "\nnot json\n")
+        tag_each_question_once(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), topics,
+                               derived_keywords(topics), concepts, none).awaitTermination()
+        return sorted(r["topics"][0] for r in spark.read.parquet(str(tmp_path / "out/epoch=*")).collect())
+
+    assert arrive("a.json", "why inflation matters", "why inflation matters") == ["2.1.2 Inflation"]
+    assert arrive("b.json", "on oligopoly", "why inflation matters") == ["2.1.2 Inflation", "3.4.4 Oligopoly"]
+    assert arrive("c.json", "on oligopoly") == ["2.1.2 Inflation", "3.4.4 Oligopoly"]
