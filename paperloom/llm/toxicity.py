@@ -91,13 +91,17 @@ def character_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
+#: Readings that a worker keeps, some 250 bytes each; fewer in a pipeline, whose other stages share the executors.
+KEPT, KEPT_BESIDE = 200_000, 50_000
+
+
 class Restorer:
     """Reads disguised spans of a text under character counts."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, kept: int = KEPT):
         self.counts = counts
-        self._short = lru_cache(1 << 14)(self._read)
-        self.tokens = _Tokens(self._token)
+        self._short = lru_cache(kept // 3)(self._read)
+        self.tokens = _Tokens(self._token, kept)
 
     def read(self, span: str) -> str:
         return self._short(span) if len(span) <= 64 else self._read(span)
@@ -163,12 +167,12 @@ class Restorer:
 class _Tokens(dict):
     """A token's reading, kept once worked out; forgets all when it grows over its bound."""
 
-    def __init__(self, read):
+    def __init__(self, read, kept: int):
         super().__init__()
-        self.read = read
+        self.read, self.kept = read, kept
 
     def __missing__(self, token: str) -> str:
-        if len(self) > 50_000:
+        if len(self) > self.kept:
             self.clear()
         said = self[token] = self.read(token)
         return said
@@ -233,12 +237,12 @@ def marking_words(docs: DataFrame, labels: DataFrame, restorer, held_out_of: int
 class _Chances(dict):
     """A word's chance, kept once worked out; forgets all when it grows over its bound."""
 
-    def __init__(self, marks: dict[str, float]):
+    def __init__(self, marks: dict[str, float], kept: int = 2 * KEPT):
         super().__init__()
-        self.marks = marks
+        self.marks, self.kept = marks, kept
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 100_000:
+        if len(self) > self.kept:
             self.clear()
         chance = self.marks.get(word)
         if chance is None:
@@ -284,16 +288,16 @@ def score_texts(docs: DataFrame, corpus: DataFrame, labels: DataFrame, held_out_
 class _Sent:
     """Counts that become a Restorer where they arrive."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
+    def __init__(self, counts: np.ndarray, kept: int = KEPT):
+        self.counts, self.kept = counts, kept
 
     def __reduce__(self):
-        return _Sent, (self.counts,)
+        return _Sent, (self.counts, self.kept)
 
     @property
     def made(self) -> Restorer:
         if "_made" not in self.__dict__:
-            self._made = Restorer(self.counts)
+            self._made = Restorer(self.counts, self.kept)
         return self._made
 
     def restore(self, text: str) -> str:
@@ -307,11 +311,11 @@ class _Sent:
 
 def clean_only(docs: DataFrame, corpus: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, whose text scores under 0.5; scored row by row, so rows without an id are judged too."""
-    restorer = _Sent(character_counts(corpus))
+    restorer = _Sent(character_counts(corpus), KEPT_BESIDE)
     marks = marking_words(corpus, labels, restorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chances = _Chances(marks)
+        chances = _Chances(marks, 2 * KEPT_BESIDE)
         for batch in batches:
             kept = [text_score(t.as_py(), restorer.made, chances) < 0.5 for t in batch["text"]]
             yield batch.filter(pa.array(kept, pa.bool_()))
