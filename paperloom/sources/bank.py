@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.names import BOARDS, normalize_enum
 from paperloom.plans.scale import null_safe_join
 from paperloom.schemas import BANK_JSON
+from paperloom.sources.jsonarray import read_json_arrays
 
 
 def bank_to_questions(rows: DataFrame) -> DataFrame:
@@ -39,14 +40,10 @@ def read_question_bank(spark: SparkSession, path: str, recursive: bool = False,
                        glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """(questions, rejected rows) of a folder's bank files, with `recursive` also of the folders below.
 
-    A bad row does not fail the load.
-
-    Each file holds one JSON array and is read by one task, as multi-line JSON
-    must be; `read_written_bank` reads the splittable form.
+    A bad row does not fail the load. Each file holds one JSON array; an array of any size is read by many tasks
+    (`sources/jsonarray.py`).
     """
-    rows = (spark.read.schema(BANK_JSON).option("multiLine", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", glob)
-            .option("recursiveFileLookup", recursive).json(path))
+    rows = read_json_arrays(spark, path, BANK_JSON, recursive, glob)
     parsed = bank_to_questions(rows)
     return parsed.filter(F.col("reject").isNull()).drop("reject"), parsed.filter(F.col("reject").isNotNull())
 
