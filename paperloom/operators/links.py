@@ -1,17 +1,20 @@
 """Links of crawled pages: extraction, classification, sections, names and reach."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.plans.scale import cut_lineage, first_per_key
+from paperloom.plans.scale import cut_lineage, first_per_key, scratch_folder, stored_table
 
 # Anchor pattern, document extensions and header tags.
 ANCHOR = r"""(?is)<a\b[^>]*?\shref\s*=\s*["']?([^"'\s>]*)["']?[^>]*>(.*?)</a>"""
 DOCUMENT_EXTENSIONS = ["pdf", "docx", "pptx", "xlsx"]
 HEADER_TAGS = ["h4", "h5", "strong"]
 
+EDGES_A_SHARE = 1_000_000
+
 
 def plain_text(html: Column) -> Column:
     """Tags dropped, entities of the basic set decoded, spaces collapsed."""
@@ -96,22 +99,49 @@ def same_site_links(links: DataFrame) -> DataFrame:
     return links.filter((F.col("url") != "") & F.col("url").contains(host(F.col("page_url"))))
 
 
+def stored_edges(links: DataFrame, most: int = EDGES_A_SHARE) -> tuple[str, DataFrame]:
+    """(table name, shares): the distinct links (src, dst) stored in buckets of (src, share), and the sources of more shares than one.
+
+    A source with more than `most` links is spread over shares by its links' targets, so a hub is read by many tasks. The
+    table lies in the session's shared folder; `shares` (src, shares) has at most a row for every `most` links.
+    """
+    spark = links.sparkSession
+    edges = stored_table(links.select("src", "dst").filter((F.col("dst") != "") & F.col("dst").isNotNull()).distinct())
+    shares = stored_table(edges.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+                          .select("src", F.ceil(F.col("n") / most).cast("int").alias("shares")))
+    share = F.pmod(F.xxhash64("dst"), F.coalesce("shares", F.lit(1))).cast("int")
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"links_{uuid.uuid4().hex}"
+    dealt = edges.join(shares, "src", "left").select("src", "dst", share.alias("share"))
+    (dealt.repartition(buckets, "src", "share").write.bucketBy(buckets, "src", "share").sortBy("src", "share")
+     .option("path", scratch_folder(spark)).saveAsTable(name))
+    return name, shares
+
+
+def linked_from(edges: str, shares: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(url): the distinct targets of the frontier's links. Only the frontier moves; the stored links are read where they lie."""
+    asked = frontier.select(F.col("url").alias("src")).join(shares, "src", "left").select(
+        "src", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share"))
+    return frontier.sparkSession.table(edges).join(asked, ["src", "share"]).select(F.col("dst").alias("url")).distinct()
+
+
 def reachable(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(url, depth): fewest links from a seed, down to `max_depth` links.
 
-    `links` has src and dst, `seeds` has url. Each level joins only the newest
-    frontier with the links, which are stored once, and is checkpointed, so a lost executor costs one
+    `links` has src and dst, `seeds` has url. The links are stored once, in buckets of their source, and each level joins
+    only the newest frontier with them without moving them. Each level is checkpointed, so a lost executor costs one
     level and the plan stays flat.
     """
-    edges = cut_lineage(links.select("src", "dst").filter((F.col("dst") != "") & F.col("dst").isNotNull()).distinct())
+    edges, shares = stored_edges(links)
     frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     visited = frontier
-    for depth in range(1, max_depth + 1):
-        found = (edges.join(frontier.select(F.col("url").alias("src")), "src")
-                 .select(F.col("dst").alias("url")).distinct())
-        fresh = found.join(visited.select("url"), "url", "left_anti")
-        frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
-        visited = visited.unionByName(frontier)
+    try:
+        for depth in range(1, max_depth + 1):
+            fresh = linked_from(edges, shares, frontier).join(visited.select("url"), "url", "left_anti")
+            frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
+            visited = visited.unionByName(frontier)
+    finally:
+        # All levels are checkpointed by now; the name goes, the files stay in the shared folder.
+        links.sparkSession.sql(f"DROP TABLE IF EXISTS {edges}")
     return visited
 
 

@@ -52,6 +52,36 @@ def test_claims_have_no_hot_key(spark):
     assert len(set(names_)) == 300 and "same.pdf" in names_
 
 
+def test_levels_of_reach_do_not_move_the_links(spark):
+    """No exchange above the scan of the stored links, and a hub's links lie in several buckets."""
+    from paperloom.operators import links
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [("hub", f"t{i}") for i in range(300)] + [(f"t{i}", f"u{i % 7}") for i in range(300)] * 2 + [("t1", ""), ("t2", None), (None, "x")]
+    edges, shares = links.stored_edges(spark.createDataFrame(rows, "src string, dst string"), most=50)
+    frontier = spark.createDataFrame([("hub",), ("t5",), ("none",)], "url string")
+    lines = plan(links.linked_from(edges, shares, frontier)).splitlines()
+    scan = next(i for i, line in enumerate(lines) if edges in line)
+    join = max(i for i, line in enumerate(lines[:scan]) if "SortMergeJoin" in line)
+    between = [line for line in lines[join:scan]]
+    got = {r.url for r in links.linked_from(edges, shares, frontier).collect()}
+    spread = spark.table(edges).filter("src = 'hub'").select("share").distinct().count()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sql(f"DROP TABLE {edges}")
+    assert not any("Exchange" in line for line in between) and "Bucketed: true" in lines[scan]
+    assert [tuple(r) for r in shares.collect()] == [("hub", 6)] and spread == 6
+    assert got == {f"t{i}" for i in range(300)} | {"u5"}
+
+
+def test_reach_of_empty_and_looping_links(spark):
+    from paperloom.operators import links
+    none = spark.createDataFrame([], "src string, dst string")
+    loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "c")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("a",)], "url string")
+    assert [tuple(r) for r in links.reachable(none, seeds, 2).collect()] == [("a", 0)]
+    assert sorted(tuple(r) for r in links.reachable(loop, seeds, 4).collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("links_")]
+
+
 def test_report_reads_its_table_once(spark):
     text = plan(entry.queries()["topic_report"](spark, SF))
     assert text.count("Expand") == 1 and "Union" not in text
