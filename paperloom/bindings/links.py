@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from paperloom.bindings import tables as t
 from paperloom.operators import links as lk
+from paperloom.operators.sections import links_by_sibling_section
 
 QUERIES, ORACLE = {}, {}
 
@@ -128,6 +129,30 @@ def links_by_section(spark, sf):
     return lk.links_by_section(t.site_pages(spark, sf), parent_tag="h4").select("page_id", "section", "parent", "text")
 
 
+# Block added to the pages' end: a header inside an element that is itself under a header.
+_NESTED = """concat(html, '<div><h5>Inner ', page_id % 3, '</h5><p><a href="/in.pdf">In</a><p>x</div><a href="/after.pdf">After</a>')"""
+_HEAD = "replace(regexp_extract(html, '<{0}>({1}[^<]*)</{0}>', 1), ' ', '-')"
+
+
+@query("links_by_sibling_section", f"""WITH {t.SITE_PAGES_SQL}, nested AS (SELECT page_id, {_NESTED} AS html FROM site_pages),
+ h AS (SELECT page_id, {_HEAD.format('h4', 'Theme ')} AS theme, {_HEAD.format('strong', 'Set ')} AS last, {_HEAD.format('h5', 'Inner ')} AS inner_head,
+  replace(replace(regexp_extract(html, '<h5>(Past[^<]*)</h5>', 1), ':', ''), ' ', '-') AS past,
+  regexp_extract_all(regexp_extract(html, '(?s)</h4>(.*?)<h5>Past', 1), 'href="([^"]*)"', 1) AS in_theme,
+  regexp_extract_all(regexp_extract(html, '(?s)</h5><ul>(.*?)<strong> ', 1), 'href="([^"]*)"', 1) AS in_past,
+  regexp_extract_all(regexp_extract(html, '(?s)<strong>Set [^<]*</strong>(.*)', 1), 'href="([^"]*)"', 1) AS in_last,
+  regexp_extract_all(regexp_extract(html, '(?s)<h5>Inner [^<]*</h5>(.*?)</div>', 1), 'href="([^"]*)"', 1) AS in_inner FROM nested),
+ s AS (SELECT page_id, theme AS section, theme AS parent, in_theme AS hrefs FROM h UNION ALL SELECT page_id, past, theme, in_past FROM h
+  UNION ALL SELECT page_id, last, NULL, in_last FROM h UNION ALL SELECT page_id, inner_head, theme, in_inner FROM h),
+ links AS (SELECT page_id, section, parent, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS pos, unnest(hrefs) AS href FROM s)
+ SELECT page_id, section, parent, pos, CASE WHEN starts_with(href, 'mailto:') THEN '' ELSE regexp_extract(href, '([^/]*)$', 1) END AS file
+ FROM links""")
+def _(spark, sf):
+    """Sections that end with their header's siblings, on pages whose sections are nested."""
+    nested = t.site_pages(spark, sf).withColumn("html", F.expr(_NESTED))
+    rows = links_by_sibling_section(nested, parent_tag="h4")
+    return rows.select("page_id", "section", "parent", "pos", F.regexp_extract("url", "([^/]*)$", 1).alias("file"))
+
+
 def _plain_sql(expr):
     expr = f"regexp_replace({expr}, '<[^>]*>', '', 'g')"
     for entity, char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]:
