@@ -11,10 +11,10 @@ PAGES = [
     (3, 1, "Paper 3 front"), (3, 2, "1 Study"), (3, 3, "(a) What is the elasticity"), (3, 4, "(b) and why"), (3, 5, "SECTION B\n2 Study"), (3, 6, "(a) Inflation again"),
     (4, 1, "Paper 3 marks: front matter of the scheme with enough words to be kept"),
     (4, 2, "1 (a) knowledge of elasticity, analysis and evaluation of the answer, marks"), (4, 3, "knowledge and application: 2 marks, 4 marks, level 3 answers"),
-    (4, 4, "2 (a) knowledge of inflation, analysis and evaluation of the answer, marks"), (5, 1, "1 A report\n(Total for Question 1 = 4 marks)")]
+    (4, 4, "2 (a) knowledge of inflation, analysis and evaluation of the answer, marks"), (5, 1, "Report"), (5, 2, "1 A report\n(Total for Question 1 = 4 marks)")]
 NAMES = [(1, "in/qp1", "economics_alevel_edexcel_2019_paper1_questionpaper.pdf"), (2, "in/ms1", "economics_alevel_edexcel_2019_paper1_markscheme.pdf"),
          (3, "in/qp3", "economics_alevel_edexcel_2019_paper3_questionpaper.pdf"), (4, "in/ms3", "economics_alevel_edexcel_2019_paper3_markscheme.pdf"),
-         (5, "in/er", "economics_alevel_edexcel_2019_paper1_examinerreport.pdf")]
+         (5, "in/er", "economics_alevel_edexcel_2019_examinerreport.pdf")]
 
 
 def inputs(spark, names=NAMES, pages=PAGES):
