@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from paperloom.bindings import tables as t
-from paperloom.operators import dedupe, stats
-from paperloom.plans.scale import scratch_folder
+from paperloom.operators import dedupe, rollup, stats
+from paperloom.plans.scale import scratch_folder, stored_table
 from paperloom.sources import bank
 
 QUERIES, ORACLE = {}, {}
@@ -167,6 +167,31 @@ def _(spark, sf):
     return stats.topic_report(t.questions(spark, sf))
 
 
+def _halves(spark, sf):
+    """The questions as two batches that share years, boards and topics."""
+    rows = t.questions(spark, sf)
+    half = F.crc32(F.col("question_id").cast("binary")) % 2
+    return [rows.filter(half == i) for i in (0, 1)]
+
+
+@query("overview_from_cells", ORACLE["overview_stats"])
+def _(spark, sf):
+    """Cells of one half stored, then those of the other; its new topics are numbered on. The report reads cells only."""
+    folder, numbers = scratch_folder(spark), None
+    for half in _halves(spark, sf):
+        numbers = stored_table(rollup.numbered_topics(half, numbers))
+        rollup.write_cells(rollup.overview_cells(half, numbers, ["qualification"]), folder)
+    return rollup.overview_from_cells(rollup.read_cells(spark, folder), ["qualification"])
+
+
+@query("detail_from_cells", ORACLE["topic_detail"])
+def _(spark, sf):
+    folder = scratch_folder(spark)
+    for half in _halves(spark, sf):
+        rollup.write_cells(rollup.detail_cells(half, ["qualification"]), folder)
+    return rollup.detail_from_cells(rollup.read_cells(spark, folder), ["qualification"])
+
+
 @query("dedupe_first", f"""WITH {Q} SELECT question_id, year, board, marks, content_md5 FROM questions
  QUALIFY row_number() OVER (PARTITION BY content_md5 ORDER BY question_id) = 1""")
 def _(spark, sf):
