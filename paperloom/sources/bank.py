@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.names import BOARDS, normalize_enum
 from paperloom.plans.scale import null_safe_join
 from paperloom.schemas import BANK_JSON
-from paperloom.sources.jsonarray import read_json_arrays
+from paperloom.sources.jsonarray import WHOLE, read_json_arrays
 
 
 def bank_to_questions(rows: DataFrame) -> DataFrame:
@@ -37,13 +37,13 @@ def parent_folder(path: Column) -> Column:
 
 
 def read_question_bank(spark: SparkSession, path: str, recursive: bool = False,
-                       glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+                       glob: str = "*.json", whole_up_to: int = WHOLE) -> tuple[DataFrame, DataFrame]:
     """(questions, rejected rows) of a folder's bank files, with `recursive` also of the folders below.
 
-    A bad row does not fail the load. Each file holds one JSON array; an array of any size is read by many tasks
-    (`sources/jsonarray.py`).
+    A bad row does not fail the load. Each file holds one JSON array; an array of more than `whole_up_to` bytes is read by
+    many tasks (`sources/jsonarray.py`).
     """
-    rows = read_json_arrays(spark, path, BANK_JSON, recursive, glob)
+    rows = read_json_arrays(spark, path, BANK_JSON, recursive, glob, whole_up_to)
     parsed = bank_to_questions(rows)
     return parsed.filter(F.col("reject").isNull()).drop("reject"), parsed.filter(F.col("reject").isNotNull())
 
