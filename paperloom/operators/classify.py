@@ -1,17 +1,18 @@
 """Keyword tagging: matches, scores, bonuses and the best topics per text.
 
 Words of the dictionary are found by seeds, not by trying every word on every
-text. A word's seed is that of its 5-character pieces (all of it, if shorter)
-that the texts hold least often. Texts are cut into small pieces with a margin as
-long as the longest word; every place of a piece shows its seed candidates, an
-equi-join finds the words, and a look at that place decides: is the word there,
-does it stand alone, has it an ending, does it count as a mention. So no word is
-ever searched for in a text. All steps from matching to relevance read that one
-table of found words.
-
-A dictionary within the session's broadcast limit, by its bytes, meets the places
-where the texts lie; beyond it, places and seeds are shuffled, and the few places
-that meet a word fetch their piece by (text, piece).
+text: every place of a text shows its seed candidates, and a look at that place
+decides: is the word there, does it stand alone, has it an ending, does it count
+as a mention. So no word is ever searched for in a text. All steps from matching
+to relevance read one table of found words.
+
+A dictionary within the session's broadcast limit, by its bytes, goes to the
+texts, and all places of a batch of texts are looked at as arrays (`wordplaces`).
+Beyond it, places are rows: a word's seed is that of its 5-character pieces (all
+of it, if shorter) that the texts hold least often; texts are cut into small
+pieces with a margin as long as the longest word, places and seeds are shuffled
+and meet in an equi-join, and the few places that meet a word fetch their piece
+by (text, piece).
 
 Word boundaries are ASCII: a word character is a letter a-z, a digit or '_'.
 """
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.features import contains_any, is_computational
 from paperloom.functions.names import first_case
+from paperloom.operators import wordplaces
 from paperloom.operators.taxonomy import title_phrases
 from paperloom.plans.scale import cut_lineage, stored_table, top_per_group
 
@@ -49,6 +51,7 @@ KEYWORD_THRESHOLD = 2.0
 
 
 ENDINGS = ["s ", "ing", "ed", "'s"]
+FLAGS = ["present", "exact", "bare", "partial", "mention", "related"]  # in the order of the bits in `wordplaces`
 
 
 def _pieces(texts: DataFrame, margin: int) -> DataFrame:
@@ -92,11 +95,10 @@ def _seeds(pieces: DataFrame, words: DataFrame) -> tuple[DataFrame, list[int]]:
     return stored_table(rarest.select("s.gram", "word", "s.offset")), lengths
 
 
-def _fits_broadcast(df: DataFrame) -> bool:
-    """Whether the rows, counted with their strings, are within the session's broadcast limit."""
-    limit = int(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b"))
-    size = df.agg(F.sum(F.octet_length("gram") + F.octet_length("word") + 64)).first()[0] or 0
-    return size <= limit
+def _fits_broadcast(words: DataFrame) -> bool:
+    """Whether the words, counted by their strings, are within the session's broadcast limit."""
+    limit = int(words.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b"))
+    return (words.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) <= limit
 
 
 def _occurrences(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -104,10 +106,7 @@ def _occurrences(texts: DataFrame, words: DataFrame) -> DataFrame:
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
     pieces = _pieces(texts, longest + 4)
     seeds, lengths = _seeds(pieces, words)
-    if _fits_broadcast(seeds):
-        met = _places(pieces, lengths, "id", "piece", "lead").join(F.broadcast(seeds), "gram")
-    else:
-        met = _places(pieces, lengths, "id", "at").join(seeds, "gram").join(pieces.select("id", "at", "lead", "piece"), ["id", "at"])
+    met = _places(pieces, lengths, "id", "at").join(seeds, "gram").join(pieces.select("id", "at", "lead", "piece"), ["id", "at"])
     start, size = F.col("lead") + F.col("i") - F.col("offset"), F.length("word")
     # One look for the word and its neighbours; the first place of a text has nothing before it.
     near = F.when(start > 0, F.substr("piece", start, size + 4)).otherwise(F.substr("piece", F.lit(1), size + 3))
@@ -148,13 +147,35 @@ def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     a plural, tense or genitive ending; a `mention` is longer than 5 characters or
     delimited. Empty words are in no text.
     """
-    text, word = F.col("text"), F.col("word")
+    text = F.col("text")
     flag = F.col("computational") if "computational" in texts.columns else is_computational(text)
-    # Dealt by id once: cutting, meeting, looking and folding all stay in that partitioning. Its number of
+    # Dealt by id once: looking and what follows stay in that partitioning. Its number of
     # partitions is given, as the work on a text is large beside its bytes, by which partitions would be merged.
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lowered = texts.filter(text.isNotNull()).select("id", flag.alias("computational"), F.lower(text).alias("text")).repartition(tasks, "id")
     listed = stored_table(words.filter(F.length("word") > 0).select("word").distinct())
+    found = _looked_up(lowered, listed) if _fits_broadcast(listed) else _joined(lowered, listed)
+    return cut_lineage(found.select("id", "computational", "word", *FLAGS))
+
+
+def _looked_up(lowered: DataFrame, listed: DataFrame) -> DataFrame:
+    """The found words by one look at every place of a batch of texts, where the texts lie."""
+    spoken = [r["word"] for r in listed.collect()]
+    number = {w: i for i, w in enumerate([*spoken, *sorted(set(RELATED) - set(spoken))])}
+    mask = F.lit(0)
+    for bit, (word, groups) in enumerate(RELATED.items()):
+        mask = mask + F.when(_all(F.col("text"), groups), 1 << bit).otherwise(0)
+    look = F.arrow_udf(wordplaces.finder(spoken, [number[w] for w in RELATED]), "array<int>")
+    seen = lowered.filter("id is not null").select("id", "computational", look("text", mask).alias("hits"))
+    hits = seen.select("id", "computational", F.explode("hits").alias("hit"))
+    names = lowered.sparkSession.createDataFrame([(i, w) for w, i in number.items()], "at int, word string")
+    rows = hits.withColumn("at", F.shiftright("hit", wordplaces.BITS)).join(F.broadcast(names), "at")
+    return rows.withColumns({n: F.col("hit").bitwiseAND(1 << bit) != 0 for bit, n in enumerate(FLAGS)})
+
+
+def _joined(lowered: DataFrame, listed: DataFrame) -> DataFrame:
+    """The found words by joins of places and seeds, for a dictionary of any size."""
+    word = F.col("word")
     open_left, open_right = ~F.col("before").rlike("[a-z0-9_]"), ~F.col("after").rlike("^[a-z0-9_]")
     plain = word.rlike("(?s)^[a-z0-9_](.*[a-z0-9_])?$")
     followed = F.col("after").startswith(ENDINGS[0])
@@ -166,11 +187,9 @@ def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     seen = _occurrences(lowered.select("id", "text"), listed).select("id", "word", *[t.alias(n) for n, t in tests.items()])
     folded = seen.groupBy("id", "word").agg(F.lit(True).alias("present"), *[F.bool_or(n).alias(n) for n in tests])
     no = [F.lit(False).alias(n) for n in ("present", *tests)]
-    synonyms = lowered.select("id", F.explode(_related_words(text)).alias("word")).select("id", "word", *no, F.lit(True).alias("related"))
+    synonyms = lowered.select("id", F.explode(_related_words(F.col("text"))).alias("word")).select("id", "word", *no, F.lit(True).alias("related"))
     both = folded.withColumn("related", F.lit(False)).unionByName(synonyms)
-    flags = ["present", *tests, "related"]
-    found = both.groupBy("id", "word").agg(*[F.bool_or(n).alias(n) for n in flags]).join(lowered.select("id", "computational"), "id")
-    return cut_lineage(found.select("id", "computational", "word", *flags))
+    return both.groupBy("id", "word").agg(*[F.bool_or(n).alias(n) for n in FLAGS]).join(lowered.select("id", "computational"), "id")
 
 
 def keyword_words(keywords: DataFrame) -> DataFrame:

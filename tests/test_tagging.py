@@ -204,6 +204,21 @@ def test_places_over_piece_edges(spark, monkeypatch, limit, steps):
     assert got == expected
 
 
+@pytest.mark.parametrize("chars", [1 << 20, 7])
+def test_places_are_looked_at_in_arrays(spark, texts, monkeypatch, chars):
+    """Within the broadcast limit no place is a row, nothing meets by its characters, and slices of any size find the same."""
+    plans = []
+    monkeypatch.setattr(cl.wordplaces, "CHARS", chars)
+    monkeypatch.setattr(cl, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    words = spark.createDataFrame([(w,) for w in ("price", "real gdp", "c++", "supply and demand", "a", "+++++")], "word string")
+    near = {tuple(r) for r in cl.find_words(texts, words).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    far = {tuple(r) for r in cl.find_words(texts, words).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert near == far and near
+    assert "gram#" not in plans[0] and "gram#" in plans[1] and plans[0].count("Join") == 1
+
+
 def test_any_number_of_labels(spark):
     labels = [f"junk {i}" for i in range(150)] + ["1.2.4 Supply"] + ["1.2.4 supply"] * 30
     got = lb.validated_topics(spark.createDataFrame([("a", labels)], "id string, labels array<string>"), taxonomy(spark)).collect()
