@@ -10,7 +10,7 @@ from paperloom.functions.features import (allows_economic_problem, contains_any,
 from paperloom.functions.text import mask_phrases
 from paperloom.operators.classify import fallback_topic, find_words, tagging_words, top_topics_by_keywords
 from paperloom.operators.taxonomy import CODED
-from paperloom.plans.scale import cut_lineage
+from paperloom.plans.scale import cut_lineage, stored_table
 
 # Answer shape, lead-ins and limits.
 ANSWER_LINE = r"(?i)Question\s+(\d+)\s*:\s*([^\n\r]+)"
@@ -236,9 +236,11 @@ def assign_topics(questions: DataFrame, topics: DataFrame, keywords: DataFrame,
     """
     untagged = questions.filter((F.coalesce(F.size("topics"), F.lit(-1)) <= 0)
                                 & (F.coalesce("question_text", F.lit("")) != ""))
-    masked = mask_phrases(F.col("question_text"))
-    texts = untagged.select(F.col("question_id").alias("id"), masked.alias("text"),
-                            is_computational(masked if parity else F.col("question_text")).alias("computational"))
+    # Masking costs far more than the bytes of a text tell, so the tasks are given, and its rows are stored for the steps below.
+    tasks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = untagged.select(F.col("question_id").alias("id"), "question_text").repartition(tasks, "id")
+    masked = dealt.withColumn("text", mask_phrases(F.col("question_text")))
+    texts = stored_table(masked.select("id", "text", is_computational(F.col("text" if parity else "question_text")).alias("computational")))
     offered = suggestions.select(F.col("question_id").alias("id"), "labels")
     words = tagging_words(keywords.select("topic").distinct(), keywords, concepts).unionByName(
         topic_profiles(topics, keywords).select("word"))

@@ -219,6 +219,19 @@ def test_places_are_looked_at_in_arrays(spark, texts, monkeypatch, chars):
     assert "gram#" not in plans[0] and "gram#" in plans[1] and plans[0].count("Join") == 1
 
 
+def test_texts_of_a_run_are_masked_once(spark, texts, keywords, monkeypatch):
+    """Masking, the costliest step on a text, is done by all tasks and once; its rows are stored for the steps that read them."""
+    stored = []
+    real = lb.stored_table
+    monkeypatch.setattr(lb, "stored_table", lambda df: stored.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    questions = texts.select(F.col("id").cast("string").alias("question_id"), F.col("text").alias("question_text"),
+                             F.lit(None).cast("array<string>").alias("topics"))
+    concepts = spark.createDataFrame([("real gdp", "2.1.1 Economic growth")], "concept string, topic string")
+    offered = questions.select("question_id", F.array(F.lit("1.2.2 Demand")).alias("labels"))
+    plan = lb.assign_topics(questions, taxonomy(spark), keywords, concepts, offered)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(stored) == 1 and stored[0].index("regexp_replace") < stored[0].index("RepartitionByExpression") and "regexp_replace" not in plan
+
+
 def test_any_number_of_labels(spark):
     labels = [f"junk {i}" for i in range(150)] + ["1.2.4 Supply"] + ["1.2.4 supply"] * 30
     got = lb.validated_topics(spark.createDataFrame([("a", labels)], "id string, labels array<string>"), taxonomy(spark)).collect()
