@@ -12,7 +12,8 @@ one key. No cap, no sample: every link between different fingerprints counts.
 Three bits of 64 are a narrow gate for shingles: a text with every thirtieth word
 changed has left it. `similar_groups` therefore looks for candidates with bands of
 least hashes of the shingles, whose recall follows from their Jaccard similarity,
-and links those whose sets of shingles are similar.
+and links those whose sets of shingles are similar. `copy_groups`, which decides
+what the pipeline keeps, takes the links of both.
 """
 
 from __future__ import annotations
@@ -429,12 +430,29 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     return rows.select("doc_id", "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
+def copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """Every row as (doc_id, component_id): smallest doc_id reachable over near fingerprints and over similar texts.
+
+    Links are those of `near_groups`, fingerprints within `radius` bits found by their
+    deletion variants, and those of `similar_groups`, whose gate is wider. A row is a
+    member by its id and text, so repeated ids with different texts are not one.
+    """
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = keyed.select(F.col("row").alias("doc_id"), "text")
+    both = near_groups(rows, radius=radius).select("doc_id", "component_id").unionByName(similar_groups(rows, words, similarity))
+    links = stored(both.filter("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct())
+    members = keyed.select("doc_id", "row").join(components(links).withColumnRenamed("node", "row"), "row", "left")
+    members = stored(members.select("doc_id", F.coalesce("root", "row").alias("root")))
+    ids = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return members.join(ids, "root").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its similar group; one of repeated rows with that id stays.
+    """The rows of `docs` whose id is the smallest of its group of copies; one of repeated rows with that id stays.
 
     Rows without an id, which no decision can name, stay. All columns are kept.
     """
-    groups = similar_groups(docs, words, similarity)
+    groups = copy_groups(docs, words, similarity)
     firsts = groups.select(F.col("component_id").alias("_id")).distinct()
     known = docs.join(firsts, docs["doc_id"] == firsts["_id"], "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.filter("doc_id is null"))

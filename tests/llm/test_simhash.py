@@ -182,3 +182,16 @@ def test_hot_bands_give_the_same_groups_in_blocks(spark, monkeypatch):
         group = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
         assert [group[i] for i in range(len(texts))] == expected
     assert 1 < len(set(expected)) < 300 and most[0] < 3 * 40 < most[1]
+
+
+def test_near_fingerprints_decide_what_is_kept(spark):
+    """Texts within 3 bits whose sets of shingles are not similar are copies, also by way of a similar third text."""
+    head = "alpha beta gamma " * 100
+    tails = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(2)]
+    near = [head + t for t in tails]
+    assert bin(simhash.fingerprint(near[0]) ^ simhash.fingerprint(near[1])).count("1") <= 3
+    alike = " ".join([tails[1], *(f"y{k}" for k in range(40))])
+    rows = [(1, near[0]), (2, near[1]), (3, alike), (4, alike + " end"), (None, near[0]), (5, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len({r.component_id for r in simhash.similar_groups(df.filter("doc_id < 3")).collect()}) == 2
+    assert sorted((r.doc_id for r in simhash.keep_first(df).collect()), key=str) == [1, 3, 5, None]
