@@ -65,10 +65,13 @@ def markscheme_index(questions: DataFrame, page_counts: DataFrame, scope: list[s
     unique = dedupe_by_content(
         questions.select(*scope, "markscheme_md5", "year", "question_number", "question_id", "board", "marks"),
         "markscheme_md5", [F.col("year"), F.col("question_number"), F.col("question_id")], scope)
+    order = [F.col("year"), F.col("question_number"), F.col("markscheme_md5")]
+    if max_rows:
+        # Every scheme keeps a row or more in the join, so the first rows after it are of these schemes.
+        unique = stored_table(top_per_group(unique, scope, order, max_rows).drop("rank"))
     sized = unique.join(page_counts, "markscheme_md5", "left")
     if max_rows:
-        sized = top_per_group(sized, scope, [F.col("year"), F.col("question_number"), F.col("markscheme_md5")],
-                              max_rows).drop("rank")
+        sized = top_per_group(sized, scope, order, max_rows).drop("rank")
     pages = F.coalesce("valid_pages", F.lit(0)) + 1
     placed = _in_question_order(sized, scope, "markscheme_md5", pages, "before")
     return placed.select(*scope, "question_id", "question_number", "year", "board", "marks",
@@ -220,7 +223,8 @@ def select_time_budget(questions: DataFrame, group: list[str], target: Column, s
 def with_context(questions: DataFrame, extracts: DataFrame) -> DataFrame:
     """`has_extract` and `reads_context` added; `extracts` has one row per extract of a paper."""
     keys = ["board", "qualification", "year", "paper"]
-    papers = extracts.select(*keys).distinct().withColumn("has_extract", F.lit(True))
+    # Stored, so that the planner knows how few papers there are before it moves any question.
+    papers = stored_table(extracts.select(*keys).distinct()).withColumn("has_extract", F.lit(True))
     joined = null_safe_join(questions, papers, keys, "left").withColumn(
         "has_extract", F.coalesce("has_extract", F.lit(False)))
     return joined.withColumn("reads_context", is_context_based(
@@ -260,7 +264,10 @@ def topic_mocks(questions: DataFrame, group: list[str], target: int, max_mocks:
     then the next unused shorts. At most max_mocks * (target - tol) shorts can be
     taken, each having a mark or more.
     """
-    unique = dedupe_questions(questions, group).select(
+    # Only what is read below takes part in finding the copies, which moves every row.
+    keyed = (questions if "question_key" in questions.columns else with_question_key(questions)).select(
+        *group, "question_key", "question_id", "question_number", "marks")
+    unique = dedupe_questions(keyed, group).select(
         *group, "question_id", "question_number", "marks", seeded_order(seed, F.col("question_id")).alias("ord"))
     totals = unique.groupBy(*group).agg(
         F.least(F.greatest(F.floor(F.coalesce(F.sum("marks"), F.lit(0)) / target), F.lit(1)), F.lit(max_mocks))

@@ -96,3 +96,30 @@ def test_map_only_operators(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() == 174
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_first_rows_of_an_index_are_cut_before_the_page_counts(spark, monkeypatch):
+    """The one-page index joins the page counts with the first schemes only, also where a scheme is counted twice."""
+    from paperloom.operators import assemble
+    cut = []
+    real = assemble.stored_table
+    monkeypatch.setattr(assemble, "stored_table", lambda df: cut.append(plan(df)) or real(df))
+    rows = [("as", "t", f"q{i}", f"question{i % 7}", f"20{i % 9 + 10}", "aqa", i, f"m{i // 2:03}") for i in range(200)]
+    questions = spark.createDataFrame(rows, "qualification string, topic string, question_id string, question_number string, year string, board string, marks int, markscheme_md5 string")
+    counts = spark.createDataFrame([(f"m{i:03}", i % 5 + 1) for i in range(100)] + [("m000", 3), ("m009", 3)], "markscheme_md5 string, valid_pages int")
+    scope = ["qualification", "topic"]
+    few = [tuple(r) for r in assemble.markscheme_index(questions, counts, scope, 25).orderBy("start_page", "question_id").collect()]
+    monkeypatch.setattr(assemble, "stored_table", real)
+    whole = [tuple(r) for r in assemble.markscheme_index(questions, counts, scope).orderBy("start_page", "question_id").collect()]
+    assert few == whole[:25] and len(cut) == 1 and "valid_pages" not in cut[0]
+
+
+def test_mocks_move_only_what_they_read(spark):
+    """Copies are found among narrow rows, and a few papers are broadcast though they come from a large table."""
+    from paperloom.operators import assemble
+    from paperloom.bindings import tables as t
+    from paperloom.operators.stats import by_topic
+    mocks = plan(assemble.topic_mocks(by_topic(t.questions(spark, SF)), ["qualification", "topic"], 60, 4, 7))
+    assert "question_text" not in mocks and "markscheme_md5" not in mocks
+    context = plan(assemble.with_context(t.questions(spark, SF), t.extracts(spark, SF)))
+    assert "o_orderdate" not in context and "BroadcastHashJoin" in context
