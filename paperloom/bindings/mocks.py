@@ -38,7 +38,7 @@ def _by_topic(spark, sf):
  SELECT qualification, topic, CAST(before + i AS BIGINT) AS seq, question_id,
   ['question_separator', 'question', 'markscheme_separator', 'markscheme'][i] AS kind FROM e""")
 def _(spark, sf):
-    return am.bundle_manifest(_by_topic(spark, sf), SCOPE)
+    return am.bundle_manifest(t.questions(spark, sf), SCOPE)
 
 
 def _page_counts(spark, sf):
@@ -61,7 +61,7 @@ _INDEX_SQL = f"""WITH {BT}, u AS (SELECT * FROM by_topic WHERE markscheme_md5 IS
 
 @query("markscheme_index", _INDEX_SQL)
 def _(spark, sf):
-    return am.markscheme_index(_by_topic(spark, sf), _page_counts(spark, sf), SCOPE)
+    return am.markscheme_index(t.questions(spark, sf), _page_counts(spark, sf), SCOPE)
 
 
 @query("markscheme_index_page", _INDEX_SQL + " WHERE rn <= 25")

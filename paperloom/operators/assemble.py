@@ -16,7 +16,8 @@ from paperloom.functions.features import (estimated_minutes, is_context_based, i
 from paperloom.functions.text import exam_month, original_question_number, seeded_order, trim_topic
 from paperloom.operators.dedupe import dedupe_by_content, dedupe_questions, with_question_key
 from paperloom.operators.stats import by_topic
-from paperloom.plans.scale import first_per_key, null_safe_join, running_total, stored_table, top_per_group
+from paperloom.plans.scale import (first_per_key, null_safe_join, running_total, running_total_in_place, stored_table,
+                                    top_per_group)
 
 # Sections of each theme, papers each theme may use, limits.
 THEME_SECTIONS = {1: ["1.1", "1.2", "1.3", "1.4"],
@@ -33,47 +34,91 @@ SPREAD, SPARE = 8.0, 16
 
 
 def _in_question_order(df: DataFrame, scope: list[str], md5: str, value: Column, out: str) -> DataFrame:
-    """Running total in (year, question number, md5) order; blocks split on the md5's first digits."""
+    """Running total in (year, question number, md5, value) order; blocks split on the md5's first digits."""
     block = [F.coalesce("year", F.lit("")), F.coalesce("question_number", F.lit("")), F.substring(md5, 1, 2)]
-    return running_total(df, scope, block, [F.col("year"), F.col("question_number"), F.col(md5)], value, out)
+    return running_total(df, scope, block, [F.col("year"), F.col("question_number"), F.col(md5), value], value, out)
+
+
+def _dealt(questions: DataFrame, scope: list[str], md5: str, columns: list[str]) -> DataFrame:
+    """`columns` of the questions that have the file `md5`, each moved once to the task of its md5's first digits, `_block`.
+
+    A question still goes as one row, whatever the number of its topics. Copies of a file meet in the task of its block, where
+    they are sorted and not held, and so do the neighbours in the order of a running total.
+    """
+    given = [c for c in scope if c in questions.columns]
+    topics = ["topics"] if len(given) < len(scope) else []
+    return questions.select(*given, *topics, md5, *columns).filter(F.col(md5).isNotNull()).withColumn(
+        "_block", F.substring(md5, 1, 2)).repartition("_block")
+
+
+def _by_scope(dealt: DataFrame, scope: list[str]) -> DataFrame:
+    return dealt if set(scope) <= set(dealt.columns) else by_topic(dealt)
+
+
+def _in_place(df: DataFrame, scope: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """`_in_question_order` for rows that lie where `_dealt` put them."""
+    block = [F.coalesce("year", F.lit("")), F.coalesce("question_number", F.lit(""))]
+    return running_total_in_place(df, scope, block, "_block", order, value, out)
 
 
 def bundle_manifest(questions: DataFrame, scope: list[str]) -> DataFrame:
     """Numbered entries per scope: separator, question, separator, mark scheme.
 
     Each question file once per scope, in year and number order; the mark-scheme
-    pair is there only when the question has one.
+    pair is there only when the question has one. With `topic` in the scope,
+    `questions` has a row per topic or, which moves less, the array `topics`.
     """
-    unique = dedupe_by_content(
-        questions.select(*scope, "content_md5", "year", "question_number", "question_id", "markscheme_md5"),
-        "content_md5", [F.col("year"), F.col("question_number"), F.col("question_id")], scope)
-    size = F.when(F.col("markscheme_md5").isNotNull(), 4).otherwise(2)
-    placed = _in_question_order(unique, scope, "content_md5", size, "before")
+    paired = questions.withColumn("has_markscheme", F.col("markscheme_md5").isNotNull())
+    rows = _dealt(paired, scope, "content_md5", ["year", "question_number", "question_id", "has_markscheme"])
+    unique = dedupe_by_content(_by_scope(rows, scope), "content_md5",
+                               [F.col("year"), F.col("question_number"), F.col("question_id")], [*scope, "_block"])
+    size = F.when(F.col("has_markscheme"), 4).otherwise(2)
+    order = [F.col("year"), F.col("question_number"), F.col("content_md5")]
+    placed = _in_place(unique, scope, order, size, "before")
     kinds = ["question_separator", "question", "markscheme_separator", "markscheme"]
     entries = F.slice(F.array(*[F.lit(k) for k in kinds]), F.lit(1), size)
     return placed.select(*scope, "question_id", "before", F.posexplode(entries).alias("i", "kind")).select(
         *scope, (F.col("before") + F.col("i") + 1).alias("seq"), "kind", "question_id")
 
 
+def _with_pages(dealt: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """The dealt rows with `pages`, the array of their scheme's valid pages (NULL without any); the rows stay where they are.
+
+    The counts are dealt out like them, and a scheme's counts are read before its rows.
+    """
+    counts = page_counts.filter("markscheme_md5 is not null").select(
+        "markscheme_md5", F.coalesce("valid_pages", F.lit(0)).cast("long").alias("n"),
+        F.substring("markscheme_md5", 1, 2).alias("_block")).repartition("_block").groupBy("_block", "markscheme_md5").agg(
+        F.collect_list("n").alias("pages")).withColumn("_own", F.lit(False))
+    first = Window.partitionBy("_block", "markscheme_md5").orderBy("_own").rowsBetween(Window.unboundedPreceding, 0)
+    both = dealt.withColumn("_own", F.lit(True)).unionByName(counts, allowMissingColumns=True)
+    return both.withColumn("pages", F.first("pages").over(first)).filter("_own").drop("_own")
+
+
 def markscheme_index(questions: DataFrame, page_counts: DataFrame, scope: list[str],
                      max_rows: int | None = None) -> DataFrame:
     """Start page of each distinct mark scheme: 2 plus valid pages and header of those before it.
 
     `page_counts` has markscheme_md5 and valid_pages. `max_rows` (25 in the
-    one-page index) keeps the first rows.
+    one-page index) keeps the first rows. With `topic` in the scope, `questions`
+    has a row per topic or, which moves less, the array `topics`.
     """
-    unique = dedupe_by_content(
-        questions.select(*scope, "markscheme_md5", "year", "question_number", "question_id", "board", "marks"),
-        "markscheme_md5", [F.col("year"), F.col("question_number"), F.col("question_id")], scope)
+    columns = ["year", "question_number", "question_id", "board", "marks"]
     order = [F.col("year"), F.col("question_number"), F.col("markscheme_md5")]
+    by_first = [F.col("year"), F.col("question_number"), F.col("question_id")]
+    pages = F.coalesce("valid_pages", F.lit(0)) + 1
     if max_rows:
+        unique = dedupe_by_content(_by_scope(questions, scope).select(*scope, "markscheme_md5", *columns), "markscheme_md5", by_first, scope)
         # Every scheme keeps a row or more in the join, so the first rows after it are of these schemes.
         unique = stored_table(top_per_group(unique, scope, order, max_rows).drop("rank"))
-    sized = unique.join(page_counts, "markscheme_md5", "left")
-    if max_rows:
-        sized = top_per_group(sized, scope, order, max_rows).drop("rank")
-    pages = F.coalesce("valid_pages", F.lit(0)) + 1
-    placed = _in_question_order(sized, scope, "markscheme_md5", pages, "before")
+        sized = unique.join(page_counts, "markscheme_md5", "left")
+        sized = top_per_group(sized, scope, [*order, pages], max_rows).drop("rank")
+        placed = _in_question_order(sized, scope, "markscheme_md5", pages, "before")
+    else:
+        rows = _by_scope(_with_pages(_dealt(questions, scope, "markscheme_md5", columns), page_counts), scope)
+        unique = dedupe_by_content(rows, "markscheme_md5", by_first, [*scope, "_block"])
+        sized = unique.withColumn("valid_pages", F.explode(F.coalesce("pages", F.array(F.lit(0).cast("long"))))).drop("pages")
+        placed = _in_place(sized, scope, [*order, pages], pages, "before")
     return placed.select(*scope, "question_id", "question_number", "year", "board", "marks",
                          (F.col("before") + 2).cast("long").alias("start_page"))
 
