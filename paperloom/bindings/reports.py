@@ -168,10 +168,11 @@ def _(spark, sf):
 
 
 def _halves(spark, sf):
-    """The questions as two batches that share years, boards and topics."""
-    rows = t.questions(spark, sf)
+    """The questions as two batches that share years, boards and topics, stored once as each is read several times."""
     half = F.crc32(F.col("question_id").cast("binary")) % 2
-    return [rows.filter(half == i) for i in (0, 1)]
+    rows = stored_table(t.questions(spark, sf).select(
+        "qualification", "year", "board", "question_number", "marks", "topics", half.alias("half")))
+    return [rows.filter(F.col("half") == i).drop("half") for i in (0, 1)]
 
 
 @query("overview_from_cells", ORACLE["overview_stats"])
@@ -228,6 +229,23 @@ def _(spark, sf):
     return bank.only_new_partitions(t.questions(spark, sf).select("question_id", "year", "board"), done, ["year", "board"])
 
 
+def _write_arrays(objects, folder, rows_a_file=2000):
+    """JSON texts as compressed files of one array each. Which file a row is in does not matter, so each task fills its own and no row moves."""
+    def joined(batches):
+        import pyarrow as pa
+        held = []
+        for batch in batches:
+            held += batch["value"].to_pylist()
+            while len(held) >= rows_a_file:
+                yield pa.RecordBatch.from_pydict({"value": [f"[{','.join(held[:rows_a_file])}]"]})
+                held = held[rows_a_file:]
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": [f"[{','.join(held)}]"]})
+
+    arrays = objects.mapInArrow(joined, "value string")
+    arrays.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(folder)
+
+
 @query("read_question_bank", f"""WITH {Q} SELECT CASE WHEN marks = 13 THEN NULL ELSE question_number END AS question_number, year, board,
  CASE WHEN marks = 17 THEN NULL ELSE qualification END AS qualification, marks, question_text,
  topic1 || coalesce('|' || topic2, '') AS topics,
@@ -237,12 +255,8 @@ def _(spark, sf):
     folder, rows = scratch_folder(spark), t.questions(spark, sf)
     spoiled = rows.withColumn("question_number", F.expr("case when marks = 13 then null else question_number end")).withColumn(
         "qualification", F.expr("case when marks = 17 then 'doctorate' else qualification end"))
-    # About 2000 rows a file; which file a row is in does not matter.
-    file = F.pmod(F.xxhash64("questionText", "questionFile"), F.lit(rows.count() // 2000 + 1)).alias("file")
-    arrays = (bank.questions_to_bank(spoiled).select(file, F.struct("*").alias("row"))
-              .groupBy("file").agg(F.to_json(F.collect_list("row")).alias("value")))
-    arrays.write.partitionBy("file").text(folder)
-    good, bad = bank.read_question_bank(spark, folder, recursive=True, glob="*.txt")
+    _write_arrays(bank.questions_to_bank(spoiled).select(F.to_json(F.struct("*")).alias("value")), folder)
+    good, bad = bank.read_question_bank(spark, folder, recursive=True, glob="*.txt.gz")
     return good.withColumn("reject", F.lit(None).cast("string")).unionByName(bad).select(
         "question_number", "year", "board", "qualification", "marks", "question_text", F.array_join("topics", "|").alias("topics"), "reject")
 

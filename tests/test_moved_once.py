@@ -73,3 +73,57 @@ def test_index_moves_each_question_once(spark, copies, exploded):
     got = am.markscheme_index(by_topic(copies) if exploded else copies, counts, SCOPE)
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
     assert not any("markscheme_md5" in k for k in moves(got)) and "SortMergeJoin" not in plan(got)
+
+
+def test_names_are_parsed_once_for_all_claims(spark, monkeypatch):
+    """The files are stored before their claims are told apart, so what made them runs once."""
+    from paperloom.operators import catalogue
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"in/f{i:02}.pdf", f"f{i:02}.pdf", ["a_2019.pdf", None, f"t{i}.pdf", f"f{i:02}.pdf"][i % 4]) for i in range(80)]
+    files = spark.createDataFrame(rows, "path string, name string, target string")
+    got = {r.path: r.new_name for r in catalogue.resolve_name_collisions(files.mapInArrow(counted, files.schema)).collect()}
+    assert runs.value == 80 and len(got) == 80
+    assert got["in/f00.pdf"] == "a_2019.pdf" and got["in/f01.pdf"] is None and got["in/f02.pdf"] == "t2.pdf" and got["in/f03.pdf"] == "f03.pdf"
+    assert got["in/f04.pdf"].startswith("a_2019_") and len(set(filter(None, got.values()))) == 60
+
+
+def test_written_bank_is_compressed(spark, tmp_path):
+    from paperloom.sources import bank
+    questions = spark.range(500).selectExpr("concat('question', id % 7) as question_number", "cast(2015 + id % 2 as string) as year", "'aqa' as board", "'as' as qualification",
+                                            "concat('text ', id) as question_text", "3 as marks", "array('x') as topics", "'/bank/aqa/1/f.pdf' as question_file",
+                                            "cast(null as string) as markscheme_file")
+    bank.write_question_bank(questions, str(tmp_path / "out"), max_records=100)
+    files = [p for p in (tmp_path / "out").rglob("part-*")]
+    assert all(p.name.endswith(".json.gz") and sum(1 for _ in gzip.open(p)) <= 100 for p in files)
+    back = bank.read_written_bank(spark, str(tmp_path / "out"))
+    assert sorted(r[0] for r in back.select("question_text").collect()) == sorted(f"text {i}" for i in range(500))
+
+
+def test_array_files_are_written_without_a_move(spark, tmp_path):
+    from paperloom.bindings import reports
+    from paperloom.sources import bank
+    texts = spark.range(0, 1050, 1, 3).selectExpr("""to_json(struct(concat('q', id) as questionNumber, '2019' as year, 'as' as qualification)) as value""")
+    reports._write_arrays(texts, str(tmp_path / "in"), rows_a_file=100)
+    files = list((tmp_path / "in").glob("part-*.txt.gz"))
+    sizes = sorted(len(json.load(gzip.open(p))) for p in files)
+    assert sizes == [50] * 3 + [100] * 9
+    good, bad = bank.read_question_bank(spark, str(tmp_path / "in"), glob="*.txt.gz")
+    assert bad.count() == 0 and {r[0] for r in good.select("question_number").collect()} == {f"q{i}" for i in range(1050)}
+
+
+def test_halves_are_stored_once(spark, tmp_path):
+    """The batches read by the cells come from one stored table, not from the lines and orders again."""
+    from paperloom.bindings import reports
+    for name, schema in [("lineitem", "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, "
+                                      "l_returnflag string, l_linestatus string, l_shipdate date"), ("orders", "o_orderkey bigint, o_orderpriority string")]:
+        rows = {"lineitem": [(i // 3, i % 3 + 1, i, i * 7, 5.0, 1.5, "A", "O", None) for i in range(60)], "orders": [(i, "1-URGENT") for i in range(20)]}[name]
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    halves = reports._halves(spark, str(tmp_path))
+    assert sum(h.count() for h in halves) == 60 and all(h.count() for h in halves)
+    assert not any("Join" in plan(h) or "l_orderkey" in plan(h) for h in halves)
