@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import names
 from paperloom.functions.text import extract_json_object
-from paperloom.plans.scale import first_per_key
+from paperloom.plans.scale import first_per_key, stored_table
 
 ENRICHMENT = ("topic string, qualification string, examBoard string, year string, "
               "paper string, documentType string")
@@ -67,14 +67,17 @@ def resolve_name_collisions(files: DataFrame) -> DataFrame:
     path that wants it. The keeper of each name is an aggregate, folded map-side,
     and joined back by path and name: neither a target wanted by a large share of
     the files nor the lack of one makes a key that many rows share. Files without
-    a target get no new name.
+    a target get no new name. The files are read three times here, so they are stored
+    first and their names parsed once; the keepers are stored for the planner, which
+    moves no file where few names are claimed.
     """
+    files = stored_table(files)
     target, folder = F.col("target"), F.regexp_extract("path", r"^(.*)[/\\][^/\\]*$", 1)
     placed = files.withColumn("_folder", folder)
     wanted = placed.filter(target.isNotNull()).select("_folder", "target", "path", (F.col("name") != target).alias("late"))
     claims = wanted.unionByName(placed.select("_folder", F.col("name").alias("target"), "path", F.lit(False).alias("late")))
-    keepers = first_per_key(claims, ["_folder", "target"], [F.col("late"), F.col("path")]).select(
-        "path", "target", F.lit(True).alias("keeps"))
+    keepers = stored_table(first_per_key(claims, ["_folder", "target"], [F.col("late"), F.col("path")]).select(
+        "path", "target", F.lit(True).alias("keeps")))
     unique = F.concat(names.stem(target), F.lit("_"), F.md5("path"), names.extension(target))
     return files.join(keepers, ["path", "target"], "left").withColumn("new_name", F.when(F.col("keeps"), target).otherwise(unique)).drop("keeps")
 
