@@ -1,4 +1,5 @@
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -100,6 +101,26 @@ def test_components_of_chain_star_and_loops(spark):
     assert components(links.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("held", [1 << 18, 7, 1])
+def test_components_need_few_jobs_where_a_task_holds_the_links(spark, monkeypatch, held):
+    """A chain of 3000 took about ten rounds of three plans each, which filled the driver; blocks of any size give the same sets."""
+    rng = random.Random(5)
+    names = [rng.randrange(-1 << 62, 1 << 62) for _ in range(3300)]
+    chain = list(zip(names[:2999], names[1:3000]))
+    cliques = [(names[3000 + 30 * k + i], names[3000 + 30 * k + j]) for k in range(10) for i in range(30) for j in range(i)]
+    pairs = [*chain, *cliques, (names[0], names[0])]
+    rng.shuffle(pairs)
+    written = []
+    module = sys.modules[components.__module__]
+    monkeypatch.setattr(module, "stored", lambda df, f=module.stored: written.append(1) or f(df))
+    roots = {}
+    for r in components(spark.createDataFrame(pairs, "a bigint, b bigint"), held).collect():
+        roots.setdefault(r.root, []).append(r.node)
+    assert all(root in nodes for root, nodes in roots.items())
+    assert sorted(map(sorted, roots.values())) == sorted([sorted(names[:3000]), *[sorted(names[3000 + 30 * k:3030 + 30 * k]) for k in range(10)]])
+    assert held < 1 << 18 or len(written) <= 6
+
+
 def grams(text):
     w = (text or "").lower().split()
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
