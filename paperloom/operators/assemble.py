@@ -16,8 +16,8 @@ from paperloom.functions.features import (estimated_minutes, is_context_based, i
 from paperloom.functions.text import exam_month, original_question_number, seeded_order, trim_topic
 from paperloom.operators.dedupe import dedupe_by_content, dedupe_questions, with_question_key
 from paperloom.operators.stats import by_topic
-from paperloom.plans.scale import (first_per_key, null_safe_join, running_total, running_total_in_place, stored_table,
-                                    top_per_group)
+from paperloom.plans.scale import (SALTS, first_per_key, null_safe_join, running_total, running_total_in_place, stored_table,
+                                   top_per_group)
 
 # Sections of each theme, papers each theme may use, limits.
 THEME_SECTIONS = {1: ["1.1", "1.2", "1.3", "1.4"],
@@ -232,14 +232,25 @@ def select_time_budget(questions: DataFrame, group: list[str], target: Column, s
     (target + tol) / t. Of each kind and length only the rows that can be among
     those first ones are ordered.
     """
+    rows = _priced(questions, target, tol).filter("fits").select(*group, *PRICED)
+    return _filled(stored_table(rows), group, seed, tol, restarts)
+
+
+PRICED = ["_target", "kind", "question_id", "marks", "minutes", "length", "take"]
+
+
+def _priced(questions: DataFrame, target: Column, tol: int) -> DataFrame:
+    """The questions with what a fill reads of them (PRICED); `fits` where an empty mock can take them."""
     cap = F.col("_target") + tol
-    rows = questions.select(
-        *group, target.alias("_target"), F.when(F.col("is_short"), 0).otherwise(1).alias("kind"), "question_id",
-        "marks", "minutes").filter((F.col("minutes") >= 1) & (F.col("minutes") <= cap))
     length = F.when(F.col("minutes") > 2 * tol, F.col("minutes")).otherwise(0)
-    rows = rows.withColumn("length", length).withColumn("take", F.when(
-        F.col("length") == 0, F.greatest(F.col("_target") - tol, F.lit(0))).otherwise(F.floor(cap / F.greatest("length", F.lit(1)))).cast("int"))
-    rows = stored_table(rows)  # read to count classes, to draw and, if need be, to draw again
+    return questions.withColumns({"_target": target, "kind": F.when(F.col("is_short"), 0).otherwise(1), "length": length}).withColumns({
+        "fits": F.coalesce((F.col("minutes") >= 1) & (F.col("minutes") <= cap), F.lit(False)),
+        "take": F.when(F.col("length") == 0, F.greatest(F.col("_target") - tol, F.lit(0))).otherwise(
+            F.floor(cap / F.greatest("length", F.lit(1)))).cast("int")})
+
+
+def _filled(rows: DataFrame, group: list[str], seed: int, tol: int, restarts: int) -> DataFrame:
+    """The best fill of each group; `rows` (PRICED) are stored, as they are read to count classes, to draw and, if need be, to draw again."""
     largest = rows.agg(F.max("_target")).first()[0] or 0
     near = _near(rows, group, seed, restarts, max(largest - tol, (largest + tol) // (2 * tol + 1), 1))
     lists = near.groupBy(*group, "restart").agg(
@@ -276,6 +287,24 @@ def with_context(questions: DataFrame, extracts: DataFrame) -> DataFrame:
         F.col("question_number"), F.col("has_extract"), F.col("marks")))
 
 
+def _firsts_in_place(questions: DataFrame, scope: list[str], most: int) -> DataFrame:
+    """(scope, question_key, _salt, question_id, question_number, marks, reads_context): the first question of each key in a scope.
+
+    Keys that no question of up to `most` marks has are left out before their questions are repeated for the topics.
+
+    Each question moves once, before it is repeated for its topics, to the task of its content's digest, where copies are
+    sorted. Other keys, as those of unknown content, which any number may share, are spread by `_salt` over
+    SALTS tasks (NULL for digests): their firsts are to be folded once more.
+    """
+    salt = F.when(~F.col("question_key").rlike("^[0-9A-Fa-f]{32,128}$"), F.pmod(F.xxhash64("question_id"), F.lit(SALTS)))
+    rows = questions.select("question_id", "question_number", "marks", "reads_context", "qualification", "question_key",
+                            salt.alias("_salt"), "topics").repartition("question_key", "_salt")
+    least = F.min("marks").over(Window.partitionBy("question_key", "_salt"))
+    rows = rows.withColumn("_least", least).filter(F.col("_salt").isNotNull() | (F.col("_least") <= most)).drop("_least")
+    # The id is the first column, and so the order. A sort tells most rows apart by the first bytes of its first key.
+    return first_per_key(by_topic(rows), ["question_key", *scope, "_salt"], [])
+
+
 def single_topic_mock(questions: DataFrame, extracts: DataFrame, seed: int, restarts: int = 50,
                       tol: int = 15) -> DataFrame:
     """One mock per qualification and topic, labelled 60 or 90 minutes at random.
@@ -285,15 +314,19 @@ def single_topic_mock(questions: DataFrame, extracts: DataFrame, seed: int, rest
     ids, with no restart.
     """
     scope = ["qualification", "topic"]
-    rows = by_topic(with_context(with_question_key(questions), extracts).select(
-        "qualification", "question_id", "question_key", "question_number", "marks", "reads_context", "topics"))
-    pool = dedupe_questions(rows, scope).filter(F.col("marks") <= 10)
-    timed = stored_table(pool.select(*scope, "question_id", "marks", "reads_context").withColumns({
-        "minutes": estimated_minutes(F.col("marks"), F.col("reads_context"), "single"), "is_short": ~F.col("reads_context")}))
     coin = F.substring(seeded_order(seed, F.col("qualification"), F.col("topic")), 1, 1) < "8"
     target = F.when(coin, SINGLE_TARGETS[0]).otherwise(SINGLE_TARGETS[1])
-    picked = select_time_budget(timed, scope, target, seed, tol, restarts)
-    left = null_safe_join(timed, picked.select(*scope).distinct(), scope, "left_anti").withColumn("_h", F.md5("question_id"))
+    firsts = _firsts_in_place(with_context(with_question_key(questions), extracts), scope, 10).withColumns({
+        "minutes": estimated_minutes(F.col("marks"), F.col("reads_context"), "single"), "is_short": ~F.col("reads_context")})
+    short = F.col("marks") <= 10
+    timed = stored_table(_priced(firsts, target, tol).filter(F.col("_salt").isNotNull() | short))
+    spread = timed.filter("_salt is not null").drop("_salt")
+    if not spread.isEmpty():
+        once = first_per_key(spread, [*scope, "question_key"], [F.col("question_id"), F.col("question_number")]).filter(short)
+        timed = stored_table(timed.filter("_salt is null").drop("_salt").unionByName(once))
+    picked = _filled(timed.filter("fits").select(*scope, *PRICED), scope, seed, tol, restarts)
+    left = null_safe_join(timed.select(*scope, "question_id", "marks", "minutes"), picked.select(*scope).distinct(), scope, "left_anti").withColumn(
+        "_h", F.md5("question_id"))
     numbered = running_total(left, scope, [F.substring("_h", 1, 2)], [F.col("_h"), F.col("question_id")], F.lit(1), "before")
     everything = numbered.select(*scope, F.lit(None).cast("int").alias("restart"), "question_id", F.col("marks").cast("int").alias("marks"),
                                  F.col("minutes").cast("int").alias("minutes"), (F.col("before") + 1).cast("int").alias("seq"))

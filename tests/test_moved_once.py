@@ -127,3 +127,32 @@ def test_halves_are_stored_once(spark, tmp_path):
     halves = reports._halves(spark, str(tmp_path))
     assert sum(h.count() for h in halves) == 60 and all(h.count() for h in halves)
     assert not any("Join" in plan(h) or "l_orderkey" in plan(h) for h in halves)
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Digests and other keys, NULL contents, ids and marks; copies on both sides of 10 marks; questions repeated whole."""
+    topics = [["a"], ["a", "b"], ["b", "c"], [], ["c"]]
+    content = lambda i: None if i % 7 == 0 else f"file{i % 29}" if i % 5 == 0 else f"{i * 37 % 211:032x}"
+    rows = [(["as", "alevel", None][i % 3 % 2 if i % 31 else 2], topics[i % 5], f"q{i % 450:03}" if i % 97 else None, f"question{i % 3}" if i % 11 else None,
+             f"20{i % 2 + 10}" if i % 13 else None, "aqa", i * 7 % 23 if i % 19 else None, content(i), i % 4 == 0) for i in range(900)]
+    return spark.createDataFrame(rows + rows[:60], "qualification string, topics array<string>, question_id string, question_number string, year string, "
+                                 "board string, marks int, content_md5 string, reads_context boolean").repartition(5)
+
+
+def test_single_mock_moves_each_question_once_before_its_topics(spark, mixed):
+    extracts = spark.createDataFrame([("aqa", "as", "2010", "1")], "board string, qualification string, year string, paper string")
+    keyed = am.with_question_key(mixed)
+    firsts = am._firsts_in_place(keyed, SCOPE, 10)
+    got = am.first_per_key(firsts.drop("_salt"), [*SCOPE, "question_key"], [F.col("question_id"), F.col("question_number")]).filter("marks <= 10")
+    columns = [*SCOPE, "question_id", "question_key", "question_number", "marks", "reads_context"]
+    want = am.dedupe_questions(by_topic(keyed).select("qualification", "question_id", "question_key", "question_number", "marks", "reads_context", "topic"), SCOPE)
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert rows(got) == rows(want.filter("marks <= 10")) and got.count() > 100
+    # A digest's copies meet in its task: all but other keys are final.
+    assert firsts.filter("_salt is null").groupBy(*SCOPE, "question_key").count().filter("count > 1").isEmpty()
+    assert len(moves(firsts)) == 1 and "topic#" not in moves(firsts)[0]
+    # The whole mock, also where the draw reads spread keys; each question of a mock is one of those.
+    mock = am.single_topic_mock(mixed.withColumn("paper", F.lit("1")).drop("reads_context"), extracts, 7)
+    taken = mock.select(*SCOPE, "question_id", "marks")
+    assert taken.count() > 40 and taken.exceptAll(want.filter("marks <= 10").select(*taken.columns)).isEmpty()
