@@ -8,6 +8,8 @@ to relevance read one table of found words.
 
 A dictionary within the session's broadcast limit, by its bytes, goes to the
 texts, and all places of a batch of texts are looked at as arrays (`wordplaces`).
+There the words found are gathered by id as lists of numbers (`gather_words`), and
+what they say of topics is counted in arrays too; a text moves once, packed.
 Beyond it, places are rows: a word's seed is that of its 5-character pieces (all
 of it, if shorter) that the texts hold least often; texts are cut into small
 pieces with a margin as long as the longest word, places and seeds are shuffled
@@ -17,6 +19,8 @@ by (text, piece).
 Word boundaries are ASCII: a word character is a letter a-z, a digit or '_'.
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,7 @@ from paperloom.functions.features import contains_any, is_computational
 from paperloom.functions.names import first_case
 from paperloom.operators import wordplaces
 from paperloom.operators.taxonomy import title_phrases
+from paperloom.plans.packed import gathered
 from paperloom.plans.scale import cut_lineage, stored_table, top_per_group
 
 SEED = 5
@@ -48,6 +53,10 @@ CALCULATION_TOPICS = ["elasticities", "Revenue", "Costs", "profits", "Economic g
 EXACT_SCORE, PARTIAL_SCORE, RELATED_SCORE = 3.0, 1.5, 0.5
 CONCEPT_BONUS, MENTION_BONUS = 2.0, 5.0
 KEYWORD_THRESHOLD = 2.0
+WORTH = {"exact": EXACT_SCORE, "partial": PARTIAL_SCORE, "related": RELATED_SCORE, "long": 6, "concept": CONCEPT_BONUS,
+         "mention": MENTION_BONUS, "least": KEYWORD_THRESHOLD}
+HITS = "array<array<int>>"
+TALLY = "array<struct<topic:string,{}:double>>"
 
 
 ENDINGS = ["s ", "ing", "ed", "'s"]
@@ -158,15 +167,20 @@ def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     return cut_lineage(found.select("id", "computational", "word", *FLAGS))
 
 
+def _related_mask(text: Column) -> Column:
+    """The related words of a text, a bit for each."""
+    mask = F.lit(0)
+    for bit, groups in enumerate(RELATED.values()):
+        mask = mask + F.when(_all(text, groups), 1 << bit).otherwise(0)
+    return mask
+
+
 def _looked_up(lowered: DataFrame, listed: DataFrame) -> DataFrame:
     """The found words by one look at every place of a batch of texts, where the texts lie."""
     spoken = [r["word"] for r in listed.collect()]
     number = {w: i for i, w in enumerate([*spoken, *sorted(set(RELATED) - set(spoken))])}
-    mask = F.lit(0)
-    for bit, (word, groups) in enumerate(RELATED.items()):
-        mask = mask + F.when(_all(F.col("text"), groups), 1 << bit).otherwise(0)
     look = F.arrow_udf(wordplaces.finder(spoken, [number[w] for w in RELATED]), "array<int>")
-    seen = lowered.filter("id is not null").select("id", "computational", look("text", mask).alias("hits"))
+    seen = lowered.filter("id is not null").select("id", "computational", look("text", _related_mask(F.col("text"))).alias("hits"))
     hits = seen.select("id", "computational", F.explode("hits").alias("hit"))
     names = lowered.sparkSession.createDataFrame([(i, w) for w, i in number.items()], "at int, word string")
     rows = hits.withColumn("at", F.shiftright("hit", wordplaces.BITS)).join(F.broadcast(names), "at")
@@ -192,31 +206,95 @@ def _joined(lowered: DataFrame, listed: DataFrame) -> DataFrame:
     return both.groupBy("id", "word").agg(*[F.bool_or(n).alias(n) for n in FLAGS]).join(lowered.select("id", "computational"), "id")
 
 
+class Found(NamedTuple):
+    """Found words gathered by id: (id, computational, hits, ...), an entry of both lists for each copy of the id's text.
+
+    A hit is the number of its word in `words` and flags in the lowest bits, in the order of `FLAGS`.
+    """
+
+    rows: DataFrame
+    words: list[str]
+
+
+def spoken_words(words: DataFrame, *listings: DataFrame) -> list[str] | None:
+    """The distinct words to look for, or None if they or a listing by topic are beyond the broadcast limit."""
+    listed = cut_lineage(words.filter(F.length("word") > 0).select("word").distinct())
+    if not all(_fits_broadcast(d.select(F.concat_ws(" ", *d.columns).alias("word"))) for d in (listed, *listings)):
+        return None
+    return [r["word"] for r in listed.collect()]
+
+
+def hits_of_copies(texts: Column, spoken: list[str]) -> tuple[Column, list[str]]:
+    """The hits of every copy in a list of texts, and the words by their numbers: those spoken and those related to a text."""
+    words = [*spoken, *sorted(set(RELATED) - set(spoken))]
+    look = F.arrow_udf(wordplaces.finder_of_copies(spoken, [words.index(w) for w in RELATED]), HITS)
+    low = F.transform(texts, lambda t: F.coalesce(F.lower(t), F.lit("")))
+    return look(low, F.transform(low, _related_mask)), words
+
+
+def gather_words(texts: DataFrame, words: DataFrame, *listings: DataFrame) -> Found | None:
+    """The words found in the texts, all copies of an id together; None if the dictionary is beyond the broadcast limit.
+
+    `texts` has id, text and maybe computational; `words` has word, in lower case. Each text moves once, and no word is a row.
+    """
+    spoken = spoken_words(words, *listings)
+    if spoken is None:
+        return None
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flag = [F.col("computational")] if "computational" in texts.columns else []
+    rows = gathered(texts.filter("id is not null").select("id", "text", *flag), "id", tasks)
+    hits, numbered = hits_of_copies(F.col("rows.text"), spoken)
+    flags = F.col("rows.computational") if flag else F.transform(F.col("rows.text"), is_computational)
+    return Found(rows.select("id", flags.alias("computational"), hits.alias("hits")), numbered)
+
+
+def _listing(found_words: list[str], listed: DataFrame) -> tuple[dict, list[str]]:
+    """A table (topic, word) for the array functions, every row counting, and the names of its topics in order."""
+    rows = [(r["word"], r["topic"], 0, 1) for r in listed.select("word", "topic").dropna().collect()]
+    topics = sorted({t for _, t, _, _ in rows})
+    return wordplaces.listing(found_words, rows, topics), topics
+
+
+def _listed_keywords(keywords: DataFrame) -> DataFrame:
+    return keywords.select("topic", F.trim(F.lower("keyword")).alias("keyword"))
+
+
 def keyword_words(keywords: DataFrame) -> DataFrame:
     """Keywords as they are matched: trimmed, lower case, 3 characters or more."""
     return keywords.select(F.trim(F.lower("keyword")).alias("word")).filter(F.length("word") >= 3).distinct()
 
 
-def match_keywords(texts: DataFrame, keywords: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def match_keywords(texts: DataFrame, keywords: DataFrame, found: DataFrame | Found | None = None) -> DataFrame | Found:
     """(id, keyword, match): EXACT, PARTIAL or RELATED, the first that holds, of each distinct keyword.
 
     `texts` has id and text; `keywords` has topic and keyword. Keywords under 3
-    characters are skipped. `found` is `find_words` over these keywords, if it is at hand.
+    characters are skipped. `found` is `find_words` over these keywords, if it is at hand;
+    of words gathered by id, matches stay gathered, the kind being their only flag.
     """
     words = keyword_words(keywords)
+    if isinstance(found, Found):
+        wanted = {r["word"] for r in words.collect()}
+        match = F.arrow_udf(wordplaces.kinds([w in wanted for w in found.words]), HITS)
+        return found._replace(rows=found.rows.withColumn("matches", match("hits")))
     found = find_words(texts, words) if found is None else found
     kind = F.when(F.col("exact"), "EXACT").when(F.col("partial"), "PARTIAL").when(F.col("related"), "RELATED")
     return (found.withColumn("match", kind).filter(F.col("match").isNotNull()).join(words, "word", "left_semi")
             .select("id", F.col("word").alias("keyword"), "match"))
 
 
-def score_keywords(matches: DataFrame, keywords: DataFrame, flags: DataFrame) -> DataFrame:
+def score_keywords(matches: DataFrame | Found, keywords: DataFrame, flags: DataFrame) -> DataFrame:
     """(id, topic, computational, score): keyword score of each topic with a match.
 
-    `flags` has id and computational. A topic may list one keyword several times;
-    each listing counts.
+    `flags` has id and computational; matches gathered by id bring them along, one
+    for each copy. A topic may list one keyword several times; each listing counts.
     """
-    listed = keywords.select("topic", F.trim(F.lower("keyword")).alias("keyword"))
+    if isinstance(matches, Found):
+        score = F.arrow_udf(wordplaces.scorer(*_listing(matches.words, _listed_keywords(keywords).withColumnRenamed("keyword", "word")), WORTH),
+                            TALLY.format("score"))
+        rows = matches.rows.select("id", "computational", F.explode(score("matches")).alias("of"))
+        return rows.select("id", "of.topic", F.explode("computational").alias("computational"), F.col("of.score").alias("base")).select(
+            "id", "topic", "computational", _for_calculations(F.col("base")).alias("score"))
+    listed = _listed_keywords(keywords)
     pairs = matches.join(listed, "keyword")
     exact, partial = F.col("match") == "EXACT", F.col("match") == "PARTIAL"
     sums = pairs.groupBy("id", "topic").agg(
@@ -228,9 +306,14 @@ def score_keywords(matches: DataFrame, keywords: DataFrame, flags: DataFrame) ->
             + F.when(F.col("long_exact") > 0, 1.0).otherwise(0.0))
     weak = (F.col("exact") == 0) & (F.col("partial") < 2)
     weighed = F.when(weak, base * 0.3).otherwise(base)
-    score = (F.when(~F.col("computational"), F.col("base"))
-             .when(is_calculation_topic(F.col("topic")), F.col("base") + 1.0).otherwise(F.col("base") * 0.5))
-    return sums.withColumn("base", weighed).join(flags, "id").select("id", "topic", "computational", score.alias("score"))
+    return sums.withColumn("base", weighed).join(flags, "id").select(
+        "id", "topic", "computational", _for_calculations(F.col("base")).alias("score"))
+
+
+def _for_calculations(base: Column) -> Column:
+    """The score of a topic, more or less of its base where the text is a calculation."""
+    return (F.when(~F.col("computational"), base)
+            .when(is_calculation_topic(F.col("topic")), base + 1.0).otherwise(base * 0.5))
 
 
 def is_calculation_topic(topic: Column) -> Column:
@@ -261,14 +344,32 @@ def tagging_words(topics: DataFrame, keywords: DataFrame, concepts: DataFrame) -
             .unionByName(title_phrases(topics).select(F.col("phrase").alias("word"))).distinct())
 
 
+def best_topics(matches: Column, hits: Column, computational: Column, words: list[str], keywords: DataFrame, concepts: DataFrame) -> Column:
+    """The topics of `top_topics_by_keywords` for words gathered by id, as a list of (topic, score), the best first."""
+    titles = keywords.select("topic").distinct()
+    listed = _listed_keywords(keywords).withColumnRenamed("keyword", "word"), concept_words(concepts), title_phrases(titles).withColumnRenamed("phrase", "word")
+    topics = sorted(r["topic"] for r in titles.dropna().collect())
+    known = set(topics)
+    tables = [wordplaces.listing(words, [(r["word"], r["topic"], 0, 1) for r in d.select("word", "topic").dropna().collect() if r["topic"] in known], topics)
+              for d in listed]
+    about = [any(part in t for part in CALCULATION_TOPICS) for t in topics]
+    choose = F.arrow_udf(wordplaces.chooser(*tables, topics, about, WORTH), TALLY.format("score"))
+    return choose(matches, hits, computational)
+
+
 def top_topics_by_keywords(texts: DataFrame, keywords: DataFrame, concepts: DataFrame,
-                           found: DataFrame | None = None) -> DataFrame:
+                           found: DataFrame | Found | None = None) -> DataFrame:
     """(id, rank, topic, score): up to 3 topics scoring 2 or more (2 scoring 3 for calculations).
 
     Topics are those of the keyword table; ties go to the lower topic string.
-    `found` is `find_words` over `tagging_words`, if it is at hand.
+    `found` is `find_words` or `gather_words` over `tagging_words`, if it is at hand.
     """
     topics = keywords.select("topic").distinct()
+    found = gather_words(texts, tagging_words(topics, keywords, concepts), keywords, concepts) if found is None else found
+    if isinstance(found, Found):
+        matched = match_keywords(texts, keywords, found).rows
+        best = best_topics(F.col("matches"), F.col("hits"), F.col("computational"), found.words, keywords, concepts)
+        return matched.select("id", F.posexplode(best).alias("at", "best")).select("id", (F.col("at") + 1).alias("rank"), "best.topic", "best.score")
     found = find_words(texts, tagging_words(topics, keywords, concepts)) if found is None else found
     flags = found.groupBy("id").agg(F.bool_or("computational").alias("computational"))
     scored = score_keywords(match_keywords(texts, keywords, found), keywords, flags).select("id", "topic", "score")
