@@ -142,7 +142,8 @@ def _(spark, sf):
 @query("score_keywords", f"WITH {_EXAM_DOCS} {SCORE_SQL} SELECT id, topic, round(score, 6) AS score FROM scores")
 def _(spark, sf):
     texts, words = _exam(spark, sf), _exam_dictionary(spark)[1]
-    scored = cl.score_keywords(cl.match_keywords(texts, words), words, _flags(texts))
+    found = cl.gather_words(texts, cl.keyword_words(words), words)
+    scored = cl.score_keywords(cl.match_keywords(texts, words, found), words, _flags(texts))
     return scored.select("id", "topic", F.round("score", 6).alias("score"))
 
 

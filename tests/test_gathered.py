@@ -57,6 +57,16 @@ def test_all_rows_of_a_key_are_gathered(spark, monkeypatch, pack, keys):
     assert packed.gathered(df.filter("false"), "id", 4).collect() == []
 
 
+def test_scores_move_each_text_once(spark, copies, dictionary):
+    _, listed, _ = dictionary
+    flags = copies.select("id", cl.is_computational(F.col("text")).alias("computational"))
+    found = cl.gather_words(copies, cl.keyword_words(listed), listed)
+    got = cl.score_keywords(cl.match_keywords(copies, listed, found), listed, flags)
+    assert len(moves(got)) == 1
+    want = rows(cl.score_keywords(cl.match_keywords(copies, listed), listed, flags))
+    assert rows(got) == want and want
+
+
 def test_top_topics_move_each_text_once(spark, copies, dictionary):
     _, listed, concepts = dictionary
     got = cl.top_topics_by_keywords(copies, listed, concepts)
