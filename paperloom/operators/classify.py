@@ -331,9 +331,13 @@ def concept_bonus(texts: DataFrame, concepts: DataFrame, found: DataFrame | None
     return found.filter("bare").join(listed, "word").groupBy("id", "topic").agg((F.count("*") * CONCEPT_BONUS).alias("bonus"))
 
 
-def direct_mention_bonus(texts: DataFrame, topics: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def direct_mention_bonus(texts: DataFrame, topics: DataFrame, found: DataFrame | Found | None = None) -> DataFrame:
     """(id, topic, bonus): 5 when the title or one of its parts stands anywhere in the text."""
     phrases = title_phrases(topics).withColumnRenamed("phrase", "word")
+    found = gather_words(texts, phrases, phrases) if found is None else found
+    if isinstance(found, Found):
+        mention = F.arrow_udf(wordplaces.mentioner(*_listing(found.words, phrases), MENTION_BONUS), TALLY.format("bonus"))
+        return found.rows.select("id", F.inline(mention("hits")))
     found = find_words(texts, phrases) if found is None else found
     return found.filter("present").join(phrases, "word").select("id", "topic").distinct().withColumn("bonus", F.lit(MENTION_BONUS))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import classify as cl
-from paperloom.operators.taxonomy import derived_keywords, taxonomy
+from paperloom.operators.taxonomy import derived_keywords, taxonomy, title_phrases
 from paperloom.plans import packed
 
 PARTS = ["demand", "supply", "inflation", "monopolys ", "oligopoly", "price", "calculate", "growth", "market failure", "trade", "costs", "(x-m)", "taxing",
@@ -57,6 +57,14 @@ def test_all_rows_of_a_key_are_gathered(spark, monkeypatch, pack, keys):
     assert packed.gathered(df.filter("false"), "id", 4).collect() == []
 
 
+def test_mentions_move_each_text_once(spark, copies, dictionary):
+    got = cl.direct_mention_bonus(copies, dictionary[0])
+    assert len(moves(got)) == 1
+    phrases = title_phrases(dictionary[0]).select(F.col("phrase").alias("word"))
+    want = rows(cl.direct_mention_bonus(copies, dictionary[0], cl.find_words(copies, phrases)))
+    assert rows(got) == want and want
+
+
 def test_scores_move_each_text_once(spark, copies, dictionary):
     _, listed, _ = dictionary
     flags = copies.select("id", cl.is_computational(F.col("text")).alias("computational"))
