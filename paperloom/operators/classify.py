@@ -104,7 +104,7 @@ def _seeds(pieces: DataFrame, words: DataFrame) -> tuple[DataFrame, list[int]]:
     return stored_table(rarest.select("s.gram", "word", "s.offset")), lengths
 
 
-def _fits_broadcast(words: DataFrame) -> bool:
+def fits_broadcast(words: DataFrame) -> bool:
     """Whether the words, counted by their strings, are within the session's broadcast limit."""
     limit = int(words.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b"))
     return (words.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) <= limit
@@ -163,7 +163,7 @@ def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lowered = texts.filter(text.isNotNull()).select("id", flag.alias("computational"), F.lower(text).alias("text")).repartition(tasks, "id")
     listed = stored_table(words.filter(F.length("word") > 0).select("word").distinct())
-    found = _looked_up(lowered, listed) if _fits_broadcast(listed) else _joined(lowered, listed)
+    found = _looked_up(lowered, listed) if fits_broadcast(listed) else _joined(lowered, listed)
     return cut_lineage(found.select("id", "computational", "word", *FLAGS))
 
 
@@ -219,7 +219,7 @@ class Found(NamedTuple):
 def spoken_words(words: DataFrame, *listings: DataFrame) -> list[str] | None:
     """The distinct words to look for, or None if they or a listing by topic are beyond the broadcast limit."""
     listed = cut_lineage(words.filter(F.length("word") > 0).select("word").distinct())
-    if not all(_fits_broadcast(d.select(F.concat_ws(" ", *d.columns).alias("word"))) for d in (listed, *listings)):
+    if not all(fits_broadcast(d.select(F.concat_ws(" ", *d.columns).alias("word"))) for d in (listed, *listings)):
         return None
     return [r["word"] for r in listed.collect()]
 
@@ -264,6 +264,12 @@ def keyword_words(keywords: DataFrame) -> DataFrame:
     return keywords.select(F.trim(F.lower("keyword")).alias("word")).filter(F.length("word") >= 3).distinct()
 
 
+def matched(hits: Column, words: list[str], keywords: DataFrame) -> Column:
+    """The hits of keywords that match, the kind of match as their only flag."""
+    wanted = {r["word"] for r in keyword_words(keywords).collect()}
+    return F.arrow_udf(wordplaces.kinds([w in wanted for w in words]), HITS)(hits)
+
+
 def match_keywords(texts: DataFrame, keywords: DataFrame, found: DataFrame | Found | None = None) -> DataFrame | Found:
     """(id, keyword, match): EXACT, PARTIAL or RELATED, the first that holds, of each distinct keyword.
 
@@ -273,9 +279,7 @@ def match_keywords(texts: DataFrame, keywords: DataFrame, found: DataFrame | Fou
     """
     words = keyword_words(keywords)
     if isinstance(found, Found):
-        wanted = {r["word"] for r in words.collect()}
-        match = F.arrow_udf(wordplaces.kinds([w in wanted for w in found.words]), HITS)
-        return found._replace(rows=found.rows.withColumn("matches", match("hits")))
+        return found._replace(rows=found.rows.withColumn("matches", matched(F.col("hits"), found.words, keywords)))
     found = find_words(texts, words) if found is None else found
     kind = F.when(F.col("exact"), "EXACT").when(F.col("partial"), "PARTIAL").when(F.col("related"), "RELATED")
     return (found.withColumn("match", kind).filter(F.col("match").isNotNull()).join(words, "word", "left_semi")

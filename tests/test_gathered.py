@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import classify as cl
-from paperloom.operators.taxonomy import derived_keywords, taxonomy, title_phrases
+from paperloom.operators import labels as lb
+from paperloom.operators.taxonomy import TOPICS, derived_keywords, taxonomy, title_phrases
 from paperloom.plans import packed
 
 PARTS = ["demand", "supply", "inflation", "monopolys ", "oligopoly", "price", "calculate", "growth", "market failure", "trade", "costs", "(x-m)", "taxing",
@@ -15,7 +16,7 @@ PARTS = ["demand", "supply", "inflation", "monopolys ", "oligopoly", "price", "c
 
 
 def moves(df):
-    return re.findall(r"Exchange (\w+)", df._jdf.queryExecution().executedPlan().toString())
+    return re.findall(r"Exchange (\w+)\(", df._jdf.queryExecution().executedPlan().toString())
 
 
 def rows(df):
@@ -84,3 +85,22 @@ def test_top_topics_move_each_text_once(spark, copies, dictionary):
     words = cl.tagging_words(listed.select("topic").distinct(), listed, concepts)
     want = rows(cl.top_topics_by_keywords(copies, listed, concepts, cl.find_words(copies, words)))
     assert rows(got) == want and want
+
+
+@pytest.mark.parametrize("parity", [False])
+def test_cascade_moves_each_text_once(spark, monkeypatch, copies, dictionary, parity):
+    """One packed move of texts and labels, none of words or places, and what joins by id give, also for NULL ids and repeated ones."""
+    topics, listed, concepts = dictionary
+    moved = []
+    real = lb.stored_table
+    monkeypatch.setattr(lb, "stored_table", lambda df: moved.append(moves(df)) or real(df))
+    questions = copies.select(F.col("id").alias("question_id"), F.col("text").alias("question_text"), F.lit(None).cast("array<string>").alias("topics"))
+    rng = random.Random(8)
+    labels = [*TOPICS[:40], "junk", "Topic: 1.2.2 Demand", "'inflation'", None]
+    offered = spark.createDataFrame([(f"q{i:02}" if i < 70 else None, rng.choices(labels, k=rng.randrange(0, 5)) if i % 9 else None) for i in range(0, 75, 2)]
+                                    + [("q04", ["2.1.2 Inflation", "1.2.2 Demand"])], "question_id string, labels array<string>")
+    got = lb.assign_topics(questions, topics, listed, concepts, offered, parity)
+    assert moved == [["shufflepartitionidpassthrough"]]
+    monkeypatch.setattr(lb, "fits_broadcast", lambda words: False)
+    want = lb.assign_topics(questions, topics, listed, concepts, offered, parity)
+    assert rows(got) == rows(want) and {r.method for r in got.collect()} >= {"suggested", "fallback"}
