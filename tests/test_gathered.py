@@ -87,7 +87,7 @@ def test_top_topics_move_each_text_once(spark, copies, dictionary):
     assert rows(got) == want and want
 
 
-@pytest.mark.parametrize("parity", [False])
+@pytest.mark.parametrize("parity", [False, True])
 def test_cascade_moves_each_text_once(spark, monkeypatch, copies, dictionary, parity):
     """One packed move of texts and labels, none of words or places, and what joins by id give, also for NULL ids and repeated ones."""
     topics, listed, concepts = dictionary
