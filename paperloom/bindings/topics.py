@@ -238,14 +238,18 @@ def _(spark, sf):
     return lb.normalize_topic_label(t.labels(spark, sf), tax.taxonomy(spark), parity=True)
 
 
-def _pairs(spark, sf):
+def _asked(spark, sf):
     """Three candidate topics for each exam text."""
     rows = t.exam_texts(spark, sf).withColumn("names", F.expr(t._topic_array()))
     spots = ["l_suppkey % 87", "l_partkey % 87", "(l_partkey + l_suppkey) % 87"]
     candidates = F.array(*[F.expr(f"names[cast({s} as int)]") for s in spots])
+    return rows.select("id", "text", F.array_distinct(candidates).alias("candidates"))
+
+
+def _pairs(spark, sf):
     text = F.col("text")
-    return rows.select("id", "text", ft.is_computational(text).alias("computational"), ft.estimate_marks(text).alias("est_marks"),
-                       F.posexplode(F.array_distinct(candidates)).alias("pos", "topic"))
+    return _asked(spark, sf).select("id", "text", ft.is_computational(text).alias("computational"), ft.estimate_marks(text).alias("est_marks"),
+                                    F.posexplode("candidates").alias("pos", "topic"))
 
 
 _PAIRS_SQL = t.EXAM_TEXTS_SQL + _TITLES_SQL + f""", spots AS (
@@ -303,7 +307,7 @@ _SELECT_SQL = _RELEVANCE_SQL + _SELECT_TAIL
 @query("select_topics", f"WITH {_SELECT_SQL} SELECT id, array_to_string(topics, '|') AS topics FROM consistent")
 def _(spark, sf):
     topics, words, _ = _exam_dictionary(spark)
-    scored = lb.score_relevance(lb.quality_filter(_pairs(spark, sf)), topics, words, _exam(spark, sf))
+    scored = lb.score_relevance(lb.quality_filter(lb.gather_pairs(_asked(spark, sf))), topics, words)
     return lb.select_topics(scored).select("id", F.array_join("topics", "|").alias("topics"))
 
 

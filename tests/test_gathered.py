@@ -87,6 +87,30 @@ def test_top_topics_move_each_text_once(spark, copies, dictionary):
     assert rows(got) == want and want
 
 
+@pytest.fixture(scope="module")
+def asked(spark, copies):
+    """Candidates for each text, some of them no topics, some NULL."""
+    names = F.array(*[F.lit(t) for t in TOPICS], F.lit("nowhere"), F.lit(None).cast("string"))
+    spots = [F.pmod(F.xxhash64("id", "text", F.lit(k)), F.lit(30 if k else 89)).cast("int") for k in range(4)]
+    return copies.filter("id is not null").select("id", "text", F.array_distinct(F.array(*[F.get(names, s) for s in spots])).alias("candidates"))
+
+
+def by_rows(asked):
+    text = F.col("text")
+    return asked.select("id", "text", cl.is_computational(text).alias("computational"), lb.estimate_marks(text).alias("est_marks"),
+                        F.posexplode("candidates").alias("pos", "topic"))
+
+
+def test_selection_moves_each_text_once(dictionary, asked):
+    """An id's copies may differ in marks, of which any may count: one copy of each is looked at."""
+    topics, listed, _ = dictionary
+    once = asked.dropDuplicates(["id"]).localCheckpoint()
+    got = lb.select_topics(lb.score_relevance(lb.quality_filter(lb.gather_pairs(once)), topics, listed))
+    assert len(moves(got)) == 1
+    want = lb.select_topics(lb.score_relevance(lb.quality_filter(by_rows(once)), topics, listed, once.select("id", "text")))
+    assert rows(got) == rows(want) and got.count() > 20
+
+
 @pytest.mark.parametrize("parity", [False, True])
 def test_cascade_moves_each_text_once(spark, monkeypatch, copies, dictionary, parity):
     """One packed move of texts and labels, none of words or places, and what joins by id give, also for NULL ids and repeated ones."""
