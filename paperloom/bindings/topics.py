@@ -287,7 +287,8 @@ _RELEVANCE_SQL = _PAIRS_SQL + _RELEVANCE_TAIL
 @query("score_relevance", f"WITH {_RELEVANCE_SQL} SELECT id, topic, CAST(round(score, 6) AS DOUBLE) AS score FROM relevance")
 def _(spark, sf):
     topics, words, _ = _exam_dictionary(spark)
-    scored = lb.score_relevance(_pairs(spark, sf), topics, words, _exam(spark, sf))
+    scored = lb.score_relevance(lb.gather_pairs(_asked(spark, sf)), topics, words)
+    scored = scored.by_pair() if isinstance(scored, lb.Asked) else scored
     return scored.select("id", "topic", F.round("score", 6).alias("score"))
 
 

@@ -101,6 +101,14 @@ def by_rows(asked):
                         F.posexplode("candidates").alias("pos", "topic"))
 
 
+def test_relevance_moves_each_text_once(copies, dictionary, asked):
+    topics, listed, _ = dictionary
+    got = lb.score_relevance(lb.gather_pairs(asked), topics, listed).by_pair()
+    assert len(moves(got)) == 1
+    want = lb.score_relevance(by_rows(asked), topics, listed, asked.select("id", "text")).select(*got.columns)
+    assert rows(got) == rows(want) and got.count() > 100
+
+
 def test_selection_moves_each_text_once(dictionary, asked):
     """An id's copies may differ in marks, of which any may count: one copy of each is looked at."""
     topics, listed, _ = dictionary
