@@ -369,7 +369,7 @@ def _(spark, sf):
         F.lit("alevel").alias("qualification"), F.col("id").alias("questionFile"), "l_partkey")
     offered = spark.createDataFrame([], "question_id string, labels array<string>")
     for part in (bank.filter("l_partkey % 3 <> 0"), bank):
-        part.drop("l_partkey").write.mode("append").json(f"{folder}/bank")
+        part.drop("l_partkey").write.mode("append").option("compression", "gzip").json(f"{folder}/bank")
         tag_each_question_once(spark, f"{folder}/bank", f"{folder}/tags", f"{folder}/seen", topics, words, concepts, offered).awaitTermination()
     tags = spark.read.schema("question_file string, topics array<string>, method string").parquet(f"{folder}/tags/epoch=*")
     return tags.select("question_file", F.array_join("topics", "|").alias("topics"), "method")

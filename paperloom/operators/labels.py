@@ -305,8 +305,8 @@ def validate_suggestions(texts: DataFrame, suggestions: DataFrame, topics: DataF
 
 
 def assign_topics(questions: DataFrame, topics: DataFrame, keywords: DataFrame, concepts: DataFrame,
-                  suggestions: DataFrame, parity: bool = False) -> DataFrame:
-    """(question_id, topics, method) of questions with a text and no topics yet.
+                  suggestions: DataFrame, parity: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(question_id, topics, method, carried) of questions with a text and no topics yet.
 
     `suggestions` has question_id and labels. Suggested labels come first, then
     keywords, then the fallback rules for what is still open. With `parity`, a
@@ -314,6 +314,8 @@ def assign_topics(questions: DataFrame, topics: DataFrame, keywords: DataFrame,
     calculations are recognised after masking. Each text is searched for the
     words of all steps once, and moves once, with the topics that its labels
     stand for, unless dictionary or labels are beyond the broadcast limit.
+    `carried` names columns of the questions that come along; where copies of an id
+    share a row, they are those of one of them.
     """
     untagged = questions.filter((F.coalesce(F.size("topics"), F.lit(-1)) <= 0)
                                 & (F.coalesce("question_text", F.lit("")) != ""))
@@ -322,16 +324,17 @@ def assign_topics(questions: DataFrame, topics: DataFrame, keywords: DataFrame,
     words = tagging_words(keywords.select("topic").distinct(), keywords, concepts).unionByName(profiles.select("word"))
     spoken, meant = spoken_words(words, keywords, concepts, profiles), meant_labels(offered, topics, parity)
     if spoken is None or meant is None:
-        return _assigned_by_joins(untagged, topics, keywords, concepts, offered, words, parity)
+        done = _assigned_by_joins(untagged, topics, keywords, concepts, offered, words, parity)
+        return done.join(untagged.select("question_id", *carried).dropDuplicates(["question_id"]), "question_id", "left") if carried else done
     said = F.arrow_udf(wordplaces.named_labels(meant), "array<string>")("labels")
     valid = F.filter(F.transform(said, lambda topic, pos: F.struct(pos.alias("pos"), topic.alias("topic"))), lambda s: s["topic"].isNotNull())
     asked = offered.filter("id is not null").select("id", F.lit(None).cast("string").alias("text"), valid.alias("said")).filter(F.size("said") > 0)
     kind = asked.schema["said"].dataType
-    texts = untagged.select(F.col("question_id").alias("id"), F.col("question_text").alias("text"), F.lit(None).cast(kind).alias("said"))
+    texts = untagged.select(F.col("question_id").alias("id"), F.col("question_text").alias("text"), F.lit(None).cast(kind).alias("said"), *carried)
     # Masking costs far more than the bytes of a text tell, so the tasks are given; what it leads to is stored.
     tasks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = gathered(texts.unionByName(asked), "id", tasks).filter(F.exists("rows", lambda r: r["text"].isNotNull()))
-    return stored_table(_assigned(rows, spoken, topics, keywords, concepts, profiles, parity))
+    rows = gathered(texts.unionByName(asked, allowMissingColumns=True), "id", tasks).filter(F.exists("rows", lambda r: r["text"].isNotNull()))
+    return stored_table(_assigned(rows, spoken, topics, keywords, concepts, profiles, parity, carried))
 
 
 def meant_labels(offered: DataFrame, topics: DataFrame, parity: bool = False) -> dict[str, str] | None:
@@ -343,11 +346,17 @@ def meant_labels(offered: DataFrame, topics: DataFrame, parity: bool = False) ->
 
 
 def _assigned(rows: DataFrame, spoken: list[str], topics: DataFrame, keywords: DataFrame, concepts: DataFrame, profiles: DataFrame,
-              parity: bool) -> DataFrame:
-    """(question_id, topics, method) by the steps of the cascade, of texts and suggested topics gathered by id."""
+              parity: bool, carried: tuple[str, ...]) -> DataFrame:
+    """(question_id, topics, method, carried) by the steps of the cascade, of texts and suggested topics gathered by id."""
+    def along(row: Column) -> list[Column]:
+        return [row[c].alias(c) for c in carried]
+
+    def tagged(found: Column, method: str, row: Column) -> Column:
+        return F.struct(found.alias("topics"), F.lit(method).alias("method"), *along(row))
+
     own = F.transform(F.filter("rows", lambda r: r["text"].isNotNull()),
-                      lambda r: F.struct(mask_phrases(r["text"]).alias("text"), r["text"].alias("raw")))
-    flagged = F.transform(own, lambda r: F.struct(r["text"], is_computational(r["text"] if parity else r["raw"]).alias("computational")))
+                      lambda r: F.struct(mask_phrases(r["text"]).alias("text"), r["text"].alias("raw"), *along(r)))
+    flagged = F.transform(own, lambda r: F.struct(r["text"], is_computational(r["text"] if parity else r["raw"]).alias("computational"), *along(r)))
     # An id's distinct topics in the order of their first labels.
     in_order = F.array_sort(F.flatten(F.filter(F.transform("rows", lambda r: r["said"]), lambda s: s.isNotNull())))
     masked = rows.select("id", flagged.alias("texts"), F.array_distinct(F.transform(in_order, lambda s: s["topic"])).alias("candidates"))
@@ -362,11 +371,11 @@ def _assigned(rows: DataFrame, spoken: list[str], topics: DataFrame, keywords: D
     open_to_words = F.col("suggested").isNull() & F.col("id").isNotNull() & (F.size("best") > 0)
     if parity:
         open_to_words = open_to_words & (F.size("candidates") > 0)
-    by_copy = (F.when(F.size("suggested") > 0, F.transform("texts", lambda r: F.struct(F.col("suggested").alias("topics"), F.lit("suggested").alias("method"))))
-               .when(open_to_words, F.array(F.struct(F.col("best.topic").alias("topics"), F.lit("keywords").alias("method"))))
-               .otherwise(F.transform("texts", lambda r: F.struct(F.array(fallback_topic(r["text"])).alias("topics"), F.lit("fallback").alias("method")))))
+    by_copy = (F.when(F.size("suggested") > 0, F.transform("texts", lambda r: tagged(F.col("suggested"), "suggested", r)))
+               .when(open_to_words, F.array(tagged(F.col("best.topic"), "keywords", F.get("texts", 0))))
+               .otherwise(F.transform("texts", lambda r: tagged(F.array(fallback_topic(r["text"])), "fallback", r))))
     # Outer, though no list is empty, so that the planner does not make the lists once more to leave out empty ones.
-    return judged.select(F.col("id").alias("question_id"), F.explode_outer(by_copy).alias("of")).select("question_id", "of.topics", "of.method")
+    return judged.select(F.col("id").alias("question_id"), F.explode_outer(by_copy).alias("of")).select("question_id", "of.*")
 
 
 def _assigned_by_joins(untagged: DataFrame, topics: DataFrame, keywords: DataFrame, concepts: DataFrame, offered: DataFrame, words: DataFrame,

@@ -48,16 +48,16 @@ def tag_each_question_once(spark: SparkSession, source: str, target: str, checkp
     the md5 of its text, so its copies are tagged alike and the first to come is as good as any. For a large bank, let
     the session keep the state in RocksDB. Reads what is there and stops. Each batch owns one folder and overwrites it, so a
     batch retried after a failure leaves no second copy. Rows that cannot be used and questions without a text are left
-    out. `lines` says that files hold an object per line, not one array.
+    out. `lines` says that files hold an object per line, not one array; files may be compressed by gzip.
     """
     rows = (spark.readStream.schema(BANK_JSON).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt_record")
-            .option("pathGlobFilter", "*.json").json(source))
+            .option("pathGlobFilter", "{*.json,*.json.gz}").json(source))
     usable = bank_to_questions(rows).filter("reject is null").select(
         "question_id", "question_file", clean_text(F.col("question_text")).alias("question_text"), F.lit(None).cast("array<string>").alias("topics"))
     firsts = usable.dropDuplicates(["question_id"])
 
     def store(batch: DataFrame, epoch: int) -> None:
-        tagged = assign_topics(batch, topics, keywords, concepts, suggestions)
-        tagged.join(batch.select("question_id", "question_file"), "question_id").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        tagged = assign_topics(batch, topics, keywords, concepts, suggestions, carried=("question_file",))
+        tagged.write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/epoch={epoch}")
 
     return firsts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,6 +10,7 @@ from paperloom.operators import classify as cl
 from paperloom.operators import labels as lb
 from paperloom.operators.taxonomy import TOPICS, derived_keywords, taxonomy, title_phrases
 from paperloom.plans import packed
+from paperloom.streaming.incremental import tag_each_question_once
 
 PARTS = ["demand", "supply", "inflation", "monopolys ", "oligopoly", "price", "calculate", "growth", "market failure", "trade", "costs", "(x-m)", "taxing",
          "revenue", "unemployment", " ", " ", ",", "xx", "jobless", "cost of living", "industry competition"]
@@ -136,3 +137,34 @@ def test_cascade_moves_each_text_once(spark, monkeypatch, copies, dictionary, pa
     monkeypatch.setattr(lb, "fits_broadcast", lambda words: False)
     want = lb.assign_topics(questions, topics, listed, concepts, offered, parity)
     assert rows(got) == rows(want) and {r.method for r in got.collect()} >= {"suggested", "fallback"}
+
+
+def test_a_compressed_bank_is_tagged_once(spark, tmp_path):
+    """Files of either kind are read, and a question that comes again, in a file of the other kind, is not tagged again."""
+    bank = spark.createDataFrame([("1", "2020", "EDEXCEL", f"Explain {w} here", "alevel", f"f{i}.pdf") for i, w in enumerate(["inflation", "monopoly", "nothing"])],
+                                 "questionNumber string, year string, board string, questionText string, qualification string, questionFile string")
+    topics = taxonomy(spark)
+    offered = spark.createDataFrame([], "question_id string, labels array<string>")
+    concepts = spark.createDataFrame([("steel", "1.2.4 Supply")], "concept string, topic string")
+    for kind, part in (("gzip", bank.filter("questionFile <> 'f2.pdf'")), ("none", bank)):
+        part.write.mode("append").option("compression", kind).json(f"{tmp_path}/bank")
+        tag_each_question_once(spark, f"{tmp_path}/bank", f"{tmp_path}/tags", f"{tmp_path}/seen", topics, derived_keywords(topics), concepts, offered).awaitTermination()
+        epochs = spark.read.schema("question_file string, topics array<string>, method string").parquet(f"{tmp_path}/tags/epoch=*")
+        got = {r.question_file: (r.topics[0], r.method) for r in epochs.collect()}
+        assert len(got) == epochs.count() == part.count()
+    assert got == {"f0.pdf": ("2.1.2 Inflation", "keywords"), "f1.pdf": ("3.4.5 Monopoly", "keywords"), "f2.pdf": ("1.2.2 Demand", "fallback")}
+
+
+def test_columns_come_along(spark, monkeypatch):
+    """A question's file comes back with its topics, from whatever step, without a join; and by a join where the cascade takes joins."""
+    topics = taxonomy(spark)
+    asked = spark.createDataFrame([("a", "Explain supply", "fa"), ("b", "Explain inflation", "fb"), ("c", "nothing", None)], "question_id string, question_text string, file string")
+    questions = asked.withColumn("topics", F.lit(None).cast("array<string>"))
+    offered = spark.createDataFrame([("a", ["1.2.4 Supply"])], "question_id string, labels array<string>")
+    concepts = spark.createDataFrame([("steel", "1.2.4 Supply")], "concept string, topic string")
+    for fits in (None, False):
+        if fits is not None:
+            monkeypatch.setattr(lb, "fits_broadcast", lambda words: False)
+        got = lb.assign_topics(questions, topics, derived_keywords(topics), concepts, offered, carried=("file",))
+        assert {(r.question_id, r.method, r.file) for r in got.collect()} == {("a", "suggested", "fa"), ("b", "keywords", "fb"), ("c", "fallback", None)}
+        assert fits is False or not moves(got)
