@@ -19,6 +19,7 @@ by (text, piece).
 Word boundaries are ASCII: a word character is a letter a-z, a digit or '_'.
 """
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -106,7 +107,8 @@ def _seeds(pieces: DataFrame, words: DataFrame) -> tuple[DataFrame, list[int]]:
 
 def fits_broadcast(words: DataFrame) -> bool:
     """Whether the words, counted by their strings, are within the session's broadcast limit."""
-    limit = int(words.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b"))
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", words.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()).groups()
+    limit = int(number) * 1024 ** " kmgtp".index(unit or " ")
     return (words.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) <= limit
 
 

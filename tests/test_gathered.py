@@ -168,3 +168,13 @@ def test_columns_come_along(spark, monkeypatch):
         got = lb.assign_topics(questions, topics, derived_keywords(topics), concepts, offered, carried=("file",))
         assert {(r.question_id, r.method, r.file) for r in got.collect()} == {("a", "suggested", "fa"), ("b", "keywords", "fb"), ("c", "fallback", None)}
         assert fits is False or not moves(got)
+
+
+@pytest.mark.parametrize("limit, fits", [("1k", True), ("1KB", True), ("0m", False), ("100", False), ("1024b", True), ("-1", False)])
+def test_broadcast_limits_with_units(spark, limit, fits):
+    words = spark.createDataFrame([("demand",), ("supply",)], "word string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        assert cl.fits_broadcast(words) is fits
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
